@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
 
 def queries():
-    return {"op2_mixing": mixing.query}
+    return {"op2_mixing": mixing.query, "op6_simhash": simhash.query}
 
 
 def oracle_sql():
