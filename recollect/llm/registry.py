@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, quality, simhash
 
 
 def queries():
-    return {"op2_mixing": mixing.query, "op6_simhash": simhash.query}
+    return {"op2_mixing": mixing.query, "op6_simhash": simhash.query, "op7_quality": quality.query}
 
 
 def oracle_sql():
