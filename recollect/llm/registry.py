@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import mixing, quality, secret_scan, simhash
 
 
 def queries():
-    return {"op2_mixing": mixing.query, "op6_simhash": simhash.query, "op7_quality": quality.query}
+    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op6_simhash": simhash.query, "op7_quality": quality.query}
 
 
 def oracle_sql():
