@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secret_scan, simhash
+from . import license_scan, mixing, quality, secret_scan, simhash, url_filter
 
 
 def queries():
-    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op6_simhash": simhash.query, "op7_quality": quality.query}
+    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
 
 
 def oracle_sql():
