@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, mixing, quality, secret_scan, simhash, url_filter
+from . import chat_format, license_scan, mixing, quality, secret_scan, simhash, url_filter, warc
 
 
 def queries():
-    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op5_chat": chat_format.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
+    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op4_warc": warc.query, "op5_chat": chat_format.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.SQL, "op5_chat": chat_format.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_warc": warc.query, "op5_chat": chat_format.SQL}
