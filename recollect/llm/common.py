@@ -68,6 +68,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Case and punctuation folded away: A-Z lowered, other ASCII than letters and digits as white space.
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW = np.ones(1, np.uint64)
 #: Texts are handled in runs of about this many bytes, which bounds the arrays' memory.
@@ -102,10 +104,10 @@ class Words:
 
     __slots__ = ("at", "data", "end", "first", "hash", "raw", "start")
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, fold: bool = False):
         self.raw = b"\n".join(texts) + b"\n"
         data = np.frombuffer(self.raw, np.uint8)
-        self.data = data = _LOWER[data] if lower else data
+        self.data = data = _FOLD[data] if fold else _LOWER[data] if lower else data
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.concatenate([[0], np.cumsum(sizes + 1)])
         space = _SPACE[data]
@@ -131,18 +133,18 @@ class Words:
             return mix64(np.add.reduceat(keep, offset) + length.astype(np.uint64))
 
 
-def runs(texts: list, lower: bool = False, limit: int = RUN_BYTES):
+def runs(texts: list, lower: bool = False, fold: bool = False, limit: int = RUN_BYTES):
     """Yields (from, to, Words) for runs of ``texts`` (str or None) of about ``limit`` bytes."""
     held, size, low = [], 0, 0
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
         if held and size + len(b) > limit:
-            yield low, i, Words(held, lower)
+            yield low, i, Words(held, lower, fold)
             held, size, low = [], 0, i
         held.append(b)
         size += len(b) + 1
     if held:
-        yield low, low + len(held), Words(held, lower)
+        yield low, low + len(held), Words(held, lower, fold)
 
 
 def windows_hash(h: np.ndarray, n: int) -> np.ndarray:
