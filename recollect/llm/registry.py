@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, mixing, quality, secret_scan, simhash, url_filter, warc
+from . import chat_format, decontaminate, license_scan, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 
 
 def queries():
-    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op3_decontamination": decontaminate.query, "op4_warc": warc.query, "op5_chat": chat_format.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
+    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op3_decontamination": decontaminate.query, "op4_warc": warc.query, "op5_chat": chat_format.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op8_substrings": substring_dedup.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
 
 
 def oracle_sql():
