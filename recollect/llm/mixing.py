@@ -8,24 +8,27 @@ buckets), so documents are filtered by one comparison and never sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stored, stored, table, text_or_empty
+from .common import WORD, stored, table, text_or_empty
 
 MAX_EPOCHS = 3
 _BITS = 10
 
 
+def _size() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+
+
+def _hash() -> Column:
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % (1 << (3 * _BITS))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): words of each text and the document's 30-bit hash."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select(
-        "doc_id",
-        "source",
-        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % (1 << 30)).alias("h"),
-    )
+    return docs.select("doc_id", "source", _size().alias("size"), _hash().alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -98,6 +101,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     )
 
 
+def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``docs`` with ``times`` (how often the mix takes a document) and ``taken`` (words)."""
+    plan = stored(thresholds(sizes := stored(sized(docs), "mix-sizes"), source_targets(sizes, weights)), "mix-plan")
+    p = plan.select(F.col("source").alias("_s"), F.col("epochs").alias("_e"), F.col("below").alias("_b"))
+    h, size = _hash(), _size()
+    rows = docs.join(p, F.col("source").eqNullSafe(F.col("_s")))
+    times = F.col("_e") + F.when(h < F.col("_b"), 1).otherwise(0)
+    return rows.withColumn("times", times).withColumn("taken", size * F.col("times")).drop("_s", "_e", "_b")
+
+
 def query(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
