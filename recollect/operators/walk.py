@@ -129,15 +129,14 @@ def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops:
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
     edges = settled(steps(links, min_link_weight))
     starts = entries.join(nodes.select("id", "strength"), "id").select("query_id", "place", "id", "strength")
+    # breadth-first over node sets alone; steps are joined once, for all nodes that a walk can leave
     reach = starts.select("query_id", F.col("id").alias("tip")).distinct()
-    near, known = None, reach
-    for _ in range(max_hops):
-        part = settled(reach.join(edges, "tip").join(strength, "nbr"))
-        near = part if near is None else near.unionByName(part)
-        reach = settled(part.select("query_id", F.col("nbr").alias("tip")).distinct().join(known, ["query_id", "tip"], "left_anti"))
-        known = known.unionByName(reach)
-    if near is None:
-        near = reach.join(edges, "tip").join(strength, "nbr").where("false")
+    inner = reach.where("false") if not max_hops else reach
+    for _ in range(max_hops - 1):
+        ahead = reach.join(edges, "tip").select("query_id", F.col("nbr").alias("tip")).distinct()
+        reach = settled(ahead.join(inner, ["query_id", "tip"], "left_anti"))
+        inner = inner.unionByName(reach)
+    near = inner.join(edges, "tip").join(strength, "nbr")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["tip", "dir", "weight", "link_id"], ascending=[True, True, False, True], kind="stable")
