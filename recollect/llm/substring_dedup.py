@@ -72,19 +72,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _later(content, doc, twin, start) -> np.ndarray:
+    """Which segments come after an equal one of the same run, at another place."""
+    order = np.lexsort((start, twin, doc, content))
+    c = content[order]
+    head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    first = np.repeat(order[head], np.diff(np.concatenate([head, [len(c)]])))
+    out = np.zeros(len(c), bool)
+    out[order] = (doc[order] != doc[first]) | (twin[order] != twin[first]) | (start[order] != start[first])
+    return out
+
+
 def _places(keyed: DataFrame) -> DataFrame:
+    """Segments of all texts: (anchor, content, doc, twin, start, windows, sure).
+
+    Equal segments are combined before the shuffle: all but a run's first are repeats for
+    ``sure`` and are dealt by a number of their own, so that a passage in a third of all
+    documents sends one row a run to its anchor's task.
+    """
+
     def run(batches):
-        names = ["anchor", "content", "doc", "twin", "start", "windows"]
+        names = ["anchor", "content", "doc", "twin", "start", "windows", "sure"]
         for b in batches:
             doc, twin = b.column("doc").to_numpy(), b.column("twin").to_numpy()
             for low, _, w in runs(b.column("text").to_pylist()):
                 text, start, count, anchor, content = _segments(w)
-                if len(text):
-                    yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, (anchor.view(np.int64), content.view(np.int64), doc[low + text], twin[low + text], start.astype(np.int32), count.astype(np.int32)))], names
-                    )
+                if not len(text):
+                    continue
+                d, t = doc[low + text], twin[low + text]
+                sure = _later(content, d, t, start)
+                with np.errstate(over="ignore"):
+                    own = mix64(d[sure].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix64(t[sure].astype(np.uint64) << np.uint64(32) | start[sure].astype(np.uint64)))
+                anchor[sure] = content[sure] = own
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor.view(np.int64), content.view(np.int64), d, t, start.astype(np.int32), count.astype(np.int32), sure))], names)
 
-    return keyed.select("doc", "twin", "text").mapInArrow(run, "anchor long, content long, doc long, twin int, start int, windows int")
+    return keyed.select("doc", "twin", "text").mapInArrow(run, "anchor long, content long, doc long, twin int, start int, windows int, sure boolean")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -94,7 +116,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
     # rows of one place (a repeated row of documents) have one rank
     rows = _places(keyed).repartition("anchor").withColumn("nth", F.rank().over(same))
     rows = rows.withColumn("many", F.min("content").over(alike) != F.max("content").over(alike))
-    return rows.where("nth > 1 OR many").select("anchor", "doc", "twin", "start", "windows", (F.col("nth") == 1).alias("first"))
+    return rows.where("sure OR nth > 1 OR many").select("anchor", "doc", "twin", "start", "windows", (~F.col("sure") & (F.col("nth") == 1)).alias("first"))
 
 
 def _fetched(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
