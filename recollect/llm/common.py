@@ -81,7 +81,7 @@ def _powers(n: int) -> np.ndarray:
     if len(_POW) < n:
         size = max(n, 2 * len(_POW), 256)
         with np.errstate(over="ignore"):
-            _POW = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, np.uint64)]).astype(np.uint64))
+            _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64)]), dtype=np.uint64)
     return _POW
 
 
