@@ -7,7 +7,8 @@ r"""Benchmark decontamination by latent semantic retrieval.
    cluster) of the TF-IDF benchmark passages gives a latent space. Documents are folded in.
 3. Every document is read in windows of 96 words, 32 apart, so that any 64 consecutive
    words lie in one. Windows are projected and compared with all passages by cosine.
-4. Candidates are confirmed by the longest common subsequence of words and, for
+4. Candidates are confirmed by the longest common subsequence of words (within one and a
+   half times the passage's length) and, for
    paraphrases, by an answer check: the item's answer (or, without an ``answer`` column,
    its rarest terms) must be there too.
 
@@ -33,7 +34,7 @@ RANK, POWER, SEED = 256, 2, 7
 BLOCK_PASSAGES = 1000
 #: Terms in at most this share of tiles inform the index, as do the KEY_TERMS rarest of each passage.
 MAX_SHARE, KEY_TERMS, ANSWER_TERMS = 0.001, 12, 5
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.6
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
 
 
 class _Lookup:
@@ -225,6 +226,11 @@ class Index:
         low, high = max(int(mine[0]) - n, int(w.first[d])), min(int(mine[-1]) + n + 1, int(w.first[d + 1]))
         text = w.hash[low:high].tolist()
         lcs = _lcs(self.bits[p], n, text) / n
+        if lcs >= PARAPHRASE and len(text) > (span := n * 3 // 2):
+            # a long text holds much of any passage in some order: what counts stands close together
+            step = max(1, n // 8)
+            text = max((text[i : i + span] for i in range(0, len(text) - span + step, step)), key=lambda t: _lcs(self.bits[p], n, t))
+            lcs = _lcs(self.bits[p], n, text) / n
         seen = set(text)
         answer = sum(a in seen for a in self.answers[p]) / max(len(self.answers[p]), 1)
         if lcs >= VERBATIM or (lcs >= PARAPHRASE and answer >= ANSWER):
