@@ -6,8 +6,21 @@ from . import chat_format, decontaminate, license_scan, mixing, quality, secret_
 
 
 def queries():
-    return {"op1_secrets": secret_scan.query, "op2_mixing": mixing.query, "op3_decontamination": decontaminate.query, "op4_warc": warc.query, "op5_chat": chat_format.query, "op6_simhash": simhash.query, "op7_quality": quality.query, "op8_substrings": substring_dedup.query, "op9_licenses": license_scan.query, "op10_urls": url_filter.query}
+    return {
+        "op1_secrets": secret_scan.query,
+        "op2_mixing": mixing.query,
+        "op3_decontamination": decontaminate.query,
+        "op4_warc": warc.query,
+        "op5_chat": chat_format.query,
+        "op6_simhash": simhash.query,
+        "op7_quality": quality.query,
+        "op8_substrings": substring_dedup.query,
+        "op9_licenses": license_scan.query,
+        "op10_urls": url_filter.query,
+    }
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.SQL, "op3_decontamination": decontaminate.query, "op4_warc": warc.query, "op5_chat": chat_format.SQL}
+    """The other queries need tests of randomness, retrieval, hashes that DuckDB lacks,
+    archives or link propagation; tests hold them against brute force."""
+    return {"op2_mixing": mixing.SQL, "op5_chat": chat_format.SQL}
