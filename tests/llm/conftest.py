@@ -1,13 +1,9 @@
 from __future__ import annotations
 
 import random
-import re
 
 import pytest
 
-SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 @pytest.fixture(scope="session")
 def corpus(spark):
     """Prose with copies, near copies, nulls, empty and long texts, ties and extra columns."""
@@ -35,6 +31,3 @@ def corpus(spark):
 def texts(corpus):
     return [(r["doc_id"], r["text"]) for r in corpus.collect()]
 
-
-def words_of(text):
-    return SPACE.findall(text or "")

@@ -12,13 +12,16 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import words_of  # tests/llm/conftest.py
 from recollect.llm import chat_format, decontaminate, license_scan, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 from recollect.llm.common import Words
 from recollect.llm.components import components
 from recollect.llm.fm_index import FMIndex, suffix_array
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 def rows_of(df, *columns):
     return Counter(tuple(r[c] for c in columns) for r in df.collect())
 
