@@ -22,5 +22,5 @@ def queries():
 
 def oracle_sql():
     """The other queries need tests of randomness, retrieval, hashes that DuckDB lacks,
-    archives or link propagation; tests hold them against brute force."""
-    return {"op2_mixing": mixing.SQL, "op5_chat": chat_format.SQL}
+    divergences, rule tables or link propagation; tests hold them against brute force."""
+    return {"op2_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat_format.SQL, "op8_substrings": substring_dedup.SQL}

@@ -260,3 +260,18 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def query(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 19], ' ')) AS k FROM s),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE n > 1),
+m AS (
+  SELECT w.doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN w.word END, ' ' ORDER BY w.i) AS kept
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(m.n_removed, 0) AS n_removed, sha256(coalesce(m.kept, '')) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)
+"""

@@ -258,3 +258,16 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:
 def query(spark, sf_dir):
     manifest, folder = archive(table(spark, sf_dir, "pages"))
     return read_chunks(manifest, folder, with_data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {}) & 31 AS INT) + 1, 1)"
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, t, sha1(t) AS hex, unnest(range(8)) AS g FROM p),
+v AS (SELECT page_id, t, g, CAST(('0x' || substr(hex, CAST(5 * g + 1 AS INT), 5)) AS BIGINT) AS v FROM h),
+b AS (SELECT page_id, t, string_agg({" || ".join(_DIGIT.format(s) for s in (15, 10, 5, 0))}, '' ORDER BY g) AS digest FROM v GROUP BY page_id, t),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM b)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM f
+"""

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
