@@ -19,6 +19,11 @@ from .crud import top_links_per_node
 HOP_DECAY, MIN_LINK_WEIGHT, MIN_PATH_SCORE, FAN_OUT = 0.85, 0.05, 0.01, 100
 
 
+def _keep(max_hops: int):
+    """How loops hold what they have: deep walks settle it, shallow ones are one plan."""
+    return settled if max_hops > 3 else (lambda df: df)
+
+
 def steps(links: DataFrame, min_link_weight: float = MIN_LINK_WEIGHT, fan_out: int | None = FAN_OUT) -> DataFrame:
     """(tip, nbr, dir, weight, link_id): each link from both ends (0 out, 1 in), per tip and
     direction only the ``fan_out`` heaviest."""
@@ -68,7 +73,8 @@ def walk_graph(nodes: DataFrame, links: DataFrame, entry: str, max_hops: int = 3
     above the score floor make the next level. Without ``visited`` the entry is visited.
     """
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
-    edges = settled(steps(links, min_link_weight))
+    keep = _keep(max_hops)
+    edges = keep(steps(links, min_link_weight))
     level = nodes.where(F.col("id") == entry).select(F.lit(1).cast("long").alias("pos"), F.col("id").alias("tip"), F.array("id").alias("node_ids"), F.array().cast("array<long>").alias("link_ids"), F.col("strength").alias("score"))
     seen = nodes.sparkSession.createDataFrame([(v,) for v in (visited if visited is not None else [entry])], "nbr string")
     every = level.withColumn("hop", F.lit(0))
@@ -77,7 +83,7 @@ def walk_graph(nodes: DataFrame, links: DataFrame, entry: str, max_hops: int = 3
         ahead = level.join(edges, "tip").join(strength, "nbr").join(seen, "nbr", "left_anti")
         won = ahead.withColumn("_n", F.row_number().over(Window.partitionBy("nbr").orderBy(*order))).where("_n = 1")
         won = won.withColumn("new", F.col("score") * F.col("weight") * F.col("s") * HOP_DECAY)
-        won = settled(won)
+        won = keep(won)
         seen = seen.unionByName(won.select("nbr"))
         kept = won.where((F.col("new") >= MIN_PATH_SCORE) & ~F.array_contains("node_ids", F.col("nbr")))
         level = kept.select(
@@ -127,14 +133,15 @@ def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops:
     Returns (query_id, entry_place, walk_place, node_ids, link_ids, score).
     """
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
-    edges = settled(steps(links, min_link_weight))
+    keep = _keep(max_hops)
+    edges = keep(steps(links, min_link_weight))
     starts = entries.join(nodes.select("id", "strength"), "id").select("query_id", "place", "id", "strength")
     # breadth-first over node sets alone; steps are joined once, for all nodes that a walk can leave
     reach = starts.select("query_id", F.col("id").alias("tip")).distinct()
     inner = reach.where("false") if not max_hops else reach
     for _ in range(max_hops - 1):
         ahead = reach.join(edges, "tip").select("query_id", F.col("nbr").alias("tip")).distinct()
-        reach = settled(ahead.join(inner, ["query_id", "tip"], "left_anti"))
+        reach = keep(ahead.join(inner, ["query_id", "tip"], "left_anti"))
         inner = inner.unionByName(reach)
     near = inner.join(edges, "tip").join(strength, "nbr")
 
