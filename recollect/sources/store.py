@@ -111,10 +111,12 @@ class Memory:
         return cls(GraphState.load(spark, path) if path else GraphState.empty(spark), path)
 
     def commit(self, state: GraphState) -> GraphState:
-        """Makes ``state`` the current one, on disk too; cuts lineage where there is a path."""
+        """Makes ``state`` the current one, on disk too; either way lineage is cut."""
         if self.path:
             state.save(self.path)
             state = GraphState.load(state.spark, self.path)
+        else:
+            state = state.with_(**{name: settled(getattr(state, name)) for name in TABLES})
         self.state = state
         return state
 
