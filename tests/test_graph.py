@@ -343,8 +343,8 @@ def test_similarity(spark):
 
 def test_consolidation(spark):
     rows = [
-        {"id": "n1", "content": "Python great for data science", "strength": 0.7, "entities": ["Python", "data science"]},
-        {"id": "n2", "content": "Python is good for data science work", "strength": 0.5, "entities": ["python", "Data Science"]},
+        {"id": "n1", "content": "Python is great for data science projects", "strength": 0.7, "entities": ["Python", "data science"]},
+        {"id": "n2", "content": "Python is so good for data science projects", "strength": 0.5, "entities": ["python", "Data Science"]},
         {"id": "n3", "content": "completely different words", "strength": 0.6},
         {"id": "n4", "content": "another memory altogether", "strength": 0.9},
     ]
@@ -355,7 +355,7 @@ def test_consolidation(spark):
     after, report = consolidation.run_consolidation(s, dry_run=False)
     kept = {r["id"]: r for r in after.nodes.collect()}
     assert set(kept) == {"n1", "n3", "n4"} and kept["n1"]["strength"] == pytest.approx(0.8)
-    assert kept["n1"]["content"] == "Python is good for data science work | Python great for data science"
+    assert kept["n1"]["content"] == "Python is so good for data science projects | Python is great for data science projects"
     assert {(r["source_id"], r["target_id"]) for r in after.links.collect()} == {("n1", "n3")}
     assert report.links_pruned == 1
     looped, _ = consolidation.run_consolidation(s, dry_run=False, allow_self_loops=True)
