@@ -49,15 +49,16 @@ def fingerprints(texts: list, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, content, fp): a 64-bit hash of the text, and the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fp = fingerprints(b.column("text").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(fp)], ["doc_id", "content", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("content"))
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -135,6 +136,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _labelled(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, label), stored: for each fingerprint its smallest doc_id and its component."""
+    kinds = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-kinds")
+    edges = stored(links(kinds.select("fp"), radius), "simhash-links")
+    label = components(edges)
+    joined = kinds.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    return stored(joined, "simhash-labels")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -143,12 +153,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id never names a component (null only if all of its members are null); repeated
     rows each give a row; other columns are ignored; an empty table gives no rows.
     """
-    prints = stored(with_fingerprint(docs), "simhash-fp")
-    kinds = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-kinds")
-    edges = stored(links(kinds.select("fp"), radius), "simhash-links")
-    label = components(edges)
-    joined = kinds.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = stored(joined, "simhash-labels")
+    prints = stored(with_fingerprint(docs).select("doc_id", "fp"), "simhash-fp")
+    joined = _labelled(prints, radius)
     ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     named = joined.join(ids, "label").select("fp", "component_id")
     out = prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -156,12 +162,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id
-    (of rows that repeat it, that with the smallest text)."""
-    found = near_duplicates(docs, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
+    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id.
+
+    A row is told by doc_id and text, so an id that stands for several unlike texts, or is
+    null, loses none of them: null ids come last, and of one id's rows in a group the
+    smallest text hash stays. Of rows that repeat both, one stays.
+    """
+    prints = stored(with_fingerprint(docs), "simhash-fp")
+    joined = _labelled(prints, radius)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    first = prints.groupBy("fp").agg(F.min(place).alias("place")).join(joined, "fp").groupBy("label").agg(F.min("place").alias("place"))
+    stay = first.select(F.col("place.doc_id").alias("_stay"), F.col("place.content").alias("_content"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.xxhash64("text") == F.col("_content")), "left_semi")
+    # the limit of one row a window is applied before the shuffle too
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
 
 

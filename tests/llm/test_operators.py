@@ -249,10 +249,21 @@ def test_simhash(corpus, texts):
     assert rows_of(simhash.near_duplicates(corpus), "doc_id", "fingerprint", "component_id") == want
     kept = simhash.keep_one(corpus)
     assert kept.columns == corpus.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(least.values()))
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(least.values())
+    assert {fingerprint(r["text"]) for r in kept.where("doc_id IS NULL").collect()} == {p for p, c in zip(prints, number, strict=True) if c not in least}
     assert simhash.near_duplicates(empty(corpus)).count() == 0
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    unlike = [" ".join(f"w{(i * 7919 + j * (i + 3)) % 100003}" for j in range(60)) for i in range(12)]
+    rows = [(None, t, "x") for t in unlike[:6]] + [(1, t, "x") for t in unlike[6:]] + [(1, unlike[8], "y"), (None, unlike[9], "z"), (2, None, "x"), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    number = linked([fingerprint(t) for _, t, _ in rows])
+    assert len(kept) == len(set(number)) == 13
+    assert Counter(kept) == Counter([(None, t) for t in unlike[:6]] + [(1, t) for t in unlike[6:]] + [(2, None)])
+
+
 def test_covering_misses_no_pair(spark):
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**64, 40, dtype=np.uint64)
