@@ -6,7 +6,9 @@ windows with one anchor make a segment of at most WINDOW - GRAM + 1 windows.
 
 1. Segments (anchor, content hash, place) are dealt and sorted by anchor. All but the first
    place of equal segments are repeats at once. A segment whose anchor no other content
-   shares cannot hold a repeated window.
+   shares cannot hold a repeated window. Anchors of very many unlike segments (both ends of
+   a passage that stands in many texts) are told beforehand by a sketch of counts; their
+   segments go window by window, each dealt by its own words, so they never meet.
 2. The words of the first places of the others are fetched, dealt by anchor and indexed,
    shard by shard (FM-index: suffix array, wavelet matrix). Their windows are streamed
    through backward search; matches of full length give groups of equal windows, whose
@@ -31,14 +33,18 @@ from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 5
 SHARD_WORDS = 400_000
+#: Slots of the sketch of anchors, and what makes one crowded: more segments than this, and
+#: than this many times the average. A slot that is not crowded has few enough for a task.
+SLOTS, CROWD, CROWD_FACTOR = 1 << 16, 1024, 16
 
 
 def _segments(w) -> tuple[np.ndarray, ...]:
-    """(text number, first window's word, windows, anchor, content) of a run's segments."""
+    """(text number, first window's word, windows, anchor, content) of a run's segments, and
+    the hash of the window at each word."""
     span = WINDOW - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(w.hash) < WINDOW:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, *[none.view(np.uint64)] * 3
     grams, whole = windows_hash(w.hash, GRAM), windows_hash(w.hash, WINDOW)
     n = len(whole)
     best, offset = grams[:n].copy(), np.zeros(n, np.int64)
@@ -49,7 +55,7 @@ def _segments(w) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     at = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
     if not len(at):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, *[none.view(np.uint64)] * 3
     anchor = at + offset[at]
     # a window of the next text never has this text's anchor: anchors lie within windows
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
@@ -58,7 +64,7 @@ def _segments(w) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         content = mix64(whole[first] * np.uint64(0x9FB21C651E98DF25) + mix64(whole[last] + count.astype(np.uint64)))
     text = owner[first]
-    return text, first - w.first[text], count, best[first], content
+    return text, first - w.first[text], count, best[first], content, whole
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,24 +89,67 @@ def _later(content, doc, twin, start) -> np.ndarray:
     return out
 
 
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    return (anchor & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _crowded(keyed: DataFrame) -> np.ndarray:
+    """Which of SLOTS slots of anchors are crowded. Equal segments of a run count once."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            doc, twin = b.column("doc").to_numpy(), b.column("twin").to_numpy()
+            for low, _, w in runs(b.column("text").to_pylist()):
+                text, start, _, anchor, content, _ = _segments(w)
+                if len(text):
+                    total += np.bincount(_slot(anchor[~_later(content, doc[low + text], twin[low + text], start)]), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    found = keyed.select("doc", "twin", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
+    total = np.zeros(SLOTS, np.int64)
+    for slot, n in found:  # at most SLOTS rows
+        total[slot] = n
+    return total > max(CROWD, CROWD_FACTOR * int(total.sum()) // SLOTS)
+
+
+def _by_window(w, text, start, count, anchor, whole) -> tuple[np.ndarray, ...]:
+    """Segments as one segment a window, dealt by the window's own words."""
+    seg = np.repeat(np.arange(len(count)), count)
+    j = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    start = start[seg] + j
+    own = whole[w.first[text[seg]] + start]
+    return text[seg], start, np.ones(len(seg), np.int64), mix64(own), mix64(own ^ anchor[seg])
+
+
 def _places(keyed: DataFrame) -> DataFrame:
     """Segments of all texts: (anchor, content, doc, twin, start, windows, sure).
 
     Equal segments are combined before the shuffle: all but a run's first are repeats for
     ``sure`` and are dealt by a number of their own, so that a passage in a third of all
-    documents sends one row a run to its anchor's task.
+    documents sends one row a run to its anchor's task. The others of a crowded anchor are
+    split by window and combined once more.
     """
+    crowded = _crowded(keyed)
 
     def run(batches):
         names = ["anchor", "content", "doc", "twin", "start", "windows", "sure"]
         for b in batches:
             doc, twin = b.column("doc").to_numpy(), b.column("twin").to_numpy()
             for low, _, w in runs(b.column("text").to_pylist()):
-                text, start, count, anchor, content = _segments(w)
-                if not len(text):
+                *cut, whole = _segments(w)
+                if not len(cut[0]):
                     continue
+                sure = _later(cut[4], doc[low + cut[0]], twin[low + cut[0]], cut[1])
+                many = crowded[_slot(cut[3])] & ~sure
+                if many.any():
+                    one = _by_window(w, *(c[many] for c in cut[:4]), whole)
+                    again = _later(one[4], doc[low + one[0]], twin[low + one[0]], one[1])
+                    cut = [np.concatenate([c[~many], o]) for c, o in zip(cut, one, strict=True)]
+                    sure = np.concatenate([sure[~many], again])
+                text, start, count, anchor, content = cut
                 d, t = doc[low + text], twin[low + text]
-                sure = _later(content, d, t, start)
                 with np.errstate(over="ignore"):
                     own = mix64(d[sure].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix64(t[sure].astype(np.uint64) << np.uint64(32) | start[sure].astype(np.uint64)))
                 anchor[sure] = content[sure] = own

@@ -325,7 +325,10 @@ def test_symbols_are_rejected(spark, corpus):
 # ---- 8 substrings
 
 
-def test_substrings(corpus, texts):
+@pytest.mark.parametrize("crowd", [substring_dedup.CROWD, 2])  # 2: the ends of the shared passage go window by window
+def test_substrings(corpus, texts, crowd, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    assert substring_dedup._crowded(substring_dedup._keyed(corpus)).any() == (crowd == 2)
     order = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0))
     shared = [i for i, n in Counter(i for i, _ in order).items() if n > 1]  # ids with two texts have an order of their own
     seen, want = set(), {}
