@@ -6,14 +6,16 @@ r"""Benchmark decontamination by latent semantic retrieval.
 2. A randomised SVD (range finder with power iterations, partial products summed over the
    cluster) of the TF-IDF benchmark passages gives a latent space. Documents are folded in.
 3. Every document is read in windows of 96 words, 32 apart, so that any 64 consecutive
-   words lie in one. Windows are projected and compared with all passages by cosine.
+   words lie in one. Windows are projected and compared with all passages by cosine, over
+   the norm of the shorter side, so that other words of a window never hide a passage in it.
 4. Candidates are confirmed by the longest common subsequence of words (within one and a
    half times the passage's length) and, for
    paraphrases, by an answer check: the item's answer (or, without an ``answer`` column,
    its rarest terms) must be there too.
 
 The benchmark is the stated query set. It is taken in blocks of BLOCK_PASSAGES, which
-bounds what tasks are sent; nothing else is. Documents are never dropped or sampled.
+bounds what tasks are sent; nothing else is. A block has no more passages than the space has
+dimensions, so the space keeps all of each passage however many there are. Documents are never dropped or sampled.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import Words, runs, table
 PASSAGE, HALF, TILE = 64, 32, 32
 MIN_ITEM_WORDS = 8
 RANK, POWER, SEED = 256, 2, 7
-BLOCK_PASSAGES = 1000
+BLOCK_PASSAGES = 240  # at most RANK
 #: Terms in at most this share of tiles inform the index, as do the KEY_TERMS rarest of each passage.
 MAX_SHARE, KEY_TERMS, ANSWER_TERMS = 0.001, 12, 5
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
@@ -159,15 +161,17 @@ class Index:
         picked = np.array(sorted(chosen), np.int64)
         self.known = _Lookup(every.words[picked])
         self.idf = idf[picked].astype(np.float32)
-        rows = []
+        rows, norms = [], []
         for h in self.words:
             _, term = self.known.find(h)
             term, tf = np.unique(term, return_counts=True)
             v = tf * self.idf[term]
-            rows.append((term, v / max(np.linalg.norm(v), 1e-12)))
+            norms.append(max(np.linalg.norm(v), 1e-12))
+            rows.append((term, v / norms[-1]))
         space = randomised_svd(spark, rows, len(picked))
         latent = np.array([v @ space[t] for t, v in rows])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
+        self.norm = np.array(norms, np.float32)
         self.weighted = (space * self.idf[:, None]).astype(np.float32)
         self.bits = []
         for h in self.words:
@@ -209,7 +213,7 @@ class Index:
                     fine[fine] &= own[other[fine]] == own[low:high][fine] + d
                     lat[fine] += sums[other[fine] - low]
                     sq[fine] += square[other[fine] - low]
-            cos = (lat @ self.latent) / np.sqrt(sq)[:, None]
+            cos = (lat @ self.latent) / np.minimum(np.sqrt(sq)[:, None], self.norm[None, :])
             for i, p in zip(*np.nonzero(cos >= COSINE), strict=True):
                 d = int(owner[low + i])
                 first = int(w.first[d] + (own[low + i] - base[d]) * HALF)

@@ -148,6 +148,33 @@ def test_lcs_and_svd(spark):
     assert np.allclose(m @ v @ v.T, m, atol=1e-6)  # the row space is kept whole
 
 
+def test_short_passages_of_a_large_benchmark_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    items = [word(n) for n in rng.integers(8, 60, 1100)]
+    texts, planted = [], set()
+    for d in range(150):
+        a, b, c = (int(k) for k in rng.choice(1100, 3, replace=False))
+        # c lacks every seventh word, which leaves more than 0.8 of it
+        texts.append((d, " ".join(word(40) + items[a] + word(50) + items[b] + word(5) + [w for i, w in enumerate(items[c]) if i % 7 != 6] + word(40))))
+        planted |= {(d, a), (d, b), (d, c)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    near = set()  # brute force: every item against every span of one and a half times its length
+    for i, w in enumerate(items):
+        bits = defaultdict(int)
+        for k, x in enumerate(w):
+            bits[x] |= 1 << k
+        for d, t in texts:
+            t = t.split(" ")
+            if sum(x in bits for x in t) >= 0.8 * len(w) and decontaminate._lcs(bits, len(w), t) >= 0.8 * len(w):
+                span = len(w) * 3 // 2
+                if any(decontaminate._lcs(bits, len(w), t[k : k + span]) >= 0.8 * len(w) for k in range(len(t))):
+                    near.add((d, i))
+    assert planted <= near <= found
+
+
 # ---- 4 WARC
 
 
