@@ -17,14 +17,14 @@ from .common import table, text_or_empty
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-# fixed values: label, keyword, names (regular expressions over words)
+# fixed values: label, keywords (every name has one of them), names (regular expressions over words)
 FAMILIES = (
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "mit|expat", r"mit|expat"),
     ("apache", "apache", r"apache(?: software)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
     ("apache-2.0", "apache", r"apache(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("gpl-1.0", "gnu", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?"),
+    ("gpl-1.0", "1", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?"),
     ("gpl-2.0", "2", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?|gplv2"),
     ("gpl-3.0", "3", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?|gplv3"),
     ("lgpl", "l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)"),
@@ -48,12 +48,12 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("libpng", "libpng", r"libpng"),
     ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtf", r"(?:wtfpl|do what the fuck you want to public license)"),
+    ("wtfpl", "wtf|fuck", r"(?:wtfpl|do what the fuck you want to public license)"),
     ("artistic", "artistic", r"artistic"),
     ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("boost", "boost", r"(?:boost software|bsl 1 0)"),
+    ("boost", "boost|bsl", r"(?:boost software|bsl 1 0)"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "attribution", r"(?:cc by|creative commons attribution)"),
+    ("cc-by", "cc by|attribution", r"(?:cc by|creative commons attribution)"),
     ("cc-by-sa", "s", r"(?:cc by sa|creative commons attribution share ?alike)"),
     ("cc-by-nc", "n", r"(?:cc by nc|creative commons attribution non ?commercial)"),
     ("cc-by-nd", "n", r"(?:cc by nd|creative commons attribution no ?derivatives|creative commons attribution no ?derivs)"),
@@ -82,7 +82,7 @@ FORMS = (
 # fixed values: single rules of whole statements
 SINGLE = (
     (5, "mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    (5, "isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose"),
+    (5, "isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
     (5, "bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     (5, "apache-2.0", "apache", r"licensed under the apache license version 2 0"),
     (5, "gpl", "gnu", r"under the terms of the gnu general public license as published by the free software foundation"),
@@ -97,13 +97,17 @@ SINGLE = (
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, pattern over words joined by one space), highest first."""
+    """(priority, label, keywords, pattern over words joined by one space), highest first."""
     made = [(p, label, key, form.format(names)) for label, key, names in FAMILIES for p, form in FORMS]
     return sorted([*SINGLE, *made, *((2, label, "license", phrase) for label, phrase in BASE)], key=lambda r: (-r[0], r[1], r[3]))
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GATE = r"(?i)licen[cs]e|copyright|rights|domain|redistribution|permission|unencumbered|confidential"
+#: What every rule's text has: one of these words, or the verb of a form and "under" after it.
+GATE = (
+    r"(?i)licen[cs]e|copyright|rights|domain|redistribution|permission|unencumbered|confidential"
+    r"|(?:released|distributed|available|published|provided)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under"
+)
 
 
 def _places(words: Column, pattern: Column) -> Column:
@@ -129,9 +133,9 @@ _HIT = "struct<start:int,back:int,rank:int,label:string>"
 
 def _detections(words: Column) -> Column:
     """array<struct<start, back = -end, rank = -priority, label>> of all rules, sorted."""
-    # gates: the family keyword, if it is a word of its own right, must be there
-    table_ = F.array(*[F.struct(F.lit(-p).alias("rank"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(pat).alias("pat")) for p, label, key, pat in rules()])
-    live = F.filter(table_, lambda r: F.contains(words, r["key"]))
+    # gates: one of the rule's keywords must be there
+    table_ = F.array(*[F.struct(F.lit(-p).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, key.split("|"))).alias("keys"), F.lit(pat).alias("pat")) for p, label, key, pat in rules()])
+    live = F.filter(table_, lambda r: F.exists(r["keys"], lambda k: F.contains(words, k)))
     hits = F.transform(live, lambda r: F.transform(_places(words, r["pat"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["rank"].alias("rank"), r["label"].alias("label"))))
     return F.array_sort(F.array_distinct(F.flatten(hits)))
 

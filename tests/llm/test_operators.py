@@ -444,6 +444,45 @@ def test_licenses(spark, corpus, texts):
     assert len(license_scan.rules()) > 200
 
 
+def phrases(pattern):
+    """All texts of a rule's pattern, one character for a class and each count."""
+    from itertools import product
+
+    def texts(part):
+        out = [""]
+        for op, arg in part:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            elif op == "SUBPATTERN":
+                more = texts(arg[3])
+            elif op == "BRANCH":
+                more = [t for b in arg[1] for t in texts(b)]
+            else:
+                low, high, inner = arg
+                more = [x * n for x in texts(inner) for n in sorted({low, min(int(high), low + 1)})]
+            out = [a + b for a, b in product(out, more)]
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_every_license_rule_passes_its_gates(spark):
+    shut = []
+    for _, label, keys, pattern in license_scan.rules():
+        for t in phrases(pattern):
+            assert re.fullmatch(pattern, t), (pattern, t)
+            if not re.search(license_scan.GATE, t) or not any(k in f" {t} " for k in keys.split("|")):
+                shut.append((label, t))
+    assert not shut
+    alone = ["This project is released under MIT.", "Released under the GPL v2", "Distributed under Apache 2.0", "available\nunder Expat", "license: BSL 1.0", "Licensed under CC BY 4.0", "license: GPL v1", "Provided (under) zlib"]
+    rows = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(rows).collect()}
+    assert all(label in got[i] for i, label in enumerate(["mit", "gpl-2.0", "apache-2.0", "mit", "boost", "cc-by", "gpl-1.0", "zlib"])), got
+
+
 # ---- 10 urls
 
 
