@@ -162,8 +162,10 @@ def _shared(keyed: DataFrame) -> DataFrame:
     """Segments that may hold repeats: (anchor, doc, twin, start, windows, first)."""
     same = Window.partitionBy("anchor", "content").orderBy("doc", "twin", "start")
     alike = Window.partitionBy("anchor")
-    # rows of one place (a repeated row of documents) have one rank
-    rows = _places(keyed).repartition("anchor").withColumn("nth", F.rank().over(same))
+    # rows of one place (a repeated row of documents) have one rank; of the first place one row is enough,
+    # as two would match each other
+    rows = _places(keyed).repartition("anchor").withColumn("nth", F.rank().over(same)).withColumn("row", F.row_number().over(same))
+    rows = rows.where("nth > 1 OR row = 1")
     rows = rows.withColumn("many", F.min("content").over(alike) != F.max("content").over(alike))
     return rows.where("sure OR nth > 1 OR many").select("anchor", "doc", "twin", "start", "windows", (~F.col("sure") & (F.col("nth") == 1)).alias("first"))
 

@@ -380,6 +380,18 @@ def test_substrings(corpus, texts, crowd, monkeypatch):
     assert substring_dedup.dedup(empty(corpus)).count() == 0
 
 
+def test_repeated_rows_next_to_a_shared_passage(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
+    shared = prose(60)
+    rows = [(i, f"{prose(40)} {shared} {prose(40)}") for i in range(8)]
+    once, twice = (spark.createDataFrame(r, "doc_id long, text string").repartition(3) for r in (rows, rows + rows[:4] * 2))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(once).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: 60 * (i > 0) for i in range(8)}
+    again = substring_dedup.dedup(twice).collect()
+    assert len(again) == 16 and {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in again} == {(i, *v) for i, v in got.items()}
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     sizes = rng.integers(6, 14, 40)
