@@ -3,7 +3,8 @@ r"""URL filters: longest-match rules, and for the rest trust propagated over hos
 Hosts get two scores by personalised PageRank over host edges (counted links between
 hosts, each edge once with its weight): trust flows from hosts that allow rules cover
 along links, distrust from blocked hosts against links, so that a host linking to blocked
-ones is distrusted. A host is blocked where distrust exceeds both a floor and its trust.
+ones is distrusted. A host is blocked where distrust exceeds its trust. Both are shares of
+the whole table, so only their relation counts: no bound that a larger table would move.
 
 Only DataFrame functions. Links are summed to edges before they meet the scores, scores
 are one row a host, and every round is a table in the shared folder.
@@ -18,7 +19,9 @@ from .common import drop_stored, stored, table
 
 #: (rule, verdict); a rule is a host and a path prefix that starts with "/".
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, FLOOR = 0.85, 8, 1e-6
+DAMPING, ROUNDS = 0.85, 8
+#: Distrust exceeds trust by more than what the order of sums makes of equal scores.
+EQUAL = 1e-9
 #: Host of an absolute or scheme-relative link in an html attribute.
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,19 +66,19 @@ def _rank(seeds: DataFrame, shares: DataFrame, rounds: int, damping: float) -> D
     The score is what links bring; a host's own seed stays out, since a rule for one path
     says nothing about the host's other pages.
     """
-    now = stored(seeds.select("host", F.col("seed").alias("score")), "rank")
+    now = stored(seeds.select("host", F.col("seed").alias("score"), F.lit(0.0).alias("linked")), "rank")
     for _ in range(rounds):
         gained = shares.join(now, F.col("giver") == F.col("host")).groupBy(F.col("taker").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("got"))
-        start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("got"))
-        after = stored(gained.unionByName(start).groupBy("host").agg(F.sum("got").alias("score")), "rank")
+        gained = gained.withColumn("linked", F.col("got"))
+        start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("got"), F.lit(0.0).alias("linked"))
+        after = stored(gained.unionByName(start).groupBy("host").agg(F.sum("got").alias("score"), F.sum("linked").alias("linked")), "rank")
         drop_stored(now)
         now = after
-    own = seeds.select(F.col("host").alias("_o"), ((1 - damping) * F.col("seed")).alias("own"))
-    return now.join(own, F.col("host") == F.col("_o"), "left").select("host", (F.col("score") - F.coalesce("own", F.lit(0.0))).alias("score"))
+    return now.select("host", F.col("linked").alias("score"))
 
 
 def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) of hosts that either reaches, rounded to twelve places.
+    """(host, trust, distrust) of hosts that either reaches.
 
     A host's seed is its share of all pages that an allow (or a block) rule covers.
     """
@@ -87,7 +90,7 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
         mine = seeds.where(F.col("verdict") == verdict)
         total = mine.agg(F.sum("count")).first()[0] or 1
         found = _rank(stored(mine.select("host", (F.col("count") / total).alias("seed")), "seed"), stored(_shares(edges, giver, taker), "shares"), rounds, damping)
-        found = found.select("host", F.round("score", 12).alias(name))
+        found = found.select("host", F.col("score").alias(name))
         scores = found if scores is None else scores.join(found, "host", "full")
     return scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
@@ -102,7 +105,7 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scores = host_scores(pages, rules).withColumnRenamed("host", "_h")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    blocked = (F.coalesce("distrust", F.lit(0.0)) > FLOOR) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
+    blocked = F.coalesce("distrust", F.lit(0.0)) > (1 + EQUAL) * F.coalesce("trust", F.lit(0.0))
     # scores have a row a host: a host with a third of the pages is a skew that the join may split
     return rows.join(scores, F.col("host") == F.col("_h"), "left").select(
         "page_id",

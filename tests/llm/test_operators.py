@@ -519,3 +519,16 @@ def test_urls(spark):
     assert all(url_rule(*url_parts(u))[1] in (None, by[i]["verdict"]) for i, u, _ in rows if i != 1)  # two rows have id 1
     assert by[101]["trust"] > 0
     assert url_filter.judged_urls(empty(pages)).count() == 0
+
+
+def test_url_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    rows = [("http://linker{}.io/", '<a href="http://bad{}.net/"><a href="http://plain{}.io/">'), ("http://heavy{}.io/", '<a href="http://bad{}.net/">' * 1000)]
+    rows += [("http://bad{}.net/", ""), ("http://plain{}.io/", '<a href="http://linker{}.io/">'), ("http://far{}.io/", '<a href="http://linker{}.io/"><a href="http://plain{}.io/">')]
+    rows += [("http://friend{}.io/", '<a href="http://bad{}.net/">'), ("http://g{}.example.net/en/", '<a href="http://friend{}.io/"><a href="http://kept{}.io/">'), ("http://kept{}.io/", "")]
+    one = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    copies = spark.range(400).withColumnRenamed("id", "copy")
+    many = one.crossJoin(copies).select("page_id", *[F.replace(c, F.lit("{}"), F.col("copy").cast("string")).alias(c) for c in ("url", "html")])
+    few = {r["page_id"]: r["verdict"] for r in url_filter.judged_urls(one.select("page_id", *[F.replace(c, F.lit("{}"), F.lit("x")).alias(c) for c in ("url", "html")])).collect()}
+    got = url_filter.judged_urls(many).groupBy("page_id", "verdict").count().collect()
+    assert few[0] == few[1] == few[4] == "block" and few[6] == few[7] == "allow"
+    assert {(r["page_id"], r["verdict"], r["count"]) for r in got} == {(i, v, 400) for i, v in few.items()}
