@@ -4,7 +4,8 @@ Only DataFrame functions: matches are located by splitting the text at a pattern
 adding up the lengths of gaps and matches, so positions are code points.
 
 The battery takes tokens of 20 or more characters with digits and letters or mixed case,
-infers an encoding (hex, base32, base62, base64) and tests them as draws from its alphabet:
+infers an encoding (hex, base32, base36, base62, base64) and tests them as draws from its
+alphabet. Of the alphabets that fit, the smallest counts that no test rejects:
 
 * chi-squared uniformity (Wilson-Hilferty),
 * runs above and below the middle of the alphabet (Wald-Wolfowitz),
@@ -36,8 +37,13 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.14, 0.03),
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0056),
+    ("base32 lower", r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.066, 0.0056),
+    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.066, 0.0056),
+    ("base36 upper", r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.066, 0.0056),
     ("base62", r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.062, 0.0052),
-    ("base64", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 0.060, 0.005),
+    ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.060, 0.005),
+    ("base64 url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.060, 0.005),
+    ("base64 mixed", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 0.060, 0.005),
 )
 FALSE_DISCOVERY, REJECT = 0.05, 0.001
 _BINS, _BIN = 60, 0.1  # p-values by -log10, in tenths
@@ -85,7 +91,9 @@ def battery(token: Column) -> Column:
         code = F.transform(F.filter(F.split(same_case, ""), lambda c: c != ""), lambda c: F.instr(e["a"], c) - 1)
         return _with(code, lambda x: _statistics(x, e))
 
-    return F.element_at(F.transform(F.slice(F.filter(rules, lambda e: F.regexp_like(token, e["p"])), 1, 1), tests), 1)
+    fitting = F.transform(F.filter(rules, lambda e: F.regexp_like(token, e["p"])), tests)
+    # a token that every alphabet rejects counts as language of the smallest
+    return _with(fitting, lambda x: F.element_at(F.concat(F.filter(x, lambda b: b["random"]), x), 1))
 
 
 def _with(value: Column, use) -> Column:

@@ -71,6 +71,21 @@ def test_secrets(spark, corpus, texts):
     assert secret_scan.find_secrets(empty(docs)).count() == 0
 
 
+def test_random_tokens_of_every_alphabet_and_length(spark):
+    rng = np.random.default_rng(8)
+    digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"hex": digits + "ABCDEF", "base32": low.upper() + "234567", "lower base32": low + "234567", "base36": digits + low, "upper base36": digits + low.upper(), "base62": digits + low + low.upper()}
+    kinds |= {"base64": kinds["base62"] + "+/", "base64 url": kinds["base62"] + "-_"}
+    tokens = [(k, n, "".join(rng.choice(list(a), n))) for k, a in kinds.items() for n in (40, 64, 80, 128, 400, 1600, 2000) for _ in range(20)]
+    df = spark.createDataFrame(tokens, "kind string, n int, t string").repartition(4)
+    power = df.groupBy("kind", "n").agg(F.avg(secret_scan.battery(F.col("t"))["random"].cast("int")).alias("power")).collect()
+    assert len(power) == 56 and all(r["power"] >= 0.9 for r in power), sorted((r["power"], r["kind"], r["n"]) for r in power)[:9]
+    assert sum(r["power"] for r in power) / 56 > 0.99
+    docs = spark.createDataFrame([(i, f"key {t} end") for i, (_, n, t) in enumerate(tokens) if n >= 64], "doc_id long, text string").repartition(4)
+    left = secret_scan.redact(docs).where("text <> 'key [secret] end'").count()
+    assert left <= 960 * 0.05, left
+
+
 # ---- 2 mixing
 
 
