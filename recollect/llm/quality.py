@@ -1,7 +1,9 @@
 """Quality rules: text statistics and divergence from language references.
 
 A document's histograms of character classes and of common words are compared with
-those of its language by Jensen-Shannon distance (base 2, so from 0 to 1). The
+those of its language by Jensen-Shannon distance (base 2, so from 0 to 1). Apart from
+which common words there are, a text is rejected that has too few of them (gibberish, a
+language without a reference) or mostly those of another language. The
 references are summed over all documents of the language that pass the base rules and
 are long enough to judge.
 """
@@ -30,6 +32,10 @@ N_CLASS, N_WORD = len(CLASSES), max(len(dict.fromkeys(w)) for w in COMMON.values
 MIN_WORDS, MIN_REFERENCE_DOCS = 50, 20
 #: Distances above these reject.
 MAX_CLASS, MAX_COMMON = 0.30, 0.60
+#: Too few common words: less than this part of the reference's share, and by chance rarer than exp(-CHANCE).
+MIN_SHARE, CHANCE = 0.5, 9.2
+#: Another language: FOREIGN common words that only it has, and three more for each that only the own one has.
+FOREIGN = 5
 REPEAT_WINDOW, MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
 _CLASS_OF = np.full(256, 7, np.int64)
@@ -62,7 +68,7 @@ def features(texts: list, langs: list) -> dict[str, np.ndarray]:
     """Statistics of whole texts; ``hist`` is (n, classes + common words + rest) of counts."""
     hashes, near, where = _VOCABULARY
     n = len(texts)
-    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang")}
+    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "foreign")}
     hist = out["hist"] = np.zeros((n, N_CLASS + N_WORD), np.int64)
     code = {x: k for k, x in enumerate(LANGS)}
     for low, high, w in runs(texts):
@@ -95,6 +101,8 @@ def features(texts: list, langs: list) -> dict[str, np.ndarray]:
             if k < 0:  # no such reference: the language with most common words
                 k = int((hits >= 0).sum(axis=1).argmax())
             out["lang"][i] = k
+            only = ((hits >= 0) & (hits[k] < 0)).sum(axis=1), ((hits < 0) & (hits[k] >= 0)).sum(axis=1)
+            out["foreign"][i] = (only[0] >= FOREIGN + 3 * only[1]).any()
             own = hits[k][hits[k] >= 0]
             hist[i, N_CLASS : N_CLASS + N_WORD - 1] = np.bincount(own, minlength=N_WORD - 1)
             hist[i, -1] = count[i - low] - len(own)
@@ -154,21 +162,41 @@ def divergence(f: dict, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.where(guard, distance(f["hist"][:, s], own[:, s]), 0.0) for s in (slice(0, N_CLASS), slice(N_CLASS, None)))
 
 
+def lacking(f: dict, reference: np.ndarray) -> np.ndarray:
+    """Which texts have too few common words for their language, or those of another one.
+    Chances are Chernoff bounds of a binomial; false below the length guards."""
+    own = reference[f["lang"]]
+    n = np.maximum(f["n_words"], 1)
+    share = f["hist"][:, N_CLASS:-1].sum(axis=1) / n
+    usual = np.clip(own[:, N_CLASS:-2].sum(axis=1) / np.maximum(own[:, N_CLASS:-1].sum(axis=1), 1), 1e-12, 1 - 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chance = n * sum(np.where(x > 0, x * np.log(x / y), 0) for x, y in ((share, usual), (1 - share, 1 - usual)))
+    few = (own[:, -1] >= MIN_REFERENCE_DOCS) & (share < MIN_SHARE * usual) & (chance >= CHANCE)
+    return (f["n_words"] >= MIN_WORDS) & (few | (f["foreign"] > 0))
+
+
+def passes(f: dict, reference: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Verdict of base rules and method, failure of the base rules, both distances."""
+    c, w = divergence(f, reference)
+    bad = base_failed(f)
+    return ~bad & (c <= MAX_CLASS) & (w <= MAX_COMMON) & ~lacking(f, reference), bad, c, w
+
+
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, five counts, lang index, hist) by document, stored."""
+    """(doc_id, five counts, lang index, foreign, hist) by document, stored."""
 
     def run(batches):
         for b in batches:
             f = features(b.column("text").to_pylist(), b.column("lang").to_pylist())
             flat = pa.ListArray.from_arrays(np.arange(0, f["hist"].size + 1, f["hist"].shape[1], dtype=np.int32), pa.array(f["hist"].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[k]) for k in (*_FIELDS, "lang")), flat], ["doc_id", *_FIELDS, "lang", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[k]) for k in (*_FIELDS, "lang", "foreign")), flat], ["doc_id", *_FIELDS, "lang", "foreign", "hist"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    return stored(rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in _FIELDS)}, lang long, hist array<long>"), "quality")
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in _FIELDS)}, lang long, foreign long, hist array<long>"), "quality")
 
 
 def references(found: DataFrame) -> np.ndarray:
@@ -196,11 +224,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            f = {k: b.column(k).to_numpy() for k in (*_FIELDS, "lang")}
+            f = {k: b.column(k).to_numpy() for k in (*_FIELDS, "lang", "foreign")}
             f["hist"] = np.asarray(b.column("hist").flatten()).reshape(len(b), N_CLASS + N_WORD)
-            c, w = divergence(f, reference)
-            bad = base_failed(f)
-            keep = ~bad & (c <= MAX_CLASS) & (w <= MAX_COMMON)
+            keep, bad, c, w = passes(f, reference)
             names = ["doc_id", *_FIELDS, "base_failed", "kept", "class_distance", "common_distance"]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(k) for k in _FIELDS), *map(pa.array, (bad, keep, c, w))], names)
 
@@ -215,8 +241,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             f = features(b.column("text").to_pylist(), b.column("lang").to_pylist())
-            c, w = divergence(f, reference)
-            yield b.filter(pa.array(~base_failed(f) & (c <= MAX_CLASS) & (w <= MAX_COMMON)))
+            yield b.filter(pa.array(passes(f, reference)[0]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -364,6 +364,23 @@ def test_symbols_are_rejected(spark, corpus):
     assert quality.distance(a, b).tolist() == [1.0, 0.0]
 
 
+def test_gibberish_and_wrong_languages_are_rejected(spark):
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def prose(lang, n):  # as many common words as the test tables have
+        made = ["".join(rng.choice(letters, rng.integers(4, 10))) for _ in range(n)]
+        return " ".join(str(rng.choice(quality.COMMON[lang])) if rng.random() < 0.22 else w for w in made)
+
+    clean = [(lang, prose(lang, int(n))) for lang in quality.LANGS for n in rng.integers(60, 400, 60)]
+    junk = [(lang, " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(int(n)))) for lang in quality.LANGS for n in rng.integers(60, 400, 10)]
+    wrong = [(b, prose(a, int(n))) for a in quality.LANGS for b in quality.LANGS if a != b for n in rng.integers(200, 400, 4)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(clean + junk + wrong)], "doc_id long, lang string, text string").repartition(3)
+    kept = {r["doc_id"] for r in quality.judge(docs).where("kept").collect()}
+    assert kept == set(range(len(clean)))
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == kept
+
+
 # ---- 8 substrings
 
 
