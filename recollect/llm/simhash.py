@@ -169,9 +169,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest text hash stays. Of rows that repeat both, one stays.
     """
     prints = stored(with_fingerprint(docs), "simhash-fp")
-    joined = _labelled(prints, radius)
+    return keep_first(docs, prints, _labelled(prints, radius).withColumnRenamed("fp", "node"), "fp")
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The first row of each label; a ``name`` of ``prints`` without a (node, label) is one of its own."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
-    first = prints.groupBy("fp").agg(F.min(place).alias("place")).join(joined, "fp").groupBy("label").agg(F.min("place").alias("place"))
+    named = prints.groupBy(F.col(name).alias("node")).agg(F.min(place).alias("place")).join(labels.select("node", "label"), "node", "left")
+    first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("place").alias("place"))
     stay = first.select(F.col("place.doc_id").alias("_stay"), F.col("place.content").alias("_content"))
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.xxhash64("text") == F.col("_content")), "left_semi")
     # the limit of one row a window is applied before the shuffle too

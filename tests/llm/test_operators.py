@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recollect.llm import chat_format, decontaminate, license_scan, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
+from recollect.llm import chat_format, decontaminate, license_scan, minhash, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 from recollect.llm.common import Words
 from recollect.llm.components import components
 from recollect.llm.fm_index import FMIndex, suffix_array
@@ -306,6 +306,47 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert Counter(kept) == Counter([(None, t) for t in unlike[:6]] + [(1, t) for t in unlike[6:]] + [(2, None)])
 
 
+@pytest.mark.parametrize("all_pairs", [minhash.ALL_PAIRS, 0])  # 0: round by round
+def test_no_pair_of_five_word_shingles_at_four_fifths_stays(spark, corpus, texts, all_pairs, monkeypatch):
+    monkeypatch.setattr(minhash, "ALL_PAIRS", all_pairs)
+    rng = np.random.default_rng(12)
+    made = [f"w{k}" for k in range(5000)]
+    rows = [(i, t) for i, t in texts]
+    for g in range(30):
+        text = [str(w) for w in rng.choice(made, 200)]
+        for k in range(6):  # some pairs above 0.8, some below
+            copy = list(text)
+            for at in rng.choice(200, k, replace=False):
+                copy[at] = f"x{g}_{k}_{at}"
+            rows.append((10_000 + 10 * g + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, prints = [], [fingerprint(t) for _, t in rows]
+    for _, t in rows:
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    new = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same, far = len(a & sets[j]), (prints[i] ^ prints[j]).bit_count() > 4
+            if not far or same >= 0.8 * (len(a) + len(sets[j]) - same):
+                new += far
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r)
+    least = {min((i for i, _ in g if i is not None), default=None) for g in groups.values()}
+    kept = [r["doc_id"] for r in minhash.keep_one(docs).collect()]
+    assert new > 50 and len(kept) == len(groups) and set(kept) == least
+    assert minhash.keep_one(empty(docs)).count() == 0
+
+
 def test_covering_misses_no_pair(spark):
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**64, 40, dtype=np.uint64)
