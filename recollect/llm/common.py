@@ -61,6 +61,36 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# --------------------------------------------------------------------------------------
+# column helpers
+
+_BLOCK = 256
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, merge=lambda a, b: a + b, start: int = 0) -> Column:
+    """For each entry of an array of longs what ``merge`` makes of all entries before it.
+
+    In blocks: an array that grows by appending is copied at every step, which in one long
+    array costs the square of its length.
+    """
+    zero = F.lit(start).cast("long")
+
+    def fold(xs: Column, begin: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).cast("long").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(xs, F.struct(begin.alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+
+    def blocked(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return let(cut, lambda bs: F.flatten(F.zip_with(bs, fold(F.transform(bs, lambda b: F.aggregate(b, zero, lambda a, x: merge(a, x).cast("long"))), zero), fold)))
+
+    return let(values, blocked)
+
+
 # --------------------------------------------------------------------------------------
 # vectorised tokenizer
 

@@ -1,9 +1,10 @@
 r"""License scans: ordered signature rules over words.
 
-Texts are taken as words ([0-9a-z] and non-ASCII runs, A-Z lower-cased). A cheap keyword
-search gates everything else; then each rule has its own keyword gate. Hits are word
-intervals; one that lies within an interval of a higher priority, or within a longer one
-of the same, is suppressed. Base phrases are counted wherever they stand, suppressed or not.
+Texts are taken as words ([0-9a-z] and non-ASCII runs, A-Z lower-cased). A search for a few
+stems gates the whole text; then a rule runs only where all its keywords stand as words
+(:mod:`license_rules` has the rules). Hits are word intervals; one that lies within an
+interval of a higher priority, or within a longer one of the same, is suppressed. Base
+phrases are counted wherever they stand, suppressed or not.
 """
 
 from __future__ import annotations
@@ -11,190 +12,139 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import let, running, table, text_or_empty
+from .license_rules import SIGNATURES
 
 #: Words of the raw text (A-Z still there) and after lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
+#: Some keyword of every rule holds one of these, or else it has "under" and a short name.
+STEMS = "advertising licen lizenz gpl copyright copyleft permi redistribut domain warrant merchantab reserved proprietary prohibited commons cecill eupl wtfpl".split()
+NAMES = "mit apache bsd isc mpl zlib".split()
+KEYS = sorted({k for _, _, keys, _ in SIGNATURES for k in keys})
+TOP = max(p for p, *_ in SIGNATURES)
 
-# fixed values: label, keywords (every name has one of them), names (regular expressions over words)
-FAMILIES = (
-    ("mit", "mit|expat", r"mit|expat"),
-    ("apache", "apache", r"apache(?: software)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2.0", "apache", r"apache(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("gpl-1.0", "1", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "2", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?|gplv2"),
-    ("gpl-3.0", "3", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?|gplv3"),
-    ("lgpl", "l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)"),
-    ("lgpl-2.1", "2", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)(?: version| v)? ?2 1|lgplv2 1"),
-    ("lgpl-3.0", "3", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?|lgplv3"),
-    ("agpl", "a", r"(?:gnu )?(?:agpl|affero general public license)"),
-    ("agpl-3.0", "3", r"(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?|agplv3"),
-    ("bsd", "bsd", r"bsd"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("isc", "isc", r"isc"),
-    ("mpl", "m", r"(?:mpl|mozilla public license)"),
-    ("mpl-1.1", "1", r"(?:mpl|mozilla public license)(?: version| v)? ?1 1"),
-    ("mpl-2.0", "2", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
-    ("epl", "e", r"(?:epl|eclipse public license)"),
-    ("epl-2.0", "2", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"),
-    ("cddl", "c", r"(?:cddl|common development and distribution license)"),
-    ("cpl", "c", r"common public license"),
-    ("eupl", "eu", r"(?:eupl|european union public licen[cs]e)"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("libpng", "libpng", r"libpng"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtf|fuck", r"(?:wtfpl|do what the fuck you want to public license)"),
-    ("artistic", "artistic", r"artistic"),
-    ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("boost", "boost|bsl", r"(?:boost software|bsl 1 0)"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "cc by|attribution", r"(?:cc by|creative commons attribution)"),
-    ("cc-by-sa", "s", r"(?:cc by sa|creative commons attribution share ?alike)"),
-    ("cc-by-nc", "n", r"(?:cc by nc|creative commons attribution non ?commercial)"),
-    ("cc-by-nd", "n", r"(?:cc by nd|creative commons attribution no ?derivatives|creative commons attribution no ?derivs)"),
-    ("odbl", "o", r"(?:odbl|open database license)"),
-    ("ofl", "o", r"(?:ofl|open font license)"),
-    ("psf", "p", r"(?:psf|python software foundation)"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("php", "php", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("vim", "vim", r"vim"),
-    ("sil", "sil", r"sil open font"),
-    ("gfdl", "f", r"(?:gfdl|gnu free documentation license)"),
-    ("sspl", "s", r"(?:sspl|server side public license)"),
-    ("busl", "b", r"(?:busl|business source license)"),
-)
-#: priority, phrase around a name; {} is the name
-FORMS = (
-    (4, r"spdx license identifier (?:{})"),
-    (3, r"(?:re)?licensed under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?"),
-    (3, r"released under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?"),
-    (3, r"(?:distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?"),
-    (2, r"(?:the )?(?:{}) licen[cs]e(?: version [0-9]+(?: [0-9]+)?)?"),
-    (1, r"licen[cs]e (?:is )?(?:the )?(?:{})"),
-)
-# fixed values: single rules of whole statements
-SINGLE = (
-    (5, "mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    (5, "isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
-    (5, "bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    (5, "apache-2.0", "apache", r"licensed under the apache license version 2 0"),
-    (5, "gpl", "gnu", r"under the terms of the gnu general public license as published by the free software foundation"),
-    (5, "gpl-3.0", "gnu", r"gnu general public license version 3"),
-    (5, "gpl-2.0", "gnu", r"gnu general public license version 2"),
-    (5, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    (4, "proprietary", "rights", r"all rights reserved"),
-    (4, "public-domain", "domain", r"(?:in|into|to) the public domain"),
-    (3, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-    (3, "proprietary", "confidential", r"proprietary and confidential"),
-)
-
-
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keywords, pattern over words joined by one space), highest first."""
-    made = [(p, label, key, form.format(names)) for label, key, names in FAMILIES for p, form in FORMS]
-    return sorted([*SINGLE, *made, *((2, label, "license", phrase) for label, phrase in BASE)], key=lambda r: (-r[0], r[1], r[3]))
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HIT = "struct<start:int,back:int,rank:int,label:string>"
 
 
-_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What every rule's text has: one of these words, or the verb of a form and "under" after it.
-GATE = (
-    r"(?i)licen[cs]e|copyright|rights|domain|redistribution|permission|unencumbered|confidential"
-    r"|(?:released|distributed|available|published|provided)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under"
-)
+def gate(text: Column) -> Column:
+    """False only for texts in which no rule can match."""
+
+    def any_of(low: Column, words: list[str]) -> Column:
+        found = F.lit(False)
+        for w in words:
+            found = found | low.contains(w)
+        return found
+
+    return let(F.lower(text), lambda low: any_of(low, STEMS) | (low.contains("under") & any_of(low, NAMES)))
 
 
 def _places(words: Column, pattern: Column) -> Column:
     """Word intervals array<struct<start, end>> where ``pattern`` stands in ``words`` (" w w w ")."""
-    # a space before, a space after that stays for the next hit
+    # a space before, and one after that stays for the next hit; words hold no control characters
     full = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    parts = F.zip_with(F.split(words, full, -1), F.regexp_extract_all(words, full, F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    start = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("out"))
+    spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
-    def step(acc, x):
-        first = acc["at"] + spaces(x["g"])
-        last = first + spaces(x["h"])
-        one = F.struct(first.alias("start"), (last + 1).alias("end"))
-        return F.struct(last.alias("at"), F.coalesce(F.array_append(acc["out"], one), F.array(one)).alias("out"))
+    def cut(marked: Column) -> Column:
+        # every piece but the first is a hit and the gap after it
+        pieces = F.transform(F.split(marked, "\u0001"), lambda p: F.struct(spaces(F.substring_index(p, "\u0002", 1)).alias("hit"), spaces(p).alias("all")))
+        return let(
+            pieces,
+            lambda ps: F.slice(
+                F.zip_with(ps, running(F.transform(ps, lambda p: p["all"])), lambda p, at: F.struct((at - 1).cast("int").alias("start"), (at + p["hit"]).cast("int").alias("end"))),
+                2,
+                F.greatest(F.size(ps) - 1, F.lit(0)),
+            ),
+        )
 
-    out = F.aggregate(F.filter(parts, lambda x: x["h"].isNotNull()), start, step)["out"]
-    return F.coalesce(out, F.array().cast("array<struct<start:int,end:int>>"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return let(F.regexp_replace(words, full, F.lit("\u0001$0\u0002")), lambda m: F.when(F.instr(m, F.lit("\u0001")) > 0, cut(m)).otherwise(none))
 
 
-_HIT = "struct<start:int,back:int,rank:int,label:string>"
-
-
-def _detections(words: Column) -> Column:
+def _detections(words: Column, spaced: Column) -> Column:
     """array<struct<start, back = -end, rank = -priority, label>> of all rules, sorted."""
-    # gates: one of the rule's keywords must be there
-    table_ = F.array(*[F.struct(F.lit(-p).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, key.split("|"))).alias("keys"), F.lit(pat).alias("pat")) for p, label, key, pat in rules()])
-    live = F.filter(table_, lambda r: F.exists(r["keys"], lambda k: F.contains(words, k)))
-    hits = F.transform(live, lambda r: F.transform(_places(words, r["pat"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["rank"].alias("rank"), r["label"].alias("label"))))
+    rules = F.array(*[F.struct(F.lit(-p).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.lit(pat).alias("pat")) for p, label, keys, pat in SIGNATURES])
+    live = let(F.array_intersect(words, F.array(*map(F.lit, KEYS))), lambda there: F.filter(rules, lambda r: F.forall(r["keys"], lambda k: F.array_contains(there, k))))
+    hits = F.transform(live, lambda r: F.transform(_places(spaced, r["pat"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["rank"].alias("rank"), r["label"].alias("label"))))
     return F.array_sort(F.array_distinct(F.flatten(hits)))
 
 
 def _unsuppressed(hits: Column) -> Column:
     """Drops hits within one of a higher priority or within a longer one of the same.
 
-    Sorted by start, then longest, then priority, an interval can only lie within earlier
-    ones; the farthest end so far for each priority is all that needs to be known.
+    Sorted by start, then longest, an interval can only lie within earlier ones. For each
+    priority it is enough to know the farthest end so far and, of those that reach it, the
+    smallest start, as one number; two labels for one interval both stay.
     """
-    top = max(r[0] for r in rules())
-    begin = F.struct(F.array_repeat(F.lit(-1), top + 1).alias("far"), F.array().cast(f"array<{_HIT}>").alias("out"))
+    code = lambda h: -h["back"].cast("long") * (1 << 31) + ((1 << 31) - 1 - h["start"])
+
+    def judged(hs: Column) -> Column:
+        far = lambda wanted: running(F.transform(hs, lambda h: F.when(wanted(-h["rank"]), code(h)).otherwise(-1)), lambda a, b: F.greatest(a, b), -1)
+        at_least = [far(lambda rank, p=p: rank >= p) for p in range(1, TOP + 2)]
+        only = [far(lambda rank, p=p: rank == p) for p in range(1, TOP + 1)]
+
+        def stays(h: Column, i: Column, above: Column, same: Column) -> Column:
+            higher = F.element_at(F.element_at(above, -h["rank"] + 1), i + 1)
+            mine = F.element_at(F.element_at(same, -h["rank"]), i + 1)
+            return (F.shiftright(higher, 31) < -h["back"]) & (mine <= code(h))
+
+        return let(F.array(*at_least), lambda above: let(F.array(*only), lambda same: F.filter(hs, lambda h, i: stays(h, i, above, same))))
 
-    def step(acc, x):
-        p, end = -x["rank"], -x["back"]
-        above = F.exists(F.slice(acc["far"], p + 1, F.lit(top + 1)), lambda f: f >= end)
-        # a twin (same interval and priority) of another label stays
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        twin = (last["start"] == x["start"]) & (last["back"] == x["back"]) & (last["rank"] == x["rank"])
-        higher = F.exists(F.slice(acc["far"], p + 2, F.lit(top + 1)), lambda f: f >= end)
-        gone = F.when(F.coalesce(twin, F.lit(False)), higher).otherwise(above)
-        far = F.transform(acc["far"], lambda f, i: F.when(i == p, F.greatest(f, end)).otherwise(f))
-        return F.struct(far.alias("far"), F.when(gone, acc["out"]).otherwise(F.array_append(acc["out"], x)).alias("out"))
+    return let(hits, lambda hs: F.when(F.size(hs) > 1, judged(hs)).otherwise(hs))
 
-    return F.aggregate(hits, begin, step)["out"]
+
+def detections(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, ``base`` (array of label and the starts of
+    its phrase) and ``hits`` (array of start, back = -end, rank = -priority, label), intervals
+    of words, suppressed ones left out."""
+    t = text_or_empty()
+    words = F.when(gate(t), F.regexp_extract_all(F.translate(t, _UP, _LOW), F.lit(RAW_WORD), F.lit(0)))
+    rows = docs.select("doc_id", F.regexp_count(t, F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("_w"))
+
+    def scanned(ws: Column) -> Column:
+        spaced = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+
+        def found(s: Column) -> Column:
+            base = F.array(*[F.struct(F.lit(label).alias("label"), F.transform(_places(s, F.lit(phrase)), lambda x: x["start"]).alias("starts")) for label, phrase in BASE])
+            return F.struct(base.alias("base"), _unsuppressed(_detections(ws, s)).alias("hits"))
+
+        return let(spaced, found)
+
+    rows = rows.withColumn("_x", F.when(F.col("_w").isNotNull(), scanned(F.col("_w"))))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("_x.base", F.array().cast("array<struct<label:string,starts:array<int>>>")).alias("base"),
+        F.coalesce("_x.hits", F.array().cast(f"array<{_HIT}>")).alias("hits"),
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score.
+    base_labels, labels, score, spans (label:start:end of what is not suppressed).
 
     score is the share of evidence: 1 - product over distinct labels' best priorities of
-    (1 - priority / 6). Null text counts as empty (no words, no labels, score 0); repeated
-    rows are scanned alike; whole texts are scanned; an empty table gives no rows; other
-    columns are ignored.
+    (1 - priority / 7). Null text counts as empty (no words, no labels, score 0); repeated
+    rows are scanned alike; whole texts are scanned, in time that grows with text and hits;
+    an empty table gives no rows; other columns are ignored.
     """
-    t = text_or_empty()
-    gated = t.rlike(GATE)
-    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate(t, _UP, _LOW), F.lit(RAW_WORD), F.lit(0)), " "), F.lit(" "))
-    rows = docs.select("doc_id", F.regexp_count(t, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gated, words).alias("_w"))
-    for i, (_, phrase) in enumerate(BASE):
-        rows = rows.withColumn(f"_b{i}", F.when(F.col("_w").contains(f" {phrase} "), _places(F.col("_w"), F.lit(phrase))))
-    starts = F.concat(*[F.coalesce(F.transform(f"_b{i}", lambda s: s["start"]), F.array().cast("array<int>")) for i in range(len(BASE))])
-    base = F.filter(F.array(*[F.when(F.size(f"_b{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(BASE)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("_starts", starts).withColumn("_base", base)
-    rows = rows.withColumn("_hits", F.when(F.col("_w").isNotNull(), _unsuppressed(_detections(F.col("_w"))))).drop("_w")
-    rows = rows.withColumn("_hits", F.coalesce("_hits", F.array().cast(f"array<{_HIT}>")))
-    names = F.array_sort(F.array_distinct(F.concat("_base", F.transform("_hits", lambda h: h["label"]))))
-    best = F.transform(names, lambda n: F.greatest(F.coalesce(F.array_max(F.transform(F.filter("_hits", lambda h: h["label"] == n), lambda h: -h["rank"])), F.lit(2)), F.lit(1)))
-    score = 1 - F.aggregate(best, F.lit(1.0), lambda acc, p: acc * (1 - p / 6))
+    rows = detections(docs).withColumn("_base", F.filter("base", lambda b: F.size(b["starts"]) > 0))
+    rows = rows.withColumn("_starts", F.flatten(F.transform("_base", lambda b: b["starts"]))).withColumn("_own", F.transform("_base", lambda b: b["label"]))
+    names = F.array_sort(F.array_union("_own", F.array_distinct(F.transform("hits", lambda h: h["label"]))))
+    best = F.transform(names, lambda n: F.coalesce(F.array_max(F.transform(F.filter("hits", lambda h: h["label"] == n), lambda h: -h["rank"])), F.lit(3)))
+    score = 1 - F.aggregate(best, F.lit(1.0), lambda acc, p: acc * (1 - p / (TOP + 1)))
+    spans = F.transform("hits", lambda h: F.concat_ws(":", h["label"], h["start"].cast("string"), (-h["back"]).cast("string")))
     return rows.select(
         "doc_id",
         "n_words",
         F.size("_starts").cast("long").alias("n_base"),
         F.array_min("_starts").cast("long").alias("first_word"),
         F.array_max("_starts").cast("long").alias("last_word"),
-        F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
+        F.array_join(F.array_sort("_own"), ",").alias("base_labels"),
         F.array_join(names, ",").alias("labels"),
         F.round(score, 6).alias("score"),
+        F.array_join(spans, ",").alias("spans"),
     )
 
 
