@@ -4,10 +4,15 @@ A turn is ``<|im_start|>role\ntext<|im_end|>\n``. In texts and roles a backslash
 doubled and ``<|`` becomes ``<\|``, so no text can hold a control string, and reading
 back undoes it exactly; a line feed in a role becomes ``<|nl|>``.
 
-Long conversations are cut into windows by prefix sums of turn tokens: a window holds the
-turns whose tokens end within one budget. Every window starts with the system turn and
-the last turns before it (at most HISTORY); the loss mask covers the assistant turns that
-are new in the window, so each target counts once.
+Long conversations are cut into windows by prefix sums of turn tokens. What the system turn
+leaves of the budget is a quarter history, the rest two halves: turns of up to a half are
+dealt by the half in which their tokens end, so that they and one that straddles fill two
+halves at most; a longer turn is a window of its own. Every window starts with the system
+turn and the last turns before it (at most HISTORY, as far as their quarter goes); the loss
+mask covers the assistant turns that are new in the window, so each target counts once.
+
+No window exceeds its budget, context counted, unless a single turn does, which then stands
+alone. A system turn of over half the budget is not repeated.
 
 Only DataFrame functions. One shuffle by conversation serves windows and read-back.
 """
@@ -40,32 +45,54 @@ def unescape_role(c: Column) -> Column:
 
 
 def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, context, text, loss): one row a window.
+    """(conv_id, window, context, tokens, text, loss): one row a window.
 
     ``context`` is the number of leading turns that are repeated (system turn, history),
     ``loss`` the code-point spans (start, end) of ``text`` that are targets. Turns go by
     turn, then role and text, so ties and repeated rows have one order and all stay; null
     roles, texts and turn numbers (first) are taken; a null conv_id is a conversation. A
-    turn longer than the budget has a window of its own, whole.
+    window has at most budget / OVERHEAD turns.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     tokens = F.regexp_count("text", F.lit(WORD)) + OVERHEAD
     rows = rows.withColumn("tokens", tokens.cast("long")).withColumn("n", F.row_number().over(order))
-    rows = rows.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("w", F.floor((F.col("upto") - 1) / budget).cast("long"))
-    # windows that repeat this turn as history: those of the next turns, where they are other windows
-    after = [F.lead("w", i).over(order) for i in range(1, history + 1)]
-    system = F.first(F.when(F.col("role") == "system", F.struct("n", "text")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("ws", F.array_distinct(F.filter(F.array("w", *after), lambda x: x.isNotNull()))).withColumn("sys", system)
-    member = rows.select("*", F.explode("ws").alias("window")).withColumn("new", F.col("w") == F.col("window"))
+    system = F.first(F.when(F.col("role") == "system", F.struct("n", "text", "tokens")), ignorenulls=True)
+    rows = rows.withColumn("sys", system.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("fits", F.coalesce(F.col("sys.tokens") <= budget // 2, F.lit(False)))
+    rows = rows.withColumn("room", budget - F.when(F.col("fits"), F.col("sys.tokens")).otherwise(0))
+    rows = rows.withColumn("spare", F.floor(F.col("room") / 4))
+    rows = rows.withColumn("half", F.greatest(F.floor((F.col("room") - F.col("spare")) / 2), F.lit(1)))
+    rows = rows.withColumn("large", F.col("tokens") > F.col("half")).withColumn("upto", F.sum("tokens").over(so_far))
+    rows = rows.withColumn("cut", F.col("large") | F.coalesce(F.lag("large").over(order), F.lit(True)))
+    rows = rows.withColumn("base", F.max(F.when(F.col("cut"), F.col("upto") - F.col("tokens"))).over(so_far))
+    rows = rows.withColumn("part", F.floor((F.col("upto") - F.col("base") - 1) / F.col("half")))
+    rows = rows.withColumn("starts", F.col("cut") | (F.col("part") != F.lag("part").over(order)))
+    rows = rows.withColumn("w", F.sum(F.col("starts").cast("int")).over(so_far))
+    rows = rows.withColumn("allow", F.when(F.col("large"), F.least("spare", F.col("room") - F.col("tokens"))).otherwise(F.col("spare")))
+    # the system turn is counted and repeated as such, not as history
+    own = F.col("fits") & (F.col("n") == F.col("sys.n"))
+    rows = rows.withColumn("weight", F.when(own, 0).otherwise(F.col("tokens")))
+    # windows that repeat this turn: those that the next turns start, while the turns between have room
+    windows, between = [F.col("w")], F.col("weight")
+    for i in range(1, history + 1):
+        fine = F.lead("starts", i).over(order) & (between <= F.lead("allow", i).over(order)) & ~own
+        windows.append(F.when(fine, F.lead("w", i).over(order)))
+        between = between + F.lead("weight", i).over(order)
+    rows = rows.withColumn("ws", F.array(*windows))
+    member = rows.select("*", F.explode(F.filter("ws", lambda x: x.isNotNull())).alias("window")).withColumn("new", F.col("w") == F.col("window"))
     turn = F.struct("n", "new", "role", escape("text").alias("text"))
-    wins = member.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.max("sys").alias("sys"), F.min("n").alias("least"))
+    of_new = lambda c: F.when(F.col("new"), F.col(c))
+    wins = member.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(turn)).alias("turns"), F.max(F.when(F.col("fits"), F.col("sys"))).alias("sys"), F.min(of_new("n")).alias("least"), F.max(of_new("allow")).alias("allow"), F.sum("tokens").alias("tokens")
+    )
     head = F.struct(F.col("sys.n").alias("n"), F.lit(False).alias("new"), F.lit("system").alias("role"), escape(F.col("sys.text")).alias("text"))
-    # the first system turn, unless the window has it as a turn already or comes before it
-    lead = F.when(F.col("sys.n") < F.col("least"), F.array(head)).otherwise(F.array().cast("array<struct<n:int,new:boolean,role:string,text:string>>"))
-    wins = wins.withColumn("turns", F.concat(lead, "turns"))
+    # the first system turn, unless the window has it as a turn, comes before it or has no room for it
+    led = F.coalesce((F.col("sys.n") < F.col("least")) & (F.col("allow") >= 0), F.lit(False))
+    lead = F.when(led, F.array(head)).otherwise(F.array().cast("array<struct<n:int,new:boolean,role:string,text:string>>"))
+    wins = wins.withColumn("tokens", F.col("tokens") + F.when(led, F.col("sys.tokens")).otherwise(0)).withColumn("turns", F.concat(lead, "turns"))
     piece = lambda x: F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit("\n"), x["text"], F.lit(CLOSE))
     begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("out"))
 
@@ -81,6 +108,7 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) ->
         "conv_id",
         "window",
         F.size(F.filter("turns", lambda x: ~x["new"])).alias("context"),
+        "tokens",
         F.array_join(F.transform("turns", piece), "").alias("text"),
         F.coalesce(F.aggregate("turns", begin, spans)["out"], F.array().cast("array<struct<start:int,end:int>>")).alias("loss"),
     )
@@ -137,23 +165,39 @@ e AS (
          length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>')) AS role_len,
          row_number() OVER o AS n
   FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-p AS (
-  SELECT *, CAST(floor((sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) - 1) / 1024.0) AS BIGINT) AS w,
-         12 + role_len + 1 + text_len + 11 AS piece FROM e),
+y AS (
+  SELECT *, 12 + role_len + 1 + text_len + 11 AS piece, min(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sys_n FROM e),
+z AS (
+  SELECT *, max(CASE WHEN n = sys_n THEN tokens END) OVER (PARTITION BY conv_id) AS sys_tokens, max(CASE WHEN n = sys_n THEN text_len END) OVER (PARTITION BY conv_id) AS sys_len FROM y),
+r AS (SELECT *, coalesce(sys_tokens <= 512, false) AS fits, 1024 - CASE WHEN sys_tokens <= 512 THEN sys_tokens ELSE 0 END AS room FROM z),
+h AS (SELECT *, room // 4 AS spare, greatest((room - room // 4) // 2, 1) AS half FROM r),
+c AS (
+  SELECT *, tokens > half AS large, sum(tokens) OVER o AS upto, tokens > half OR coalesce(lag(tokens > half) OVER o, true) AS cut
+  FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
+b AS (SELECT *, max(CASE WHEN cut THEN upto - tokens END) OVER (PARTITION BY conv_id ORDER BY n) AS base FROM c),
+q AS (SELECT *, (upto - base - 1) // half AS part FROM b),
+s AS (SELECT *, cut OR part <> lag(part) OVER (PARTITION BY conv_id ORDER BY n) AS starts FROM q),
+w AS (
+  SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY conv_id ORDER BY n) AS w,
+         CASE WHEN large THEN least(spare, room - tokens) ELSE spare END AS allow,
+         fits AND n = sys_n AS own, CASE WHEN fits AND n = sys_n THEN 0 ELSE tokens END AS weight FROM s),
 l AS (
-  SELECT *, lead(w, 1) OVER (PARTITION BY conv_id ORDER BY n) AS w1, lead(w, 2) OVER (PARTITION BY conv_id ORDER BY n) AS w2,
-         min(CASE WHEN role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sys_n FROM p),
-m AS (SELECT *, unnest(list_distinct([w, w1, w2])) AS win FROM l),
+  SELECT *, CASE WHEN lead(starts, 1) OVER o AND weight <= lead(allow, 1) OVER o AND NOT coalesce(own, false) THEN lead(w, 1) OVER o END AS w1,
+         CASE WHEN lead(starts, 2) OVER o AND weight + lead(weight, 1) OVER o <= lead(allow, 2) OVER o AND NOT coalesce(own, false) THEN lead(w, 2) OVER o END AS w2
+  FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
+m AS (SELECT *, unnest([w, w1, w2]) AS win FROM l),
 g AS (
-  SELECT conv_id, win, sum(piece) AS chars, min(n) AS least, max(sys_n) AS sys_n FROM m GROUP BY ALL),
-s AS (
-  SELECT g.conv_id, CAST(sum(g.chars + coalesce(CASE WHEN g.sys_n < g.least THEN 12 + 6 + 1 + l.text_len + 11 END, 0)) AS BIGINT) AS formatted_chars, count(*) AS windows
-  FROM g LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM g.conv_id AND l.n = g.sys_n GROUP BY ALL),
+  SELECT conv_id, win, sum(piece) AS chars, min(CASE WHEN win = w THEN n END) AS least, max(CASE WHEN win = w THEN allow END) AS allow,
+         max(CASE WHEN fits THEN sys_n END) AS sys_n, max(sys_len) AS sys_len
+  FROM m WHERE win IS NOT NULL GROUP BY ALL),
+f AS (
+  SELECT conv_id, CAST(sum(chars + CASE WHEN sys_n < least AND allow >= 0 THEN 12 + 6 + 1 + sys_len + 11 ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) AS windows
+  FROM g GROUP BY conv_id),
 a AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
          CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
          sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256
   FROM e GROUP BY conv_id)
-SELECT a.conv_id, a.n_turns, a.turns_sha256, a.loss_chars, a.loss_sha256, s.formatted_chars, s.windows
-FROM a JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
+SELECT a.conv_id, a.n_turns, a.turns_sha256, a.loss_chars, a.loss_sha256, f.formatted_chars, f.windows
+FROM a JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id
 """

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a 30-bit hash. For each source, words are summed by hash bucket; a
-budget is a threshold on the hash, and budgets are nested because the hash is fixed.
-Only the bucket in which the budget ends is opened again (three levels of 1,024
-buckets), so documents are filtered by one comparison and never sorted.
+Every document gets a 30-bit hash of its id and text. For each source, words are summed by
+hash bucket; a budget is a threshold on the hash, and budgets are nested because the hash is
+fixed. Only the bucket in which the budget ends is opened again (three levels of 1,024
+buckets), so documents are filtered by one comparison and never sorted. The few documents of
+the one hash at which a budget ends are taken in order of id, and of rows that repeat both
+id and text as many as the budget has room for: copies are numbered file by file.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table, text_or_empty
+from .common import WORD, free_name, stored, table, text_or_empty
 
 MAX_EPOCHS = 3
 _BITS = 10
@@ -22,7 +24,7 @@ def _size() -> Column:
 
 
 def _hash() -> Column:
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text_or_empty()).cast("binary"))
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % (1 << (3 * _BITS))
 
 
@@ -68,10 +70,10 @@ def _boundary(part: DataFrame, goals: DataFrame, shift: int) -> DataFrame:
 
 
 def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, epochs, below): a document is taken ``epochs`` times, once more if h < below.
-
-    The last bucket holds documents of one hash value; it counts if that is nearer.
-    """
+    """(source, source_size, target, epochs, below, edge): a document is taken ``epochs``
+    times, once more if h < below. ``edge`` lists the documents at h = below (doc_id, size, n
+    copies) with the number of copies that are taken once more, by whole words nearest to the
+    budget; documents of one hash are few."""
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_EPOCHS))).otherwise(0)
     goals = goals.withColumn("epochs", epochs.cast("long")).withColumn(
         "rest", F.when(F.col("epochs") < MAX_EPOCHS, F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)
@@ -81,34 +83,62 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         at = _boundary(part, at, shift)
         edge = at.select(F.col("source").alias("s"), F.col("bucket").alias("b"))
         part = part.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("b"))).drop("s", "b")
-    ends = at.select(F.col("source").alias("s"), (F.col("bucket") + F.when(F.col("words") - F.col("rest") < F.col("rest"), 1).otherwise(0)).alias("below"))
-    return goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", F.coalesce("below", F.lit(0)).alias("below"))
+    ends = at.select(F.col("source").alias("s"), F.col("bucket").alias("below"), F.col("rest").alias("left"))
+    kinds = part.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")).join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    before = Window.partitionBy("source").orderBy(F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(room / F.col("size") - 0.5) + 1)).cast("long")
+    kinds = kinds.withColumn("more", more).groupBy(F.col("source").alias("e")).agg(F.collect_list(F.struct("doc_id", "size", "n", "more")).alias("edge"))
+    rows = goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").join(kinds, F.col("source").eqNullSafe(F.col("e")) & F.col("below").isNotNull(), "left")
+    below = F.coalesce("below", F.when(F.col("rest") > 0, 1 << (3 * _BITS)).otherwise(0))
+    return rows.select("source", "source_size", "target", "epochs", below.alias("below"), "edge")
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, h and more) with source_size, target and ``_times``."""
+    p = plan.withColumnRenamed("source", "_s")
+    mine = F.try_element_at(F.filter("edge", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id")) & (x["size"] == F.col("size"))), F.lit(1))
+    at_edge = F.when(mine["more"] == mine["n"], 1).when(mine["more"] == 0, 0)  # null: some of the copies
+    extra = F.when(F.col("h") < F.col("below"), 1).when(F.col("h") > F.col("below"), 0).otherwise(at_edge)
+    joined = rows.join(p, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_edge", mine).withColumn("_times", F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + extra).cast("long"))
+    drop = ["_s", "_edge", "edge", "below", "epochs"]
+    some = plan.where(F.exists("edge", lambda x: (x["more"] > 0) & (x["more"] < x["n"])))
+    if some.isEmpty():
+        return joined.drop(*drop)
+    # rows that nothing tells apart: any of them may be taken, so their place in the files of a table decides
+    copies = stored(joined.where("_times IS NULL"), "mix-copies").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    files = copies.groupBy(F.col("source").alias("_fs"), F.col("_file").alias("_ff")).agg(F.count("*").alias("_n"))
+    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_fs").orderBy("_ff").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("source", "_file").orderBy("_row"))
+    copies = copies.withColumn("_nth", nth).join(files, F.col("source").eqNullSafe(F.col("_fs")) & (F.col("_file") == F.col("_ff")))
+    copies = copies.withColumn("_times", (F.col("epochs") + F.when(F.col("_before") + F.col("_nth") <= F.col("_edge.more"), 1).otherwise(0)).cast("long"))
+    return joined.where("_times IS NOT NULL").drop(*drop).unionByName(copies.drop(*drop, "_file", "_row", "_fs", "_ff", "_n", "_before", "_nth"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """All documents with the words the mix takes of each.
 
-    Returns doc_id, source, size, source_size, target, taken, times. Null text: size 0;
-    null source: a source of its own, last in order; repeated rows share their hash and
-    are taken alike; an empty table gives no rows; other columns are ignored.
+    Returns doc_id, source, size, source_size, target, taken, times. Null text: size 0, never
+    taken; null source: a source of its own, last in order; null ids are hashed by their text;
+    rows that repeat id and text are copies, of which any may be taken; an empty table gives
+    no rows; other columns are ignored.
     """
     sizes = stored(sized(docs), "mix-sizes")
     plan = stored(thresholds(sizes, source_targets(sizes, weights)), "mix-plan")
-    p = plan.withColumnRenamed("source", "_s")
-    times = F.col("epochs") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return sizes.join(p, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
-    )
+    return _decided(sizes, plan).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"), F.col("_times").alias("times"))
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` with ``times`` (how often the mix takes a document) and ``taken`` (words)."""
-    plan = stored(thresholds(sizes := stored(sized(docs), "mix-sizes"), source_targets(sizes, weights)), "mix-plan")
-    p = plan.select(F.col("source").alias("_s"), F.col("epochs").alias("_e"), F.col("below").alias("_b"))
-    h, size = _hash(), _size()
-    rows = docs.join(p, F.col("source").eqNullSafe(F.col("_s")))
-    times = F.col("_e") + F.when(h < F.col("_b"), 1).otherwise(0)
-    return rows.withColumn("times", times).withColumn("taken", size * F.col("times")).drop("_s", "_e", "_b")
+    """``docs`` with ``times`` (how often the mix takes a document) and ``taken`` (words).
+
+    Cases are those of :func:`mix`. All columns of ``docs`` stay; where one has such a name
+    already, the new one is called ``times_`` or ``taken_``.
+    """
+    sizes = stored(sized(docs), "mix-sizes")
+    plan = stored(thresholds(sizes, source_targets(sizes, weights)), "mix-plan")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", _size().alias("size"), _hash().alias("h"))
+    times, words = (free_name(docs.columns, n) for n in ("times", "taken"))
+    return _decided(rows, plan).select("row.*", F.col("_times").alias(times), (F.col("size") * F.col("_times")).alias(words))
 
 
 def query(spark, sf_dir):
@@ -119,7 +149,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % 1073741824 AS h
+         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 8)) AS BIGINT) % 1073741824 AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -140,11 +170,8 @@ g AS (
   SELECT *, CASE WHEN epochs < 3 THEN greatest(target - epochs * source_size, 0) ELSE 0 END AS rest FROM e),
 u AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.epochs, g.rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.h) AS peers
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, source, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN upto <= rest OR (upto - peers <= rest AND upto - rest < rest - (upto - peers)) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(epochs + CASE WHEN upto <= rest OR (upto - peers <= rest AND upto - rest < rest - (upto - peers)) THEN 1 ELSE 0 END AS BIGINT) AS times
-FROM u
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE epochs + CASE WHEN upto - size / 2 <= rest THEN 1 ELSE 0 END END AS times FROM u)
+SELECT doc_id, source, size, source_size, target, CAST(size * times AS BIGINT) AS taken, CAST(times AS BIGINT) AS times FROM n
 """

@@ -2,10 +2,15 @@
 
 A document's histograms of character classes and of common words are compared with
 those of its language by Jensen-Shannon distance (base 2, so from 0 to 1). Apart from
-which common words there are, a text is rejected that has too few of them (gibberish, a
-language without a reference) or mostly those of another language. The
-references are summed over all documents of the language that pass the base rules and
-are long enough to judge.
+which common words there are, a text is rejected that has too few of them (gibberish) or
+mostly those of another language. The references are summed over all documents of the
+language that pass the base rules and are long enough to judge.
+
+A language is the primary subtag of ``lang`` (two or three letters; null and everything else
+make one more bin), so there are at most 26^2 + 26^3 + 1. One without a list of common words
+is judged by its own documents' character classes alone, never by another language. No
+verdict depends on the number of documents: a text that is its language's only one is its
+own reference, at distance 0.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, runs, stored, table, windows_hash
+from .common import Words, drop_stored, mix64, runs, stored, table, windows_hash
 
 # fixed values: frequent function words by language
 COMMON = {
@@ -28,8 +33,8 @@ LANGS = sorted(COMMON)
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "control", "other")
 N_CLASS, N_WORD = len(CLASSES), max(len(dict.fromkeys(w)) for w in COMMON.values()) + 1
-#: Fewer words than this: no divergence verdict. Fewer documents behind a reference: none either.
-MIN_WORDS, MIN_REFERENCE_DOCS = 50, 20
+#: Fewer words than this: no divergence verdict.
+MIN_WORDS = 50
 #: Distances above these reject.
 MAX_CLASS, MAX_COMMON = 0.30, 0.60
 #: Too few common words: less than this part of the reference's share, and by chance rarer than exp(-CHANCE).
@@ -64,11 +69,18 @@ def _vocabulary():
     return hashes, near, where
 
 
+def language(lang: str | None) -> str:
+    """The primary subtag, "" for what is no language."""
+    tag = str(lang or "").strip().replace("_", "-").split("-")[0].lower()
+    return tag if tag.isascii() and tag.isalpha() and 2 <= len(tag) <= 3 else ""
+
+
 def features(texts: list, langs: list) -> dict[str, np.ndarray]:
     """Statistics of whole texts; ``hist`` is (n, classes + common words + rest) of counts."""
     hashes, near, where = _VOCABULARY
     n = len(texts)
-    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "foreign")}
+    out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "foreign")}
+    out["lang"] = np.array([language(x) for x in langs], object)
     hist = out["hist"] = np.zeros((n, N_CLASS + N_WORD), np.int64)
     code = {x: k for k, x in enumerate(LANGS)}
     for low, high, w in runs(texts):
@@ -97,10 +109,10 @@ def features(texts: list, langs: list) -> dict[str, np.ndarray]:
         for i in range(low, high):
             mine = at[edge[i - low] : edge[i - low + 1]]
             hits = where[:, mine]
-            k = code.get(langs[i], -1)
-            if k < 0:  # no such reference: the language with most common words
-                k = int((hits >= 0).sum(axis=1).argmax())
-            out["lang"][i] = k
+            k = code.get(out["lang"][i], -1)
+            if k < 0:  # no list: all words are rest
+                hist[i, -1] = count[i - low]
+                continue
             only = ((hits >= 0) & (hits[k] < 0)).sum(axis=1), ((hits < 0) & (hits[k] >= 0)).sum(axis=1)
             out["foreign"][i] = (only[0] >= FOREIGN + 3 * only[1]).any()
             own = hits[k][hits[k] >= 0]
@@ -154,77 +166,80 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((sp[:, 0] > 0) & (sq[:, 0] > 0), np.sqrt(np.clip((kl[0] + kl[1]) / 2, 0, 1)), 0.0)
 
 
-def divergence(f: dict, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of classes and of common words; 0 below the length guards."""
-    own = reference[f["lang"]]
-    guard = (f["n_words"] >= MIN_WORDS) & (own[:, -1] >= MIN_REFERENCE_DOCS)
-    own = own[:, :-1]
+def _own(f: dict, reference: dict[str, np.ndarray]) -> np.ndarray:
+    """Each text's reference; zeros where its language has none (distance 0)."""
+    none = np.zeros(N_CLASS + N_WORD)
+    return np.array([reference.get(x, none) for x in f["lang"]]).reshape(-1, N_CLASS + N_WORD)
+
+
+def divergence(f: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of classes and of common words; 0 below the length guard."""
+    guard = f["n_words"] >= MIN_WORDS
     return tuple(np.where(guard, distance(f["hist"][:, s], own[:, s]), 0.0) for s in (slice(0, N_CLASS), slice(N_CLASS, None)))
 
 
-def lacking(f: dict, reference: np.ndarray) -> np.ndarray:
+def lacking(f: dict, own: np.ndarray) -> np.ndarray:
     """Which texts have too few common words for their language, or those of another one.
-    Chances are Chernoff bounds of a binomial; false below the length guards."""
-    own = reference[f["lang"]]
+    Chances are Chernoff bounds of a binomial; false below the length guard and without a list."""
     n = np.maximum(f["n_words"], 1)
+    listed = np.isin(f["lang"].astype(str), LANGS)
     share = f["hist"][:, N_CLASS:-1].sum(axis=1) / n
-    usual = np.clip(own[:, N_CLASS:-2].sum(axis=1) / np.maximum(own[:, N_CLASS:-1].sum(axis=1), 1), 1e-12, 1 - 1e-12)
+    usual = np.clip(own[:, N_CLASS:-1].sum(axis=1) / np.maximum(own[:, N_CLASS:].sum(axis=1), 1), 1e-12, 1 - 1e-12)
     with np.errstate(divide="ignore", invalid="ignore"):
         chance = n * sum(np.where(x > 0, x * np.log(x / y), 0) for x, y in ((share, usual), (1 - share, 1 - usual)))
-    few = (own[:, -1] >= MIN_REFERENCE_DOCS) & (share < MIN_SHARE * usual) & (chance >= CHANCE)
-    return (f["n_words"] >= MIN_WORDS) & (few | (f["foreign"] > 0))
+    few = (share < MIN_SHARE * usual) & (chance >= CHANCE)
+    return listed & (f["n_words"] >= MIN_WORDS) & (few | (f["foreign"] > 0))
 
 
-def passes(f: dict, reference: np.ndarray) -> tuple[np.ndarray, ...]:
+def passes(f: dict, reference: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Verdict of base rules and method, failure of the base rules, both distances."""
-    c, w = divergence(f, reference)
+    own = _own(f, reference)
+    c, w = divergence(f, own)
     bad = base_failed(f)
-    return ~bad & (c <= MAX_CLASS) & (w <= MAX_COMMON) & ~lacking(f, reference), bad, c, w
+    return ~bad & (c <= MAX_CLASS) & (w <= MAX_COMMON) & ~lacking(f, own), bad, c, w
 
 
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, five counts, lang index, foreign, hist) by document, stored."""
+    """(doc_id, five counts, foreign, lang, hist) by document, stored."""
+    names = ["doc_id", *_FIELDS, "foreign", "lang", "hist"]
 
     def run(batches):
         for b in batches:
             f = features(b.column("text").to_pylist(), b.column("lang").to_pylist())
             flat = pa.ListArray.from_arrays(np.arange(0, f["hist"].size + 1, f["hist"].shape[1], dtype=np.int32), pa.array(f["hist"].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[k]) for k in (*_FIELDS, "lang", "foreign")), flat], ["doc_id", *_FIELDS, "lang", "foreign", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[k]) for k in (*_FIELDS, "foreign")), pa.array(f["lang"], pa.string()), flat], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    return stored(rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in _FIELDS)}, lang long, foreign long, hist array<long>"), "quality")
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in _FIELDS)}, foreign long, lang string, hist array<long>"), "quality")
 
 
-def references(found: DataFrame) -> np.ndarray:
-    """A row of summed counts and the number of documents for each of LANGS (a fixed,
-    small number of rows): all documents that pass the base rules and the length guard."""
+def references(found: DataFrame) -> dict[str, np.ndarray]:
+    """Summed counts by language: all documents that pass the base rules and the length guard.
+    One row a language, of which there are at most 26^2 + 26^3 + 1, comes to the driver."""
     n = N_CLASS + N_WORD
     fine = found.where(f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
-    sums = fine.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(n)])
-    out = np.zeros((len(LANGS), n + 1))
-    for r in sums.collect():
-        out[r["lang"]] = [*(r[f"h{i}"] for i in range(n)), r["docs"]]
-    return out
+    sums = fine.groupBy("lang").agg(*[F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(n)])
+    return {r["lang"]: np.array([r[f"h{i}"] for i in range(n)], float) for r in sums.collect()}
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts and verdicts by document.
 
     Null text counts as no words, so it fails the base rules, as do empty and very short
-    texts; a null or unknown ``lang`` is judged by the reference whose common words it
-    uses most; repeated rows are judged alike; an empty table gives no rows; very long
-    texts are read whole.
+    texts; a null or unknown ``lang`` is judged by the classes of its own kind only; repeated
+    rows are judged alike; an empty table gives no rows; very long texts are read whole; other
+    columns are ignored.
     """
     found = measured(docs)
     reference = references(found)
 
     def run(batches):
         for b in batches:
-            f = {k: b.column(k).to_numpy() for k in (*_FIELDS, "lang", "foreign")}
+            f = {k: b.column(k).to_numpy() for k in (*_FIELDS, "foreign")} | {"lang": np.array(b.column("lang").to_pylist(), object)}
             f["hist"] = np.asarray(b.column("hist").flatten()).reshape(len(b), N_CLASS + N_WORD)
             keep, bad, c, w = passes(f, reference)
             names = ["doc_id", *_FIELDS, "base_failed", "kept", "class_distance", "common_distance"]
@@ -235,8 +250,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged; references are those of all of ``docs``."""
-    reference = references(measured(docs))
+    """The rows of ``docs`` that pass, unchanged; references are those of all of ``docs``.
+
+    Cases are those of :func:`judge`: rows without text or with few words go, repeated rows
+    stay or go together, columns of any name and type are handed on, an empty table stays empty.
+    """
+    found = measured(docs)
+    reference = references(found)
+    drop_stored(found)
 
     def run(batches):
         for b in batches:

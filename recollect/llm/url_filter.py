@@ -5,6 +5,7 @@ hosts, each edge once with its weight): trust flows from hosts that allow rules
 along links, distrust from blocked hosts against links, so that a host linking to blocked
 ones is distrusted. A host is blocked where distrust exceeds its trust. Both are shares of
 the whole table, so only their relation counts: no bound that a larger table would move.
+Rounds go on until no score moves by more than a part of itself, however far it came.
 
 Only DataFrame functions. Links are summed to edges before they meet the scores, scores
 are one row a host, and every round is a table in the shared folder.
@@ -19,7 +20,9 @@ from .common import drop_stored, stored, table
 
 #: (rule, verdict); a rule is a host and a path prefix that starts with "/".
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: A round that moves every score by at most this part of it is the last.
+TOLERANCE = 1e-3
 #: Distrust exceeds trust by more than what the order of sums makes of equal scores.
 EQUAL = 1e-9
 #: Host of an absolute or scheme-relative link in an html attribute.
@@ -55,44 +58,50 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _shares(edges: DataFrame, giver: str, taker: str) -> DataFrame:
+def _shares(edges: DataFrame, giver: str, taker: str, verdict: str) -> DataFrame:
     total = edges.groupBy(F.col(giver).alias("_g")).agg(F.sum("n").alias("_all"))
-    return edges.join(total, F.col(giver) == F.col("_g")).select(F.col(giver).alias("giver"), F.col(taker).alias("taker"), (F.col("n") / F.col("_all")).alias("share"))
+    return edges.join(total, F.col(giver) == F.col("_g")).select(F.lit(verdict).alias("kind"), F.col(giver).alias("giver"), F.col(taker).alias("taker"), (F.col("n") / F.col("_all")).alias("share"))
 
 
-def _rank(seeds: DataFrame, shares: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, score): seeds (host, seed) spread over shares; what hosts without links hold is lost.
+def _rank(seeds: DataFrame, shares: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(kind, host, linked), stored: seeds (kind, host, seed) spread over the shares of each
+    kind; what hosts without links hold is lost.
 
-    The score is what links bring; a host's own seed stays out, since a rule for one path
-    says nothing about the host's other pages.
+    ``linked`` is what links bring; a host's own seed stays out, since a rule for one path
+    says nothing about the host's other pages. Scores grow from the seeds alone, so a host
+    that is first reached in some round keeps the rounds going.
     """
-    now = stored(seeds.select("host", F.col("seed").alias("score"), F.lit(0.0).alias("linked")), "rank")
-    for _ in range(rounds):
-        gained = shares.join(now, F.col("giver") == F.col("host")).groupBy(F.col("taker").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("got"))
-        gained = gained.withColumn("linked", F.col("got"))
-        start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("got"), F.lit(0.0).alias("linked"))
-        after = stored(gained.unionByName(start).groupBy("host").agg(F.sum("got").alias("score"), F.sum("linked").alias("linked")), "rank")
+    start = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("got"), F.lit(0.0).alias("linked"), F.lit(0.0).alias("was"))
+    now = stored(start.select("kind", "host", F.col("got").alias("score"), "linked"), "rank")
+    while True:
+        held = now.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "score")
+        gained = shares.join(held, (F.col("kind") == F.col("_k")) & (F.col("giver") == F.col("_h"))).groupBy("kind", F.col("taker").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("got"))
+        gained = gained.select("kind", "host", "got", F.col("got").alias("linked"), F.lit(0.0).alias("was"))
+        before = now.select("kind", "host", F.lit(0.0).alias("got"), F.lit(0.0).alias("linked"), F.col("linked").alias("was"))
+        sums = gained.unionByName(start).unionByName(before).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("got", "linked", "was")])
+        after = stored(sums.select("kind", "host", F.col("got").alias("score"), "linked", (F.abs(F.col("linked") - F.col("was")) > tolerance * F.col("linked")).alias("moves")), "rank")
         drop_stored(now)
         now = after
-    return now.select("host", F.col("linked").alias("score"))
+        if now.where("moves").isEmpty():
+            return now.select("kind", "host", "linked")
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of hosts that either reaches.
 
     A host's seed is its share of all pages that an allow (or a block) rule covers.
     """
     edges = stored(host_edges(pages), "host-edges")
-    judged = pages.select(host_of(F.col("url")).alias("host"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("verdict"))
-    seeds = stored(judged.where("host <> '' AND verdict IS NOT NULL").groupBy("host", "verdict").count(), "host-seeds")
-    scores = None
-    for verdict, giver, taker, name in (("allow", "src", "dst", "trust"), ("block", "dst", "src", "distrust")):
-        mine = seeds.where(F.col("verdict") == verdict)
-        total = mine.agg(F.sum("count")).first()[0] or 1
-        found = _rank(stored(mine.select("host", (F.col("count") / total).alias("seed")), "seed"), stored(_shares(edges, giver, taker), "shares"), rounds, damping)
-        found = found.select("host", F.col("score").alias(name))
-        scores = found if scores is None else scores.join(found, "host", "full")
-    return scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    judged = pages.select(host_of(F.col("url")).alias("host"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("kind"))
+    counts = stored(judged.where("host <> '' AND kind IS NOT NULL").groupBy("host", "kind").agg(F.count("*").alias("n")), "host-seeds")
+    total = counts.groupBy(F.col("kind").alias("_k")).agg(F.sum("n").alias("_all"))  # two rows
+    seeds = counts.join(F.broadcast(total), F.col("kind") == F.col("_k")).select("kind", "host", (F.col("n") / F.col("_all")).alias("seed"))
+    shares = stored(_shares(edges, "src", "dst", "allow").unionByName(_shares(edges, "dst", "src", "block")), "host-shares")
+    ranks = _rank(seeds, shares, damping, tolerance)
+    for done in (edges, counts, shares):
+        drop_stored(done)
+    score = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("linked"))), F.lit(0.0))
+    return ranks.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust"))
 
 
 def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
