@@ -75,42 +75,58 @@ class FMIndex:
     """Index of sequences ``flat[starts[i]:starts[i] + sizes[i]]`` of word hashes.
 
     Every sequence ends with a separator of its own (smaller than all words), so no match
-    runs over the end of one.
+    runs over the end of one. ``value`` gives each indexed word a number; searches return
+    the least one at which an occurrence starts.
     """
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        words, code = np.unique(flat, return_inverse=True)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, value: np.ndarray):
+        self.words, code = np.unique(flat, return_inverse=True)
         m = len(sizes)
         place = np.arange(len(flat)) + np.repeat(np.arange(m), sizes)
         text = np.empty(len(flat) + m, np.int64)
         text[place] = code + m
         text[np.cumsum(sizes + 1) - 1] = np.arange(m)
-        self.code, self.sizes = code, sizes
         order = suffix_array(text, int(sizes.max()) + 1)
         # separators are alike for the index: one symbol 0, words from 1
         plain = np.maximum(text - m + 1, 0)
-        self.sigma = len(words) + 1
+        self.sigma = len(self.words) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(plain, minlength=self.sigma))])
         self.matrix = WaveletMatrix(plain[order - 1], self.sigma)
         self.n = len(text)
-
-    def intervals(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics, cut at ``length``: (low, steps) for the strings of ``length``
-        words of the indexed sequences that start at positions ``at`` of ``flat``.
-
-        Backward search extends a string to the left while it still occurs twice; ``steps``
-        is how far that went. Equal strings of full length share ``low``.
-        """
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
-        steps, live = np.zeros(len(at), np.int64), np.arange(len(at))
-        for k in range(length):
-            symbol = self.code[at[live] + length - 1 - k] + 1
-            base = self.before[symbol]
-            a, b = base + self.matrix.rank(symbol, low[live]), base + self.matrix.rank(symbol, high[live])
-            twice = b - a >= 2
-            live = live[twice]
-            low[live], high[live] = a[twice], b[twice]
+        values = np.full(self.n + 1, np.iinfo(np.int64).max)
+        values[place] = value
+        self.value = np.concatenate([values[order], values[-1:]])
+
+    def symbols(self, flat: np.ndarray) -> np.ndarray:
+        """Symbols of words; 0 for those that the index lacks."""
+        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+        return np.where(self.words[at] == flat, at + 1, 0)
+
+    def matching(self, symbol: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Matching statistics by backward search: for each query string, the ``length`` words
+        of ``symbol`` before ``end``, how many words at its end occur together in the index
+        (at most all), and the interval (low, high) of these occurrences."""
+        low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        steps, live = np.zeros(len(end), np.int64), np.flatnonzero(length > 0)
+        while len(live):
+            x = symbol[end[live] - 1 - steps[live]]
+            known = x > 0
+            live, x = live[known], x[known]
+            base = self.before[x]
+            both = self.matrix.rank(np.concatenate([x, x]), np.concatenate([low[live], high[live]]))
+            a, b = base + both[: len(x)], base + both[len(x) :]
+            some = b > a
+            live = live[some]
+            low[live], high[live] = a[some], b[some]
             steps[live] += 1
-            if not len(live):
-                break
-        return low, steps
+            live = live[steps[live] < length[live]]
+        return steps, low, high
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value in each interval (not empty)."""
+        if not len(low):
+            return low
+        # each interval once and in order, so that what lies between is passed over once
+        key, where = np.unique(low * (self.n + 1) + high, return_inverse=True)
+        pairs = np.stack(np.divmod(key, self.n + 1), axis=1).ravel()
+        return np.minimum.reduceat(self.value, pairs)[::2][where]

@@ -1,37 +1,45 @@
-r"""Substring dedup with FM-indexes over shards of shared text.
+r"""Substring dedup with compressed FM-indexes over shards of text.
 
 A window is WINDOW words. Its anchor is its smallest GRAM-word hash (leftmost), which
 depends on the window's words alone, so equal windows have equal anchors. Consecutive
-windows with one anchor make a segment of at most WINDOW - GRAM + 1 windows.
-
-1. Segments (anchor, content hash, place) are dealt and sorted by anchor. All but the first
-   place of equal segments are repeats at once. A segment whose anchor no other content
-   shares cannot hold a repeated window. Anchors of very many unlike segments (both ends of
-   a passage that stands in many texts) are told beforehand by a sketch of counts; their
-   segments go window by window, each dealt by its own words, so they never meet.
-2. The words of the first places of the others are fetched, dealt by anchor and indexed,
-   shard by shard (FM-index: suffix array, wavelet matrix). Their windows are streamed
-   through backward search; matches of full length give groups of equal windows, whose
-   earliest place stays.
-3. The intervals found are removed from the documents.
-
-Work and rows grow with the text: no pairs are made, unshared text leaves after step 1.
+windows with one anchor make a segment of at most WINDOW - GRAM + 1 windows. Text is
+sharded by anchor: whatever can equal a window lies in the window's own shard, and no
+document is streamed past the shards of other texts.
+
+1. Prefilter. Segments (anchor, content hash, place) are dealt and sorted by anchor; a
+   segment whose anchor no other place has cannot hold a repeated window and leaves. Anchors
+   of very many unlike segments (both ends of a passage that stands in many texts) are told
+   beforehand by a sketch of counts; their segments go window by window, each dealt by its
+   own words, so they never meet.
+2. The words of the other segments are fetched from their documents and dealt by shard. A
+   shard's text, each content at its first place, is indexed (suffix array, wavelet matrix).
+3. All segments of the documents are streamed through backward search: matching statistics
+   of whole segments first, of single windows where a segment does not occur whole. A window
+   that occurs at an earlier place than its own is reported; hashes alone report nothing.
+4. The intervals found are removed from the documents.
+
+Work and rows grow with the text: no pairs are made, unshared text leaves after step 1. Equal
+segments within a task's run of texts are told by comparing their words and go through the
+index once.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop_stored, mix64, runs, stored, table, windows_hash
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 5
+SPAN = WINDOW - GRAM + 1
 SHARD_WORDS = 400_000
 #: Slots of the sketch of anchors, and what makes one crowded: more segments than this, and
 #: than this many times the average. A slot that is not crowded has few enough for a task.
@@ -41,22 +49,24 @@ SLOTS, CROWD, CROWD_FACTOR = 1 << 16, 1024, 16
 def _segments(w) -> tuple[np.ndarray, ...]:
     """(text number, first window's word, windows, anchor, content) of a run's segments, and
     the hash of the window at each word."""
-    span = WINDOW - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(w.hash) < WINDOW:
         return none, none, none, *[none.view(np.uint64)] * 3
     grams, whole = windows_hash(w.hash, GRAM), windows_hash(w.hash, WINDOW)
     n = len(whole)
-    best, offset = grams[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, span):
-        less = grams[j : n + j] < best
-        best[less] = grams[j : n + j][less]
-        offset[less] = j
+    # the leftmost least gram of every SPAN (a power of two), by doubling
+    best, anchor, reach = grams, np.arange(len(grams)), 1
+    while reach < SPAN:
+        m = len(best) - reach
+        less = best[reach:] < best[:m]
+        best, anchor = np.where(less, best[reach:], best[:m]), np.where(less, anchor[reach:], anchor[:m])
+        reach *= 2
+    best, anchor = best[:n], anchor[:n]
     owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     at = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
     if not len(at):
         return none, none, none, *[none.view(np.uint64)] * 3
-    anchor = at + offset[at]
+    anchor = anchor[at]
     # a window of the next text never has this text's anchor: anchors lie within windows
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     count = np.diff(np.concatenate([cut, [len(at)]]))
@@ -68,25 +78,69 @@ def _segments(w) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, twin, text): ``doc`` orders ids (null last), ``twin`` tells rows apart
-    that repeat an id with another text."""
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("twin"),
-        F.col("text").cast("string").alias("text"),
-    )
-
-
-def _later(content, doc, twin, start) -> np.ndarray:
-    """Which segments come after an equal one of the same run, at another place."""
-    order = np.lexsort((start, twin, doc, content))
+    """(doc_id, id, none, h1, h2, text): a row is told by its id and 128 bits of its text.
+
+    ``id`` has the type of doc_id where that is a number or text, else its text; for a null
+    it is 0 or "", and ``none``, which the hash covers too, is 1.
+    """
+    kind = docs.schema["doc_id"].dataType
+    own = F.col("doc_id") if isinstance(kind, (T.NumericType, T.StringType)) else F.col("doc_id").cast("string")
+    none, text = F.col("doc_id").isNull().cast("long"), F.col("text").cast("string")
+    key = F.coalesce(own, F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind if isinstance(kind, T.NumericType) else "string"))
+    whole = F.coalesce(text, F.lit(""))
+    return docs.select("doc_id", key.alias("id"), none.alias("none"), F.xxhash64(none, whole).alias("h1"), F.xxhash64(F.lit("second"), whole).alias("h2"), text.alias("text"))
+
+
+_PLACE = ["id", "h1", "h2"]
+#: Bits of a segment's pack: 62 is set for a null id, from 6 the first word, from 1 the windows less one, 0: repeats in its run.
+_NULL = 1 << 62
+
+
+def _ranks(b, none: np.ndarray) -> np.ndarray:
+    """Ranks of a batch's rows by id (nulls last) and text hash; equal rows share one."""
+    ids = b.column("id")
+    value = ids.to_numpy(zero_copy_only=False)
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) or pa.types.is_decimal(ids.type):
+        number = {x: k for k, x in enumerate(sorted(set(value.tolist())))}
+        value = np.array([number[x] for x in value.tolist()], np.int64)
+    keys = [b.column(k).to_numpy(zero_copy_only=False) for k in ("h2", "h1")]
+    order = np.lexsort((*keys, value, none))
+    new = np.zeros(len(order), bool)
+    for key in (*keys, value, none):
+        new[1:] |= key[order][1:] != key[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _spread(b, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of places, to deal out what needs no company."""
+    ids = b.column("id")
+    own = ids.to_numpy().astype(np.uint64) if pa.types.is_integer(ids.type) else np.array([zlib.crc32(str(x).encode("utf-8", "surrogatepass")) for x in ids.to_pylist()], np.uint64)
+    with np.errstate(over="ignore"):
+        key = mix64(b.column("h1").to_numpy().astype(np.uint64) ^ own * np.uint64(0xD6E8FEB86659FD93))
+        return mix64(key[row] * np.uint64(0x9FB21C651E98DF25) + start.astype(np.uint64))
+
+
+def _later(w, text, start, count, content, rank) -> np.ndarray:
+    """Which segments come after one of the same words in the same run, at another place."""
+    order = np.lexsort((start, rank, content))
     c = content[order]
     head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    first = np.repeat(order[head], np.diff(np.concatenate([head, [len(c)]])))
-    out = np.zeros(len(c), bool)
-    out[order] = (doc[order] != doc[first]) | (twin[order] != twin[first]) | (start[order] != start[first])
-    return out
+    first = np.empty(len(c), np.int64)
+    first[order] = np.repeat(order[head], np.diff(np.concatenate([head, [len(c)]])))
+    later = (rank != rank[first]) | (start != start[first])
+    at = np.flatnonzero(later)
+    if len(at):  # equal hashes only count where the words are equal
+        later[at[count[at] != count[first[at]]]] = False
+        at = np.flatnonzero(later)
+    if len(at):
+        size = count[at] + WINDOW - 1
+        begin = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(begin, size)
+        mine, other = (np.repeat(w.first[text[x]] + start[x], size) + step for x in (at, first[at]))
+        later[at] = np.logical_and.reduceat(w.hash[mine] == w.hash[other], begin)
+    return later
 
 
 def _slot(anchor: np.ndarray) -> np.ndarray:
@@ -99,15 +153,14 @@ def _crowded(keyed: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            doc, twin = b.column("doc").to_numpy(), b.column("twin").to_numpy()
-            for low, _, w in runs(b.column("text").to_pylist()):
-                text, start, _, anchor, content, _ = _segments(w)
-                if len(text):
-                    total += np.bincount(_slot(anchor[~_later(content, doc[low + text], twin[low + text], start)]), minlength=SLOTS)
+            for _, _, w in runs(b.column("text").to_pylist()):
+                _, _, _, anchor, content, _ = _segments(w)
+                if len(anchor):
+                    total += np.bincount(_slot(anchor[np.unique(content, return_index=True)[1]]), minlength=SLOTS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    found = keyed.select("doc", "twin", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
+    found = keyed.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
     total = np.zeros(SLOTS, np.int64)
     for slot, n in found:  # at most SLOTS rows
         total[slot] = n
@@ -124,7 +177,7 @@ def _by_window(w, text, start, count, anchor, whole) -> tuple[np.ndarray, ...]:
 
 
 def _places(keyed: DataFrame) -> DataFrame:
-    """Segments of all texts: (anchor, content, doc, twin, start, windows, sure).
+    """Segments of all texts: (anchor, content, id, h1, h2, pack).
 
     Equal segments are combined before the shuffle: all but a run's first are repeats for
     ``sure`` and are dealt by a number of their own, so that a passage in a third of all
@@ -132,130 +185,175 @@ def _places(keyed: DataFrame) -> DataFrame:
     split by window and combined once more.
     """
     crowded = _crowded(keyed)
+    kind = keyed.schema["id"].dataType.simpleString()
 
     def run(batches):
-        names = ["anchor", "content", "doc", "twin", "start", "windows", "sure"]
+        names = ["anchor", "content", *_PLACE, "pack"]
         for b in batches:
-            doc, twin = b.column("doc").to_numpy(), b.column("twin").to_numpy()
+            none = b.column("none").to_numpy()
+            rank = _ranks(b, none)
             for low, _, w in runs(b.column("text").to_pylist()):
                 *cut, whole = _segments(w)
                 if not len(cut[0]):
                     continue
-                sure = _later(cut[4], doc[low + cut[0]], twin[low + cut[0]], cut[1])
+                sure = _later(w, *cut[:3], cut[4], rank[low + cut[0]])
                 many = crowded[_slot(cut[3])] & ~sure
                 if many.any():
                     one = _by_window(w, *(c[many] for c in cut[:4]), whole)
-                    again = _later(one[4], doc[low + one[0]], twin[low + one[0]], one[1])
+                    again = _later(w, *one[:3], one[4], rank[low + one[0]])
                     cut = [np.concatenate([c[~many], o]) for c, o in zip(cut, one, strict=True)]
                     sure = np.concatenate([sure[~many], again])
                 text, start, count, anchor, content = cut
-                d, t = doc[low + text], twin[low + text]
-                with np.errstate(over="ignore"):
-                    own = mix64(d[sure].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix64(t[sure].astype(np.uint64) << np.uint64(32) | start[sure].astype(np.uint64)))
-                anchor[sure] = content[sure] = own
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor.view(np.int64), content.view(np.int64), d, t, start.astype(np.int32), count.astype(np.int32), sure))], names)
+                row = low + text
+                anchor[sure] = content[sure] = _spread(b, row[sure], start[sure])
+                pack = none[row] << 62 | start << 6 | (count - 1) << 1 | sure
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *(b.column(k).take(at) for k in _PLACE), pa.array(pack)], names)
 
-    return keyed.select("doc", "twin", "text").mapInArrow(run, "anchor long, content long, doc long, twin int, start int, windows int, sure boolean")
+    return keyed.select(*_PLACE, "none", "text").mapInArrow(run, f"anchor long, content long, id {kind}, h1 long, h2 long, pack long")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """Segments that may hold repeats: (anchor, doc, twin, start, windows, first)."""
-    same = Window.partitionBy("anchor", "content").orderBy("doc", "twin", "start")
+    """Segments that may hold repeats: (anchor, id, h1, h2, pack, first)."""
+    place = [F.shiftright("pack", 62), *map(F.col, _PLACE), F.col("pack")]
+    same = Window.partitionBy("anchor", "content").orderBy(*place)
     alike = Window.partitionBy("anchor")
-    # rows of one place (a repeated row of documents) have one rank; of the first place one row is enough,
-    # as two would match each other
     rows = _places(keyed).repartition("anchor").withColumn("nth", F.rank().over(same)).withColumn("row", F.row_number().over(same))
-    rows = rows.where("nth > 1 OR row = 1")
-    rows = rows.withColumn("many", F.min("content").over(alike) != F.max("content").over(alike))
-    return rows.where("sure OR nth > 1 OR many").select("anchor", "doc", "twin", "start", "windows", (~F.col("sure") & (F.col("nth") == 1)).alias("first"))
+    # rows of one place (a repeated row of documents) have one rank: the first of them is enough
+    rows = rows.where("row = nth")
+    rows = rows.withColumn("many", F.count("*").over(alike) > 1)
+    return rows.where(_sure() | F.col("many")).select("anchor", *_PLACE, "pack", (F.col("nth") == 1).alias("first"))
+
+
+def _sure() -> Column:
+    return F.col("pack").bitwiseAND(F.lit(1)) == 1
 
 
 def _fetched(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of segments: (anchor, doc, twin, start, windows, words)."""
-    lists = wanted.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("want"))
-    rows = keyed.select("doc", "twin", "text").dropDuplicates(["doc", "twin"]).join(lists, ["doc", "twin"])
+    """The words of segments: (anchor, id, h1, h2, pack, first, words)."""
+    lists = wanted.groupBy(*_PLACE).agg(F.collect_list(F.struct("pack", "first", "anchor")).alias("want"))
+    rows = keyed.select(*_PLACE, "text").dropDuplicates(_PLACE).join(lists, _PLACE)
+    kind = keyed.schema["id"].dataType.simpleString()
 
     def run(batches):
-        names = ["anchor", "doc", "twin", "start", "windows", "words"]
+        names = ["anchor", *_PLACE, "pack", "first", "words"]
         for b in batches:
             want = b.column("want")
             for low, high, w in runs(b.column("text").to_pylist()):
-                out = [[] for _ in names]
-                for i in range(low, high):
-                    base = int(w.first[i - low])
-                    doc, twin = b.column("doc")[i].as_py(), b.column("twin")[i].as_py()
-                    for x in want[i].as_py():
-                        s = base + x["start"]
-                        row = (x["anchor"], doc, twin, x["start"], x["windows"], w.hash[s : s + x["windows"] + WINDOW - 1].tobytes())
-                        for c, v in zip(out, row, strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                mine = want.slice(low, high - low)
+                flat = mine.flatten()
+                row = np.repeat(np.arange(high - low), np.diff(mine.offsets.to_numpy()))
+                start, count, _ = _unpacked(flat.field("pack"))
+                begin = w.first[row] + start
+                raw = w.hash.tobytes()
+                words = [raw[8 * s : 8 * e] for s, e in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]
+                at = pa.array(low + row)
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), *(b.column(k).take(at) for k in _PLACE), flat.field("pack"), flat.field("first"), pa.array(words, pa.binary())], names)
+
+    return rows.mapInArrow(run, f"anchor long, id {kind}, h1 long, h2 long, pack long, first boolean, words binary")
+
 
-    return rows.mapInArrow(run, "anchor long, doc long, twin int, start int, windows int, words binary")
+def _unpacked(pack: pa.Array) -> tuple[np.ndarray, ...]:
+    """(first word, windows, whether the id is null)."""
+    p = pack.to_numpy(zero_copy_only=False)
+    return (p & _NULL - 1) >> 6, (p >> 1 & 31) + 1, p >> 62 & 1
 
 
 def _searched(segments: DataFrame) -> DataFrame:
-    """(doc, twin, start, mask): which windows of each segment have an earlier equal."""
-    names = ["doc", "twin", "start", "mask"]
-
-    def shard(parts):
-        doc, twin, start, count = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
-        flat = np.frombuffer(b"".join(w for p in parts for w in p[5]), np.uint64)
-        sizes = count + WINDOW - 1
-        base = np.cumsum(sizes) - sizes
-        index = FMIndex(flat, sizes)
-        seg = np.repeat(np.arange(len(count)), count)
-        j = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        low, steps = index.intervals(base[seg] + j, WINDOW)
-        hit = np.flatnonzero(steps == WINDOW)
-        if not len(hit):
-            return None
-        place = start[seg[hit]] + j[hit]
-        order = np.lexsort((place, twin[seg[hit]], doc[seg[hit]], low[hit]))
-        x = hit[order]
-        later = np.concatenate([[False], low[x][1:] == low[x][:-1]])
-        x = x[later]
+    """(id, h1, h2, pack, mask): which windows of each segment stand earlier too."""
+    kind = segments.schema["id"].dataType.simpleString()
+    names = [*_PLACE, "pack", "mask"]
+
+    def shard(rows: pa.RecordBatch, done: int):
+        """Of a shard's rows (the first ``done`` are in the index only) those with repeats."""
+        start, count, none = _unpacked(rows.column("pack"))
+        size = count + WINDOW - 1
+        flat = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
+        base = np.cumsum(size) - size
+        step = np.arange(len(flat)) - np.repeat(base, size)
+        place = np.repeat(_ranks(rows, none) << 32 | start, size) + step  # of each word, in order of places
+        first = rows.column("first").to_numpy(zero_copy_only=False)
+        inside = np.repeat(first, size)
+        index = FMIndex(flat[inside], size[first], place[inside])
+        symbol = index.symbols(flat)
         mask = np.zeros(len(count), np.int64)
-        np.bitwise_or.at(mask, seg[x], 1 << j[x])
+        # whole segments: those that are no first place
+        copies = np.flatnonzero(~first)
+        steps, low, high = index.matching(symbol, (base + size)[copies], size[copies])
+        fine = steps == size[copies]
+        fine[fine] &= index.least(low[fine], high[fine]) < place[base[copies[fine]]]
+        mask[copies[fine]] = (1 << count[copies[fine]]) - 1
+        # window by window: first places, and what does not occur whole
+        rest = np.flatnonzero((mask == 0) & (np.arange(len(count)) >= done))
+        seg = np.repeat(rest, count[rest])
+        j = np.arange(len(seg)) - np.repeat(np.cumsum(count[rest]) - count[rest], count[rest])
+        at = base[seg] + j
+        steps, low, high = index.matching(symbol, at + WINDOW, np.full(len(at), WINDOW))
+        hit = np.flatnonzero(steps == WINDOW)
+        hit = hit[index.least(low[hit], high[hit]) < place[at[hit]]]
+        np.bitwise_or.at(mask, seg[hit], 1 << j[hit])
         s = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([*map(pa.array, (doc[s], twin[s], start[s].astype(np.int32), mask[s]))], names)
+        return pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(s)) for k in (*_PLACE, "pack")), pa.array(mask[s])], names)
 
     def run(batches):
-        held, words = [], 0
+        held, words, done = [], 0, 0
+
+        def flush(last: bool):
+            """Searches what is held; of an anchor that goes on, its first places stay."""
+            nonlocal held, words, done
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            out = shard(rows, done)
+            held, words, done = [], 0, 0
+            if not last:
+                anchor = rows.column("anchor").to_numpy()
+                stay = np.flatnonzero((anchor == anchor[-1]) & rows.column("first").to_numpy(zero_copy_only=False))
+                held, done = [rows.take(pa.array(stay))], len(stay)
+            return out
+
         for b in batches:
-            columns = [b.column(i).to_numpy() for i in range(5)]
-            columns.append(b.column("words").to_pylist())
-            anchor = columns[0]
-            edge = np.flatnonzero(np.concatenate([[not held or held[-1][0][-1] != anchor[0]], anchor[1:] != anchor[:-1]]))
-            size = np.concatenate([[0], np.cumsum(columns[4].astype(np.int64) + WINDOW - 1)])
-            low = 0
-            for e in edge.tolist():  # shards end where an anchor ends
-                if words + size[e] - size[low] >= SHARD_WORDS:
-                    if e > low:
-                        held.append([c[low:e] for c in columns])
-                    if held and (out := shard(held)) is not None:
+            anchor, first = b.column("anchor").to_numpy(), b.column("first").to_numpy(zero_copy_only=False)
+            size = np.cumsum(_unpacked(b.column("pack"))[1] + WINDOW - 1)
+            before = held[-1].column("anchor")[-1].as_py() if held else None
+            edges = np.flatnonzero(np.concatenate([[before is not None and before != anchor[0]], anchor[1:] != anchor[:-1]]))
+            copies = np.flatnonzero(~first)
+            low, used = 0, 0
+            while low < len(anchor):
+                # up to the end of the anchor that fills the shard; within an anchor of very many copies
+                # wherever it is full four times over, but after all of its first places
+                at = low if words >= SHARD_WORDS else int(np.searchsorted(size, SHARD_WORDS - words + used)) + 1
+                k = int(np.searchsorted(edges, at))
+                cut = int(edges[k]) if k < len(edges) else len(anchor)
+                c = int(np.searchsorted(copies, max(low, int(np.searchsorted(size, 4 * SHARD_WORDS - words + used)))))
+                end = min(cut, int(copies[c]) + 1 if c < len(copies) else len(anchor))
+                if end > low:
+                    held.append(b.slice(low, end - low))
+                    words += int(size[end - 1]) - used
+                    used, low = int(size[end - 1]), end
+                ends = end == cut < len(anchor)
+                if (ends and words >= SHARD_WORDS) or (words >= 4 * SHARD_WORDS and not held[-1].column("first")[-1].as_py()):
+                    out = flush(ends)
+                    if len(out):
                         yield out
-                    held, words, low = [], 0, e
-            if low < len(anchor):
-                held.append([c[low:] for c in columns])
-                words += int(size[-1] - size[low])
-        if held and (out := shard(held)) is not None:
-            yield out
+        if held and sum(map(len, held)) > done:
+            out = flush(True)
+            if len(out):
+                yield out
 
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc long, twin int, start int, mask long")
+    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", F.desc("first"))
+    return dealt.mapInArrow(run, f"id {kind}, h1 long, h2 long, pack long, mask long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, twin, start, mask), stored: bit j tells that the window at word start + j repeats."""
+    """(id, h1, h2, start, mask), stored: bit j tells that the window at word start + j repeats."""
     keyed = _keyed(docs)
     shared = stored(_shared(keyed), "repeat-segments")
     _release(docs.sparkSession)
-    copies = shared.where("NOT first").select("doc", "twin", "start", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
-    words = stored(_fetched(keyed, shared.where("first")), "repeat-words")
+    windows = (F.shiftright("pack", 1).bitwiseAND(F.lit(31)) + 1).cast("int")
+    copies = shared.where(_sure()).select(*_PLACE, "pack", (F.pow(F.lit(2.0), windows).cast("long") - 1).alias("mask"))
+    words = stored(_fetched(keyed, shared.where(~_sure())), "repeat-words")
     _release(docs.sparkSession)
-    found = stored(copies.unionByName(_searched(words)), "repeats")
+    found = copies.unionByName(_searched(words)).select(*_PLACE, F.shiftright(F.col("pack").bitwiseAND(F.lit(_NULL - 1)), 6).alias("start"), "mask")
+    found = stored(found, "repeats")
     drop_stored(words)
     drop_stored(shared)
     _release(docs.sparkSession)
@@ -272,13 +370,14 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and the kept text).
 
     Every word that a window covers whose words also start earlier (smaller doc_id, or same
-    document, earlier start) is removed; windows are judged on the input. Null and empty
-    texts have no words and the digest of "". A null doc_id comes last. Rows with one doc_id
-    and one text are one document (same result); with other texts, documents in an order of
-    their own. An empty table gives no rows; other columns are ignored.
+    document, earlier start) is removed; windows are judged on the input. Ids are compared
+    as what they are (numbers, or text by code point); a null doc_id comes last. Null and
+    empty texts have no words and the digest of "". Rows with one doc_id and one text are one
+    document (same result); with other texts, documents in an order of their own. An empty
+    table gives no rows; other columns are ignored.
     """
     keyed, found = _keyed(docs), repeats(docs)
-    lists = found.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
+    lists = found.groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -291,7 +390,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 if cuts.is_valid and len(cuts.values):
                     start, mask = (np.asarray(cuts.values.field(k), np.int64) for k in ("start", "mask"))
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for j in range(WINDOW - GRAM + 1):
+                    for j in range(SPAN):
                         s = start[(mask >> j) & 1 == 1] + j
                         np.add.at(edge, s, 1)
                         np.add.at(edge, s + WINDOW, -1)
@@ -305,7 +404,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             more = [pa.array(kept, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), *more], names)
 
-    rows = keyed.join(lists, ["doc", "twin"], "left").select("doc_id", "text", "cuts")
+    rows = keyed.join(lists, _PLACE, "left").select("doc_id", "text", "cuts")
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 

@@ -2,6 +2,10 @@ r"""WARC archives by way of a chunked record table.
 
 Writing: each task streams its records into archives of its own (one gzip member a
 record, a new file beyond ROLL_BYTES); a payload goes through the compressor in chunks.
+Payloads stay where they are read: what decides between response and revisit is a table of
+the digests that occur twice or more, which is broadcast up to a number of rows that is
+checked; beyond it revisits, told by narrow rows, are set apart by one join on digest and
+page, and carry no payload from there on.
 Reading: archives are streamed back into rows (record, chunk number, data) with the
 digest of all payload bytes so far, so neither side ever holds an oversized record
 beside its input row. Archives live in the shared folder under names that no second
@@ -18,42 +22,58 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import drop_stored, new_path, qualified, stored, table
 
 CHUNK_BYTES = 1 << 20
 ROLL_BYTES = 64 << 20
 LEVEL = 1
 _BATCH_BYTES = 8 << 20
+#: Rows of repeated digests (some 60 bytes each) that are broadcast, and archives read by a task of their own.
+MOST_BROADCAST, MOST_READERS = 500_000, 20_000
 
 
 def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to).
+def groups(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(d, s, least), stored: digest and size of payloads of at least ``min_bytes`` that occur
+    twice or more, and the smallest page_id."""
+    payload = _payload()
+    keys = pages.select("page_id", F.unhex(F.sha1(payload)).alias("d"), F.octet_length(payload).alias("s")).where(F.col("s") >= min_bytes)
+    return stored(keys.groupBy("d", "s").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-groups")
 
-    Of payloads of at least ``min_bytes`` that are equal (SHA-1 and length), the smallest
-    page_id is a response and the others revisit it. Rows that repeat that page_id are all
-    responses; a null page_id is a response only if its whole group is null.
+
+def _payload() -> Column:
+    return F.coalesce("html", F.lit("")).cast("binary")
+
+
+def roles(pages: DataFrame, twice: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(page_id, url, payload, digest, size, record_type, refers_to); a revisit has no payload.
+
+    Of payloads in ``twice`` (:func:`groups`) the smallest page_id is a response and the
+    others revisit it. Rows that repeat that page_id are all responses; a null page_id is a
+    response only if its whole group is null.
     """
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    keys = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    first = keys.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("digest", F.col("size").alias("_s"), "least")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    rows = rows.join(first.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.octet_length("payload") == F.col("_s")), "left")
+    payload = _payload()
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"))
+    same = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))
     revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    return rows.select(
-        "page_id",
-        "url",
-        "payload",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("least")).alias("refers_to"),
-    )
+    names = ["page_id", "url", "payload", "digest", "size"]
+    if twice.limit(most_broadcast + 1).count() <= most_broadcast:
+        joined = rows.join(F.broadcast(twice), same, "left")
+        return joined.select(
+            "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("least")).alias("refers_to")
+        )
+    again = rows.drop("payload").join(twice, same).where(revisit)
+    keys = again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("size").alias("_s")).distinct()
+    first = rows.join(keys, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left_anti")
+    least = pages.schema["page_id"].dataType
+    first = first.select(*names, F.lit("response").alias("record_type"), F.lit(None).cast(least).alias("refers_to"))
+    return first.unionByName(again.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "size", F.lit("revisit").alias("record_type"), F.col("least").alias("refers_to")))
 
 
 def _clean(value: str | None) -> str:
@@ -83,21 +103,20 @@ class _Archive:
             self.done.append((self.path, self.n))
             self.out = None
 
-    def record(self, page_id, url, payload, record_type, refers_to) -> None:
+    def record(self, page_id, url, payload, digest, size, record_type, refers_to) -> None:
+        """``payload`` is a buffer, None for a revisit; ``digest`` and ``size`` are of the whole payload."""
         if self.out is None:
             self.open()
-        view = memoryview(payload)
-        digest = base32_sha1(hashlib.sha1(view).digest())
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        body = view if record_type == "response" else memoryview(b"")
+        body = memoryview(payload or b"")
         head = [
             "WARC/1.1",
             f"WARC-Type: {record_type}",
             f"WARC-Record-ID: {_id(page_id)}",
             "WARC-Date: 1970-01-01T00:00:00Z",
             f"WARC-Target-URI: {_clean(url)}",
-            f"WARC-Payload-Digest: sha1:{digest}",
-            f"X-Payload-Length: {len(view)}",
+            f"WARC-Payload-Digest: sha1:{base32_sha1(digest)}",
+            f"X-Payload-Length: {size}",
         ]
         if record_type == "revisit":
             head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_id(refers_to)}"]
@@ -117,20 +136,23 @@ class _Archive:
             self.size += len(data)
 
 
+_RECORD = ["page_id", "url", "payload", "digest", "size", "record_type", "refers_to"]
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Writes ``roles`` rows below ``folder``; returns the stored manifest (path, records)."""
 
     def run(batches):
         archive = _Archive(folder)
         for b in batches:
-            columns = [b.column(i) for i in range(5)]
+            page_id, url, payload, *rest = (b.column(k) for k in _RECORD)
             for i in range(len(b)):
-                page_id, url, payload, kind, refers = (c[i] for c in columns)
-                archive.record(page_id.as_py(), url.as_py(), payload.as_buffer(), kind.as_py(), refers.as_py())
+                data = payload[i].as_buffer() if payload[i].is_valid else None
+                archive.record(page_id[i].as_py(), url[i].as_py(), data, *(c[i].as_py() for c in rest))
         archive.close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in archive.done], pa.string()), pa.array([n for _, n in archive.done], pa.int64())], ["path", "records"])
 
-    return stored(records.select("page_id", "url", "payload", "record_type", "refers_to").mapInArrow(run, "path string, records long"), "warc-manifest")
+    return stored(records.select(*_RECORD).mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
 class _Stream:
@@ -233,7 +255,9 @@ def read_chunks(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES
                 if rows:
                     yield _batch(rows, names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, _CHUNKS)
+    files = manifest.select("path")
+    # a task for each archive: a number of partitions that is given is not merged again
+    return files.repartitionByRange(max(1, min(files.count(), MOST_READERS)), "path").mapInArrow(run, _CHUNKS)
 
 
 _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -244,20 +268,23 @@ def _batch(rows: list, names: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def archive(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:
+def archive(pages: DataFrame, min_bytes: int = 0, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, str]:
     """Writes ``pages`` as WARC records; returns the manifest and the archives' folder.
 
     Null html is an empty payload, a null url an empty target; repeated rows make a record
-    each; other columns are ignored; an empty table makes an empty manifest.
+    each; other columns are ignored; an empty table makes an empty manifest. Archives and
+    manifest are the caller's to delete.
     """
-    folder = new_path(pages.sparkSession, "warc")
-    folder = folder if ":/" in folder else f"file://{folder}"
-    return write_archives(roles(pages, min_bytes), folder), folder
+    folder = qualified(pages.sparkSession, new_path(pages.sparkSession, "warc"))
+    twice = groups(pages, min_bytes)
+    manifest = write_archives(roles(pages, twice, most_broadcast), folder)
+    drop_stored(twice)
+    return manifest, folder
 
 
 def query(spark, sf_dir):
     manifest, folder = archive(table(spark, sf_dir, "pages"))
-    return read_chunks(manifest, folder, with_data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_chunks(manifest, folder).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {}) & 31 AS INT) + 1, 1)"

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recollect.llm import chat_format, decontaminate, license_scan, minhash, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
-from recollect.llm.common import Words
+from recollect.llm.common import Words, qualified
 from recollect.llm.components import components
 from recollect.llm.fm_index import FMIndex, suffix_array
 
@@ -235,7 +235,7 @@ def test_decontamination(spark, corpus, texts):
     item = " ".join(by[10].split(" ")[5:35])
     words = item.split(" ")
     para = " ".join(w if i % 4 else "other" for i, w in enumerate(words))
-    bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "none of these words stand anywhere in the whole corpus at all truly")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "..."), (4, "none of these words stand anywhere in the whole corpus at all truly")], "item_id long, text string")
     planted = [(2000, f"start {item.upper()} end"), (2001, f"{by[20]} {para}"), (2002, by[30])]
     docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     found = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontaminate.leaks(docs, bench).collect()}
@@ -246,7 +246,7 @@ def test_decontamination(spark, corpus, texts):
     assert decontaminate.leaks(docs, empty(bench)).count() == 0 and decontaminate.leaks(empty(docs), bench).count() == 0
 
 
-def test_lcs_and_svd(spark):
+def test_lcs_and_svd():
     rng = np.random.default_rng(1)
     for _ in range(50):
         a, b = rng.integers(0, 6, 20).tolist(), rng.integers(0, 6, 30).tolist()
@@ -259,7 +259,7 @@ def test_lcs_and_svd(spark):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate._lcs(bits, 20, b) == table[20, 30]
     m = rng.standard_normal((12, 40)) * (rng.random((12, 40)) < 0.3)
-    v = decontaminate.randomised_svd(spark, [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in m], 40)
+    v = decontaminate.randomised_svd([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in m], 40)
     assert np.allclose(m @ v @ v.T, m, atol=1e-6)  # the row space is kept whole
 
 
@@ -290,6 +290,64 @@ def test_short_passages_of_a_large_benchmark_are_all_found(spark):
     assert planted <= near <= found
 
 
+@pytest.mark.parametrize("block", [7, decontaminate.BLOCK_PASSAGES])  # 7: more blocks than a worker keeps loaded
+def test_paraphrases_against_exhaustive_search(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_PASSAGES", block)
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{int(k ** 2 / 4000)}" for k in rng.integers(0, 4000, n)]  # noqa: E731, common and rare ones
+    items = [word(int(n)) for n in rng.integers(8, 160, 60)]  # up to five passages
+    texts = []
+    for d in range(120):
+        item = items[d % 60]
+        share = 0.1 if d < 60 else 0.3  # of the words replaced
+        changed = [w if rng.random() >= share else f"x{rng.integers(0, 900)}" for w in item]
+        texts.append(" ".join(word(int(rng.integers(0, 200))) + changed + word(int(rng.integers(0, 200)))))
+    texts += [" ".join(word(300)) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] * 2, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    # the rule itself, everywhere: every passage against every span of one and a half times its length
+    counts = Counter()
+    for t in texts:
+        w = t.split()
+        counts.update(x for i in range(0, len(w), decontaminate.TILE) for x in set(w[i : i + decontaminate.TILE]))
+    rule = set()
+    for i, w in enumerate(items):
+        starts = [0] if len(w) <= 64 else [*range(0, len(w) - 64, 32), len(w) - 64]
+        for p in (w[s : s + 64] for s in starts):
+            n, bits = len(p), defaultdict(int)
+            for k, x in enumerate(p):
+                bits[x] |= 1 << k
+            rare = sorted(set(p), key=lambda x: counts[x])
+            for d, t in enumerate(texts):
+                t = t.split()
+                if decontaminate._lcs(bits, n, t) < 0.6 * n:
+                    continue
+                for k in range(max(1, len(t) - n * 3 // 2 + 1)):
+                    span = t[k : k + n * 3 // 2]
+                    lcs = decontaminate._lcs(bits, n, span) / n
+                    # five rarest terms; where ranks tie any five may be meant, so all of them have to be there
+                    tied = [x for x in rare if counts[x] <= counts[rare[min(4, len(rare) - 1)]]]
+                    if lcs >= 0.8 or (lcs >= 0.6 and sum(x in span for x in tied) >= len(tied) - 2 + (len(tied) > 5) * 2):
+                        rule.add((d, i))
+                        break
+    assert len(rule) > 80 and len(rule & found) >= 0.95 * len(rule), (len(rule), len(rule - found))
+    light, heavy = ({(d, d % 60) for d in part} for part in (range(60), range(60, 120)))
+    assert len(light & found) >= 0.97 * 60 and len(heavy & found) >= 0.5 * 60  # the limit of what counts as a paraphrase
+    assert not {d for d, _ in found} & set(range(120, 180))
+
+
+def test_short_items_count_word_for_word(spark):
+    items = [(1, "which town lies upon that wide river"), (2, "Forty two!"), (3, "one two three four"), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["Which town lies upon that wide river?", "so: which town lies, upon that wide river it was", "which town upon that wide river lies", "forty two", "it was forty two then", "zero one two three four five", "one two three and four", "", None]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id long, lcs string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(0, 1), (1, 1), (3, 2), (5, 3)}
+    left = decontaminate.drop_leaks(docs, bench)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 4, 6, 7, 8}
+    assert decontaminate.drop_leaks(docs, empty(bench)).count() == 9
+
+
 # ---- 4 WARC
 
 
@@ -320,6 +378,23 @@ def test_warc(spark):
     assert kinds[5] == "response" and kinds[8] == "revisit"
     none, folder = warc.archive(empty(pages))
     assert warc.read_chunks(none, folder).count() == 0
+    apart = warc.read_chunks(*warc.archive(pages, most_broadcast=0), chunk_bytes=1000).where("last").collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in apart) == want
+    plans = [warc.roles(pages, warc.groups(pages))._jdf.queryExecution().executedPlan().toString()]
+    assert "Exchange hashpartitioning" not in plans[0]  # payloads are not dealt out
+
+
+def test_oversized_records_are_chunked(spark):
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.when(F.col("id") < 2, F.repeat(F.lit("0123456789"), 10_000_000)).otherwise("y").alias("html"))
+    chunks = warc.read_chunks(*warc.archive(pages)).select("page_id", "chunk", "bytes_so_far", "digest_so_far", "last", "record_type", F.octet_length("data").alias("n")).collect()
+    big = sorted((r["chunk"], r["n"], r["bytes_so_far"]) for r in chunks if r["page_id"] == 0)
+    assert len(big) == 96 and all(n <= warc.CHUNK_BYTES and upto == min((k + 1) << 20, 10**8) for k, n, upto in big)
+    last = {r["page_id"]: r for r in chunks if r["last"]}
+    assert last[0]["digest_so_far"] == base64.b32encode(hashlib.sha1(b"0123456789" * 10_000_000).digest()).decode() and last[1]["record_type"] == "revisit"
+
+
+def test_a_folder_without_a_scheme_is_sparks(spark):
+    assert qualified(spark, "/tmp/x") == "file:///tmp/x" and qualified(spark, "file:/tmp/x") == "file:///tmp/x" and qualified(spark, "file:///tmp/x") == "file:///tmp/x"
 
 
 # ---- 5 chat
@@ -500,6 +575,25 @@ def test_covering_misses_no_pair(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k in got if got[k] == v) for v in set(got.values())}
 
 
+def test_large_buckets_go_to_a_second_level(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 3, dtype=np.uint64)
+    every = {int(x) for x in base}
+    for b in base:  # neighbourhoods that share the bits of many tables
+        for _ in range(300):
+            every.add(int(b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, int(rng.integers(1, 9)), replace=False).astype(np.uint64))))
+    every = sorted(every)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in every], "fp long").repartition(3)
+    groups = []
+    for most in (3, simhash.MOST):
+        got = {r["node"]: r["label"] for r in components(simhash.links(df, most=most)).collect()}
+        groups.append({frozenset(k for k in got if got[k] == v) for v in set(got.values())})
+    want = defaultdict(set)
+    for x, c in zip(every, linked(every), strict=True):
+        want[c].add(x - (1 << 64) if x >> 63 else x)
+    assert groups[0] == groups[1] == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
 def test_components_of_a_path(spark):
     path = spark.range(200).selectExpr("(id * 37) % 201 AS a", "((id + 1) * 37) % 201 AS b")
     assert {r["label"] for r in components(path).collect()} == {0}
@@ -600,6 +694,30 @@ def test_substrings(corpus, texts, crowd, monkeypatch):
     assert substring_dedup.dedup(empty(corpus)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [100, substring_dedup.SHARD_WORDS])  # 100: anchors of many copies go in parts
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_ids_of_any_type_and_none(spark, kind, shard, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    rng = np.random.default_rng(16)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 50_000, n))
+    some = [prose(45) for _ in range(4)]
+    made = [f"{prose(int(rng.integers(0, 30)))} {some[int(rng.integers(0, 4))]} {prose(int(rng.integers(0, 30)))} {some[int(rng.integers(0, 4))]}" for _ in range(60)]
+    ids = {"long": [2**63 - 1, 0, -5, *range(10, 60)], "string": [f"é{i}" for i in range(50)] + ["", "~", "z"], "date": [f"2020-01-{i:02}" for i in range(1, 32)] + [f"1999-02-{i:02}" for i in range(1, 23)]}[kind]
+    rows = list(zip(ids, made, strict=False))
+    docs = spark.createDataFrame([*rows, (None, made[59]), (None, some[0])], "k string, text string" if kind != "long" else "k long, text string").select(F.col("k").cast(kind).alias("doc_id"), "text", F.lit(1).alias("id"), F.lit("x").alias("h1")).repartition(4)
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w, gone = t.split(), set()
+        for s in range(len(w) - 19):
+            if tuple(w[s : s + 20]) in seen:
+                gone |= set(range(s, s + 20))
+            seen.add(tuple(w[s : s + 20]))
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    got = substring_dedup.dedup(docs, with_text=True).collect()
+    assert {str(r["doc_id"]): r["kept"] for r in got if r["doc_id"] is not None} == {str(i): t for i, t in want.items()}
+    assert {r["kept"] for r in got if r["doc_id"] is None and r["n_words"] == 45} == {""}
+
+
 def test_repeated_rows_next_to_a_shared_passage(spark):
     rng = np.random.default_rng(6)
     prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
@@ -616,18 +734,24 @@ def test_fm_index():
     rng = np.random.default_rng(3)
     sizes = rng.integers(6, 14, 40)
     flat = rng.integers(0, 3, int(sizes.sum())).astype(np.uint64)
+    value = rng.permutation(len(flat))
+    index = FMIndex(flat, sizes, value)
     starts = np.cumsum(sizes) - sizes
-    index = FMIndex(flat, sizes)
-    at = np.concatenate([np.arange(s, s + n - 4) for s, n in zip(starts, sizes, strict=True)])
-    low, steps = index.intervals(at, 5)
-    strings = [tuple(flat[a : a + 5].tolist()) for a in at]
-    n = Counter(strings)
-    groups = defaultdict(set)
-    for s, x, k in zip(strings, low.tolist(), steps.tolist(), strict=True):
-        assert (k == 5) == (n[s] > 1)
-        if k == 5:
-            groups[s].add(x)
-    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+    where = defaultdict(list)  # of every string within a sequence, the values of its places
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                where[tuple(flat[s + i : s + j].tolist())].append(value[s + i])
+    strings = [rng.integers(0, 4, n).astype(np.uint64) for n in rng.integers(1, 9, 400)]  # 3 is nowhere
+    query = np.concatenate(strings)
+    length = np.array([len(x) for x in strings])
+    steps, low, high = index.matching(index.symbols(query), np.cumsum(length), length)
+    for s, k, a, b in zip(strings, steps.tolist(), low.tolist(), high.tolist(), strict=True):
+        s = tuple(s.tolist())
+        assert k == max((n for n in range(1, len(s) + 1) if s[-n:] in where), default=0)
+        assert not k or b - a == len(where[s[-k:]])
+    some = np.flatnonzero(steps)
+    assert index.least(low[some], high[some]).tolist() == [min(where[tuple(strings[i][-steps[i] :].tolist())]) for i in some]
     text = rng.integers(0, 4, 200)
     assert suffix_array(text, 300).tolist() == sorted(range(200), key=lambda i: text[i:].tolist())
 
