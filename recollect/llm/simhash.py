@@ -4,6 +4,10 @@ Bit i of a fingerprint is given a non-zero vector m(i) of r + 1 bits. Table v (e
 non-zero v of r + 1 bits) keeps the bits with <m(i), v> = 1 (mod 2). Any r differing
 bits leave some v that is orthogonal to all their vectors, so each pair within radius r
 meets in at least one of the 2^(r+1) - 1 tables: none is missed.
+
+A bucket of more than MOST fingerprints is not searched where it lies: the worker hands it
+on, and a second level of masks over the bits that the bucket does not share deals it out
+again. What meets there agrees in some 48 bits, so a bucket has at most about 2^16 members.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored, table
+from .common import drop_stored, stored, table
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: The largest bucket that a worker searches at the first level.
+MOST = 4096
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -61,15 +67,17 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, content long, fp long")
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The bits that each table keeps, as signed longs."""
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def masks(radius: int = RADIUS, kept: int = 0) -> list[int]:
+    """The bits that each table keeps, as signed longs: a covering of the bits outside ``kept``,
+    which all tables keep too."""
     n = (1 << (radius + 1)) - 1
-    vector = [1 + i % n for i in range(64)]
-    found = []
-    for v in range(1, n + 1):
-        m = sum(1 << i for i in range(64) if bin(vector[i] & v).count("1") % 2)
-        found.append(m - (1 << 64) if m >> 63 else m)
-    return found
+    free = [i for i in range(64) if not kept >> i & 1]
+    vector = {i: 1 + k % n for k, i in enumerate(free)}
+    return [_signed(kept | sum(1 << i for i in free if bin(vector[i] & v).count("1") % 2)) for v in range(1, n + 1)]
 
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
@@ -93,47 +101,81 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """(a, b): edges between distinct fingerprints ``fp`` that have the same components as
     all pairs within ``radius``.
 
     Rows are dealt by table and kept bits and sorted there; a worker streams through them
-    and holds one bucket at a time. Equal fingerprints must be collapsed before.
+    and holds one bucket of at most ``most`` at a time; larger ones go to the second level.
+    Equal fingerprints must be collapsed before.
     """
-    tables = F.explode(F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(masks(radius))])).alias("x")
-    rows = fps.select("fp", tables).select("x.t", "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
-
-    def run(batches):
-        held = None
-        for b in batches:
-            t, k, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.view(np.uint64)  # bitwise_count takes a signed value's magnitude
-            if held is not None:
-                t, k, fp = (np.concatenate(x) for x in zip(held, (t, k, fp), strict=True))
-            edge = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-            last = int(edge[-1]) if len(edge) else 0
-            held = (t[last:], k[last:], fp[last:])
-            yield from emit(fp[:last], np.concatenate([[0], edge[:-1]]) if last else edge, last)
-        if held is not None:
-            yield from emit(held[2], np.zeros(1, np.int64), len(held[2]))
-
-    def emit(fp, start, n):
+    first = masks(radius)
+    tables = F.explode(F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(first)])).alias("x")
+    found = stored(_met(fps.select("fp", tables).select("x.t", "x.k", "fp"), radius, most), "simhash-met")
+    over = found.where("b IS NULL").select(F.col("a").alias("fp"), "t")
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    if over.isEmpty():
+        return edges.distinct()
+    second = F.array(*[F.array(*map(F.lit, masks(radius, m % (1 << 64)))) for m in first])
+    rows = over.select("fp", "t", F.posexplode(F.element_at(second, F.col("t") + 1)).alias("u", "m"))
+    rows = rows.select((F.col("t") * 64 + F.col("u")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp")
+    return edges.unionByName(_met(rows, radius, None).select("a", "b")).distinct()
+
+
+def _met(rows: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """(a, b, t): edges within the buckets (t, k) of ``rows`` (t, k, fp); a row without b is a
+    fingerprint of a bucket of table t that has more than ``most``."""
+
+    def batch(a: np.ndarray, b: np.ndarray | None, t: int | None):
+        none = lambda kind: pa.nulls(len(a), kind)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none(pa.int64()) if b is None else pa.array(b.view(np.int64)), none(pa.int32()) if t is None else pa.array(np.full(len(a), t, np.int32))], ["a", "b", "t"])
+
+    def searched(t, fp, start, n):
+        """The buckets that begin at ``start`` in the first ``n`` rows."""
         if not n:
             return
         size = np.diff(np.concatenate([start, [n]]))
-        a, b = [], []
         two = start[size == 2]
         near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius if len(two) else np.zeros(0, bool)
-        a += fp[two][near].tolist()
-        b += fp[two + 1][near].tolist() if len(two) else []
+        a, b = fp[two][near].tolist(), fp[two + 1][near].tolist() if len(two) else []
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if most and m > most:
+                yield batch(fp[s : s + m], None, int(t[s]))
+                continue
             x, y = _forest(fp[s : s + m], radius)
             a += x
             b += y
         if a:
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))], ["a", "b"])
+            yield batch(np.array(a, np.uint64), np.array(b, np.uint64), None)
+
+    def run(batches):
+        held = over = None
+        for b in batches:
+            t, k, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in ("t", "k", "fp"))
+            fp = fp.view(np.uint64)  # bitwise_count takes a signed value's magnitude
+            if over is not None:  # more of a bucket that is being handed on
+                other = (t != over[0]) | (k != over[1])
+                n = int(other.argmax()) if other.any() else len(t)
+                if n:
+                    yield batch(fp[:n], None, int(over[0]))
+                t, k, fp = t[n:], k[n:], fp[n:]
+                if not len(t):
+                    continue
+                over = None
+            if held is not None:
+                t, k, fp = (np.concatenate(x) for x in zip(held, (t, k, fp), strict=True))
+            edge = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
+            last = int(edge[-1]) if len(edge) else 0
+            held = (t[last:], k[last:], fp[last:])
+            yield from searched(t, fp[:last], np.concatenate([[0], edge[:-1]]) if last else edge, last)
+            if most and len(held[0]) > most:
+                over = (held[0][0], held[1][0])
+                yield batch(held[2], None, int(over[0]))
+                held = None
+        if held is not None:
+            yield from searched(held[0], held[2], np.zeros(1, np.int64), len(held[2]))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "a long, b long, t int")
 
 
 def _labelled(prints: DataFrame, radius: int) -> DataFrame:
@@ -141,8 +183,12 @@ def _labelled(prints: DataFrame, radius: int) -> DataFrame:
     kinds = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-kinds")
     edges = stored(links(kinds.select("fp"), radius), "simhash-links")
     label = components(edges)
+    drop_stored(edges)
     joined = kinds.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    return stored(joined, "simhash-labels")
+    joined = stored(joined, "simhash-labels")
+    drop_stored(kinds)
+    drop_stored(label)
+    return joined
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -178,10 +224,11 @@ def keep_first(docs: DataFrame, prints: DataFrame, labels: DataFrame, name: str)
     named = prints.groupBy(F.col(name).alias("node")).agg(F.min(place).alias("place")).join(labels.select("node", "label"), "node", "left")
     first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("place").alias("place"))
     stay = first.select(F.col("place.doc_id").alias("_stay"), F.col("place.content").alias("_content"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.xxhash64("text") == F.col("_content")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("content"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("content") == F.col("_content")), "left_semi")
     # the limit of one row a window is applied before the shuffle too
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    one = Window.partitionBy("doc_id", "content").orderBy("text")
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def query(spark, sf_dir):
