@@ -1,32 +1,44 @@
 """Graph state as versioned Parquet.
 
-A state is a value: three DataFrames and the next link id. ``save`` writes a whole new
-version beside the old ones and publishes it by renaming one folder, which is atomic on
-HDFS and local disks; readers take the highest version. Plain Parquet has no row updates,
-so each batch of changes is one version.
+A state is a value: three DataFrames, the next link id and what streams have applied.
+``save`` writes a whole new version beside the old ones, claims a number by creating a file
+that must not exist, and publishes the version by renaming one folder; readers take the
+highest version. So no two writers ever get one number. A writer that names the version it
+started ``after`` gets the next one or, if someone else has it, a :class:`Conflict`. Plain
+Parquet has no row updates, so each batch of changes is one version.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
 import time
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LINKS, NODES, SESSIONS, TABLES
 
 
+class Conflict(RuntimeError):
+    """Someone else published the version after the one that a change started from."""
+
+
 @dataclass(frozen=True)
 class GraphState:
-    """Nodes, links, sessions; ``next_link_id`` is a high-water mark, so ids are never reused."""
+    """Nodes, links, sessions; ``next_link_id`` is a high-water mark, so ids are never reused.
+    ``marks`` has the last batch that each stream has applied, ``version`` the number this was
+    loaded from (0: none)."""
 
     nodes: DataFrame
     links: DataFrame
     sessions: DataFrame
     next_link_id: int = 1
+    marks: dict[str, int] = field(default_factory=dict)
+    version: int = 0
 
     @property
     def spark(self) -> SparkSession:
@@ -48,18 +60,34 @@ class GraphState:
         top = links.agg(F.max("id")).first()[0]
         return GraphState(nodes, links, sessions, (top or 0) + 1)
 
-    def save(self, path: str) -> int:
-        """Writes the next version below ``path``; returns its number."""
+    def save(self, path: str, after: int | None = None, abandoned: int = 3600) -> int:
+        """Writes a version below ``path``; returns its number: the next free one, or that
+        after ``after``. A claim without a version that is older than ``abandoned`` seconds was
+        left by a writer that died, and is taken over."""
         files, folder = _files(self.spark, path)
-        version = max(_versions(files, folder), default=0) + 1
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         draft = f"{path}/_draft-{uuid.uuid4().hex}"
         for name in TABLES:
             getattr(self, name).write.parquet(f"{draft}/{name}")
-        self.spark.range(1).select(F.lit(self.next_link_id).cast("long").alias("next_link_id")).coalesce(1).write.parquet(f"{draft}/meta")
-        jvm = self.spark.sparkContext._jvm
-        if not files.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{path}/v={version:08d}")):
-            raise OSError(f"version {version} of {path} was published by someone else")
-        return version
+        meta = self.spark.createDataFrame([(self.next_link_id, self.marks)], "next_link_id long, marks map<string,long>")
+        meta.coalesce(1).write.parquet(f"{draft}/meta")
+        while True:
+            version = (max(_versions(files, folder, claims=True), default=0) if after is None else after) + 1
+            claim, place = at(f"{path}/v={version:08d}.claim"), at(f"{path}/v={version:08d}")
+            if after is not None and not files.exists(place) and files.exists(claim) and time.time() - files.getFileStatus(claim).getModificationTime() / 1000 > abandoned:
+                files.delete(claim, False)
+            try:
+                files.create(claim, False).close()
+            except Py4JJavaError:
+                if not files.exists(claim):
+                    raise
+                if after is None:
+                    continue
+                files.delete(at(draft), True)
+                raise Conflict(f"version {version} of {path} is someone else's") from None
+            if files.exists(place) or not files.rename(at(draft), place):
+                raise OSError(f"version {version} of {path} cannot be published")
+            return version
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> GraphState:
@@ -68,17 +96,24 @@ class GraphState:
         found = _versions(files, folder)
         if not found and version is None:
             return GraphState.empty(spark)
-        at = f"{path}/v={version or max(found):08d}"
+        version = version or max(found)
+        at = f"{path}/v={version:08d}"
         tables = {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in TABLES.items()}
-        return GraphState(**tables, next_link_id=spark.read.parquet(f"{at}/meta").first()[0])
+        meta = spark.read.schema("next_link_id long, marks map<string,long>").parquet(f"{at}/meta").first()
+        return GraphState(**tables, next_link_id=meta["next_link_id"], marks=dict(meta["marks"] or {}), version=version)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out, for loops: a checkpoint in the folder that ``spark.checkpoint.dir``
-    names, which survives lost executors; cached where a session has none (local tests)."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
+    """``df`` worked out, for loops: a checkpoint, which cuts lineage and survives lost
+    executors, in the folder that ``spark.checkpoint.dir`` names. Where a session has none, a
+    temporary folder serves local sessions (tests); elsewhere that is an error."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="recollect-"))
+    return df.checkpoint()
 
 
 def _files(spark: SparkSession, path: str):
@@ -86,11 +121,12 @@ def _files(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
-def _versions(files, folder) -> list[int]:
+def _versions(files, folder, claims: bool = False) -> list[int]:
+    """Numbers of published versions, or of all that are claimed."""
     if not files.exists(folder):
         return []
     names = [s.getPath().getName() for s in files.listStatus(folder)]
-    return [int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)", n))]
+    return [int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)" + r"(?:\.claim)?" * claims, n))]
 
 
 class Memory:
@@ -99,29 +135,48 @@ class Memory:
         with Memory.open(spark, path) as memory:
             memory.create_node("n1", "I like Python", "preference")
 
-    It holds the latest state as a value; nothing is shared between handles but the folder.
+    It holds the latest state as a value; nothing is shared between handles but the folder. A
+    change that meets someone else's version is made again on that. ``segment`` (a function
+    from a text to its words) turns the Chinese branch of writing and searching on.
     """
 
-    def __init__(self, state: GraphState, path: str | None = None):
-        self.state, self.path = state, path
+    def __init__(self, state: GraphState, path: str | None = None, segment=None):
+        self.state, self.path, self.segment = state, path, segment
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str | None = None) -> Memory:
+    def open(cls, spark: SparkSession, path: str | None = None, segment=None) -> Memory:
         """The store at ``path``, made on first commit; without a path, one in memory."""
-        return cls(GraphState.load(spark, path) if path else GraphState.empty(spark), path)
+        return cls(GraphState.load(spark, path) if path else GraphState.empty(spark), path, segment)
+
+    def refresh(self) -> GraphState:
+        """The latest version on disk."""
+        if self.path:
+            self.state = GraphState.load(self.state.spark, self.path)
+        return self.state
 
     def commit(self, state: GraphState) -> GraphState:
-        """Makes ``state`` the current one, on disk too; either way lineage is cut."""
+        """Makes ``state`` the current one, on disk too; either way lineage is cut.
+        :class:`Conflict` if there is a version that ``state`` does not come from."""
         if self.path:
-            state.save(self.path)
-            state = GraphState.load(state.spark, self.path)
+            version = state.save(self.path, after=state.version)
+            state = GraphState.load(state.spark, self.path, version)
         else:
             state = state.with_(**{name: settled(getattr(state, name)) for name in TABLES})
         self.state = state
         return state
 
+    def change(self, make, tries: int = 10) -> GraphState:
+        """Commits ``make(state)``, again from the latest version after a conflict."""
+        for k in range(tries):
+            try:
+                return self.commit(make(self.state))
+            except Conflict:
+                time.sleep(min(5, 0.05 * 2**k))  # the other version may still be on its way
+                self.refresh()
+        raise Conflict(f"{tries} other versions came in between")
+
     def close(self) -> None:
-        self.state.spark.catalog.clearCache()
+        """Nothing is held open: state lies in files, or in checkpoints of the session."""
 
     def __enter__(self) -> Memory:
         return self
@@ -129,23 +184,58 @@ class Memory:
     def __exit__(self, *_) -> None:
         self.close()
 
+    # reading
+
+    def get_all_nodes(self, limit: int | None = 1000) -> list[dict]:
+        from ..operators import crud
+
+        return as_dicts(crud.all_nodes(self.state.nodes, limit))
+
+    def get_all_links(self, limit: int | None = 5000) -> list[dict]:
+        from ..operators import crud
+
+        return as_dicts(crud.all_links(self.state.links, limit))
+
+    def search_nodes(self, node_type: str | None = None, min_strength: float = 0.0, limit: int = 50) -> list[dict]:
+        from ..operators import crud
+
+        return as_dicts(crud.search_nodes(self.state.nodes, node_type, min_strength, limit))
+
+    def find_nodes_by_entities(self, entities: list[str], min_strength: float = 0.0, limit: int = 50) -> list[tuple[dict, list[str]]]:
+        """(node, matched entities), most matches first."""
+        from ..operators import crud
+
+        rows = as_dicts(crud.find_by_entities(self.state.nodes, entities, min_strength, limit)) if entities else []
+        return [({k: v for k, v in r.items() if k != "matched"}, r["matched"]) for r in rows]
+
+    def get_links(self, node_id: str | None = None, relation: str | None = None, min_weight: float = 0.0, direction: str = "both", limit: int = 100) -> list[dict]:
+        from ..operators import crud
+
+        return as_dicts(crud.get_links(self.state.links, node_id, relation, min_weight, direction, limit))
+
+    def fts5_search(self, query: str, limit: int = 20) -> list[dict]:
+        """Nodes by full-text search, best first."""
+        from ..operators import search
+
+        found = search.search(self.state.nodes, query, limit, segment=self.segment)
+        return as_dicts(found.orderBy("place").drop("place", "score"))
+
     # single-row conveniences over the batch operators
 
     def create_node(self, node_id: str, content: str, node_type: str = "fact", strength: float = 0.5, entities=None, decay_rate=None, now: int | None = None) -> dict:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(node_id, content, node_type, strength, list(entities or []), decay_rate)], "id string, content string, node_type string, strength double, entities array<string>, decay_rate double")
-        self.commit(crud.create_nodes(self.state, new, _now(now), strict=True))
+        self.change(lambda s: crud.create_nodes(s, new, _now(now), strict=True))
         return self.get_node(node_id)
 
     def get_node(self, node_id: str) -> dict | None:
-        row = self.state.nodes.where(F.col("id") == node_id).first()
-        return row.asDict() if row else None
+        return next(iter(as_dicts(self.state.nodes.where(F.col("id") == node_id).limit(1))), None)
 
     def update_node(self, node_id: str, **changes) -> dict | None:
         from ..operators import crud
 
-        self.commit(crud.update_nodes(self.state, [node_id], changes))
+        self.change(lambda s: crud.update_nodes(s, [node_id], changes))
         return self.get_node(node_id)
 
     def delete_node(self, node_id: str) -> bool:
@@ -153,25 +243,23 @@ class Memory:
 
         found = self.get_node(node_id) is not None
         if found:
-            self.commit(crud.delete_nodes(self.state, self.state.spark.createDataFrame([(node_id,)], "id string")))
+            self.change(lambda s: crud.delete_nodes(s, s.spark.createDataFrame([(node_id,)], "id string")))
         return found
 
     def create_link(self, source_id: str, target_id: str, relation: str = "related_to", weight: float = 0.3, now: int | None = None) -> dict:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(source_id, target_id, relation, weight)], "source_id string, target_id string, relation string, weight double")
-        at = self.state.next_link_id
-        self.commit(crud.create_links(self.state, new, _now(now), strict=True))
-        return self.get_link(at)
+        after = self.change(lambda s: crud.create_links(s, new, _now(now), strict=True))
+        return self.get_link(after.next_link_id - 1)
 
     def get_link(self, link_id: int) -> dict | None:
-        row = self.state.links.where(F.col("id") == link_id).first()
-        return row.asDict() if row else None
+        return next(iter(as_dicts(self.state.links.where(F.col("id") == link_id).limit(1))), None)
 
     def update_link(self, link_id: int, **changes) -> dict | None:
         from ..operators import crud
 
-        self.commit(crud.update_links(self.state, [link_id], changes))
+        self.change(lambda s: crud.update_links(s, [link_id], changes))
         return self.get_link(link_id)
 
     def delete_link(self, link_id: int) -> bool:
@@ -179,23 +267,23 @@ class Memory:
 
         found = self.get_link(link_id) is not None
         if found:
-            self.commit(crud.delete_links(self.state, self.state.spark.createDataFrame([(link_id,)], "id long")))
+            self.change(lambda s: crud.delete_links(s, s.spark.createDataFrame([(link_id,)], "id long")))
         return found
 
     def create_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.commit(crud.create_sessions(self.state, self.state.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
+        self.change(lambda s: crud.create_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
 
     def end_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.commit(crud.end_sessions(self.state, self.state.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
+        self.change(lambda s: crud.end_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
 
     def increment_turns(self, session_id: str) -> None:
         from ..operators import crud
 
-        self.commit(crud.increment_turns(self.state, self.state.spark.createDataFrame([(session_id,)], "id string")))
+        self.change(lambda s: crud.increment_turns(s, s.spark.createDataFrame([(session_id,)], "id string")))
 
     def count_nodes(self) -> int:
         return self.state.nodes.count()
@@ -204,5 +292,11 @@ class Memory:
         return self.state.links.count()
 
 
+def as_dicts(rows: DataFrame) -> list[dict]:
+    """Nodes or links as plain values, in order of the columns; a missing entity list is empty."""
+    out = [r.asDict(recursive=True) for r in rows.collect()]
+    return [{**r, "entities": r["entities"] or []} if "entities" in r else r for r in out]
+
+
 def _now(now: int | None) -> int:
     return int(time.time()) if now is None else now

@@ -1,18 +1,21 @@
 """A stream of link feedback into a stored graph. An extension: the batch operators are
 the same as without a stream.
 
-Each micro-batch is one version of the store. A version carries the last batch it holds,
-so a batch that is replayed after a failure changes nothing.
+Each micro-batch is one version of the store. A version carries, in the same atomic step,
+the last batch of each stream that it holds, so a batch that is replayed after a failure
+changes nothing, wherever the failure was.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dynamics import on_traverse
-from ..sources.store import GraphState
+from ..sources.store import Conflict, GraphState
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -24,38 +27,30 @@ def as_feedback(events: DataFrame) -> DataFrame:
     return events.select((2 * (F.col("user_id") % 200) + 1).alias("link_id"), signal.alias("signal"), F.struct("ts", "event_id").alias("seq"), "ts")
 
 
-def feedback_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def feedback_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, name: str = "feedback") -> StreamingQuery:
     """Applies a streaming DataFrame of (link_id, signal, seq, ts) to the graph at ``path``.
 
-    Uses of a link apply in order within a batch; batches apply in order of arrival.
+    Uses of a link apply in order within a batch; batches apply in order of arrival. Streams
+    with checkpoints of their own need names of their own. A version that someone else
+    publishes meanwhile is taken as the base.
     """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = GraphState.load(spark, path)
-        if _last_batch(spark, path) >= number:
-            return
-        now = batch.agg(F.max("ts").cast("long")).first()[0]
-        if now is None:
-            return
-        links = on_traverse(state.links, batch.select("link_id", "signal", "seq"), now)
-        _mark(spark, path, state.with_(links=links).save(path), number)
-
-    writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, path, name)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _mark(spark, path: str, version: int, number: int) -> None:
-    spark.range(1).select(F.lit(number).cast("long").alias("batch")).coalesce(1).write.parquet(f"{path}/batch/v={version:08d}")
-
-
-def _last_batch(spark, path: str) -> int:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{path}/batch").agg(F.max("batch")).first()[0]
-    except AnalysisException:  # no batch yet
-        return -1
+def apply_batch(batch: DataFrame, number: int, path: str, name: str = "feedback") -> None:
+    """One batch, once: nothing happens if the store holds it already."""
+    now = batch.agg(F.max("ts").cast("long")).first()[0]
+    while now is not None:
+        state = GraphState.load(batch.sparkSession, path)
+        if state.marks.get(name, -1) >= number:
+            return
+        links = on_traverse(state.links, batch.select("link_id", "signal", "seq"), now)
+        try:
+            state.with_(links=links, marks={**state.marks, name: number}).save(path, after=state.version)
+            return
+        except Conflict:
+            time.sleep(0.5)  # the other version may still be on its way
 
 
 def hourly_signals(events: DataFrame, late: str = "2 hours") -> DataFrame:
