@@ -7,17 +7,19 @@ second value: a query has no side effect until the caller commits it.
 from __future__ import annotations
 
 import enum
+import heapq
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ner import entities_of, extract_entities
-from ..sources.store import GraphState, Memory
+from ..sources.store import GraphState, Memory, settled
 from . import crud
 from .dynamics import on_traverse
-from .search import SearchIndex, search
+from .search import SearchIndex, search, search_many
 from .walk import walk_many
 
 # fixed values: relations and weights of links that writing makes
@@ -87,50 +89,129 @@ def _walked(state: GraphState, entries: DataFrame, hops: int) -> DataFrame:
 
 
 def retrieve(
-    state: GraphState, query: str, top_k: int | None = None, tier: RecallTier = RecallTier.BURN, max_hops: int | None = None, min_node_strength: float | None = None, index: SearchIndex | None = None
+    state: GraphState,
+    query: str,
+    top_k: int | None = None,
+    tier: RecallTier = RecallTier.BURN,
+    max_hops: int | None = None,
+    min_node_strength: float | None = None,
+    index: SearchIndex | None = None,
+    segment=None,
 ) -> Recall:
     """Paths for a query. ``top_k`` of 0 means the tier's own.
 
     Branches: text search alone (WARM); without entities text hits as entries of a walk,
     or the hits flat, or the strongest nodes; with entities nodes that share them as
-    entries of a walk, or text hits flat, or the strongest nodes.
+    entries of a walk, or text hits flat, or the strongest nodes. Text is searched only
+    where its hits are needed. ``segment`` serves Chinese queries.
     """
     depth = DEPTHS[tier]
     top_k = top_k or depth.top_k
     hops = depth.hops if max_hops is None else max_hops
     least = depth.min_strength if min_node_strength is None else min_node_strength
-    hits = search(state.nodes, query, top_k, index).where(F.col("strength") >= least)
+    hits = lambda: search(state.nodes, query, top_k, index, segment).where(F.col("strength") >= least)
     if tier is RecallTier.WARM:
-        return Recall(_flat(hits, ["place"]), "text")
+        return Recall(_flat(hits(), ["place"]), "text")
     strongest = lambda: _flat(crud.search_nodes(state.nodes, min_strength=least, limit=top_k), [F.desc("strength"), "id"])
-    entities = extract_entities(query)
-    if not entities:
-        entries = hits.select("place", "id").collect()  # at most top_k rows
-        if not entries:
-            return Recall(strongest(), "strength")
-        walked = _walked(state, state.spark.createDataFrame(entries, "place int, id string"), hops)
-        found = _ranked(walked, depth.min_score, top_k)
-        if found.isEmpty():
-            return Recall(_flat(hits, ["place"]), "text")
-        return Recall(found, "text walk")
-    matches = crud.find_by_entities(state.nodes, entities, least)
-    entries = [(i, r["id"]) for i, r in enumerate(matches.select("id").collect())]  # at most 50 rows
+    entities = extract_entities(query, segment)
+    if entities:
+        matches = crud.find_by_entities(state.nodes, entities, least)
+        entries = [(i, r["id"]) for i, r in enumerate(matches.select("id").collect())]  # at most 50 rows
+        if entries:
+            walked = _walked(state, state.spark.createDataFrame(entries, "place int, id string"), hops)
+            return Recall(_ranked(walked, depth.min_score, top_k), "entity walk", tier in DEEP)
+        if depth.text_first and not (text := hits()).isEmpty():
+            return Recall(_flat(text, ["place"]), "text")
+        return Recall(strongest(), "strength")
+    text = hits()
+    entries = text.select("place", "id").collect()  # at most top_k rows
     if not entries:
-        if depth.text_first and not hits.isEmpty():
-            return Recall(_flat(hits, ["place"]), "text")
         return Recall(strongest(), "strength")
     walked = _walked(state, state.spark.createDataFrame(entries, "place int, id string"), hops)
-    return Recall(_ranked(walked, depth.min_score, top_k), "entity walk", tier in DEEP)
+    found = _ranked(walked, depth.min_score, top_k)
+    if found.isEmpty():
+        return Recall(_flat(text, ["place"]), "text")
+    return Recall(found, "text walk")
+
+
+def retrieve_many(state: GraphState, queries: DataFrame, index: SearchIndex | None = None) -> DataFrame:
+    """Paths for a table of queries: (query_id, branch, place, node_ids, link_ids, score, reinforce).
+
+    ``queries`` has query_id, query and, if wanted, tier (name or sign; unknown or null: BURN),
+    top_k, max_hops, min_node_strength. Each query goes the way :func:`retrieve` goes; all of
+    one way are worked out together. Ids must be unique; a null query counts as blank.
+    """
+    names = {t.name: t.name for t in RecallTier} | {t.value: t.name for t in RecallTier}
+    tiers = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    depth = F.create_map(*[x for t, d in DEPTHS.items() for x in (F.lit(t.name), F.struct(*[F.lit(v).alias(k) for k, v in vars(d).items()]))])
+    given = lambda name, kind: F.col(name).cast(kind) if name in queries.columns else F.lit(None).cast(kind)
+    q = queries.select("query_id", F.coalesce(F.col("query"), F.lit("")).alias("query"), F.coalesce(F.try_element_at(tiers, given("tier", "string")), F.lit("BURN")).alias("tier"), *[given(n, k).alias(n) for n, k in (("top_k", "int"), ("max_hops", "int"), ("min_node_strength", "double"))])
+    q = q.withColumn("d", F.element_at(depth, F.col("tier")))
+    q = q.select(
+        "query_id",
+        "query",
+        "tier",
+        F.when(F.col("top_k") != 0, F.col("top_k")).otherwise(F.col("d.top_k")).alias("top_k"),
+        F.coalesce("max_hops", "d.hops").alias("hops"),
+        F.coalesce("min_node_strength", "d.min_strength").alias("least"),
+        F.col("d.min_score").alias("min_score"),
+        F.col("d.text_first").alias("text_first"),
+        F.when(F.col("tier") != "WARM", entities_of(F.col("query"))).alias("entities"),
+    )
+    q = settled(q.withColumn("named", F.coalesce(F.size("entities"), F.lit(0)) > 0))
+
+    # entities among the strongest nodes: those above any bound are the first of one list
+    pool = crud.all_nodes(state.nodes.where(F.col("entities").isNotNull()), CANDIDATES).select("id", "strength", F.explode("entities").alias("x")).select("id", "strength", F.lower("x").alias("e"))
+    wanted = q.where("named").select("query_id", "least", F.explode(F.array_distinct(F.transform("entities", F.lower))).alias("e"))
+    matched = wanted.join(pool, "e").where("strength >= least").groupBy("query_id", "id", "strength").agg(F.count("*").alias("n"))
+    matched = settled(matched.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("strength"), "id")) - 1).select("query_id", "place", "id"))
+    by_entity = matched.select("query_id").distinct()
+
+    asked = q.where("NOT named OR text_first").join(by_entity, "query_id", "left_anti")
+    strength = state.nodes.select("id", "strength")
+    hits = search_many(state.nodes, asked.select("query_id", "query", F.col("top_k").alias("limit")), index)
+    hits = settled(hits.join(strength, "id").join(q.select("query_id", "least"), "query_id").where("strength >= least").select("query_id", "place", "id", "strength"))
+
+    # walks, by depth
+    from_text = hits.join(q.where("NOT named AND tier <> 'WARM'").select("query_id"), "query_id", "left_semi").select("query_id", "place", "id")
+    entries = matched.unionByName(from_text).join(q.select("query_id", "hops"), "query_id")
+    walked = None
+    for (hops,) in q.select("hops").distinct().collect():  # depths are a few small numbers
+        part = walk_many(state.nodes, state.links, entries.where(F.col("hops") == hops).drop("hops"), hops)
+        walked = part if walked is None else walked.unionByName(part)
+    columns = ["query_id", "branch", "place", "node_ids", "link_ids", "score"]
+    none = F.array().cast("array<long>")
+    flat = lambda rows, branch: rows.select("query_id", F.lit(branch).alias("branch"), "place", F.array("id").alias("node_ids"), none.alias("link_ids"), F.col("strength").alias("score"))
+    if walked is None:  # no queries
+        return flat(hits, "text").withColumn("reinforce", F.lit(False))
+    order = [F.desc("score"), "entry_place", "walk_place"]
+    rows = walked.join(q.select("query_id", "min_score", "top_k"), "query_id").where("score >= min_score")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "node_ids").orderBy(*order))).where("_n = 1")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("place <= top_k")
+    branch = F.when(F.col("_e").isNull(), "text walk").otherwise("entity walk")
+    paths = settled(rows.join(by_entity.select("query_id", F.lit(1).alias("_e")), "query_id", "left").withColumn("branch", branch).select(*columns))
+
+    done = by_entity.unionByName(paths.select("query_id")).distinct()
+    text = hits.join(done, "query_id", "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    rest = q.where("tier <> 'WARM'").join(done, "query_id", "left_anti").join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    most = rest.agg(F.max("top_k")).first()[0] or 0
+    best = crud.all_nodes(strength, most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("strength"), "id")))  # as many as the largest top_k
+    strongest = rest.select("query_id", "least", F.explode(F.sequence(F.lit(1), F.col("top_k"))).alias("place")).join(best, "place").where("strength >= least")
+    every = paths.unionByName(flat(text, "text")).unionByName(flat(strongest, "strength"))
+    deep = q.select("query_id", F.col("tier").isin(*[t.name for t in DEEP]).alias("_deep"))
+    return every.join(deep, "query_id").select(*columns, ((F.col("branch") == "entity walk") & F.col("_deep")).alias("reinforce"))
 
 
 def to_dicts(state: GraphState, paths: DataFrame) -> list[dict]:
-    """Paths as plain values: texts joined by arrows, scores to four places."""
-    rows = paths.select("place", "score", "link_ids", F.posexplode("node_ids").alias("i", "id")).join(state.nodes.select("id", "content"), "id")
-    out = rows.groupBy("place", "score", "link_ids").agg(F.array_sort(F.collect_list(F.struct("i", "id", "content"))).alias("n")).orderBy("place")
-    return [
-        {"path": " → ".join(n["content"] for n in r["n"]), "node_ids": [n["id"] for n in r["n"]], "link_ids": list(r["link_ids"]), "score": round(r["score"], 4)}
-        for r in out.collect()  # top_k rows
-    ]
+    """Paths as plain values: texts and ids joined by arrows, scores to four places, whole nodes."""
+    rows = paths.select("place", "score", "link_ids", F.posexplode("node_ids").alias("i", "id")).join(state.nodes, "id")
+    out = rows.groupBy("place", "score", "link_ids").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*state.nodes.columns).alias("node")))).alias("n")).orderBy("place")
+    found = []
+    for r in out.collect():  # top_k rows
+        nodes = [{**x, "entities": x["entities"] or []} for x in (n["node"].asDict(recursive=True) for n in r["n"])]
+        ids = [n["id"] for n in nodes]
+        found.append({"content": " → ".join(n["content"] for n in nodes), "path": " → ".join(ids), "score": round(r["score"], 4), "node_ids": ids, "nodes": nodes, "link_ids": list(r["link_ids"])})
+    return found
 
 
 # ---- writing
@@ -152,22 +233,49 @@ def auto_links(new: DataFrame, nodes: DataFrame, prelimit: int | None = CANDIDAT
         mine = new.select("seq", F.col("id").alias("s"), "linked", F.size("entities").alias("own"), F.explode(F.array_distinct(F.transform("entities", F.lower))).alias("e"))
         found = mine.join(pool, "e").where("t_seq < seq AND s <> t").groupBy("seq", "s", "t", "own", "linked").agg(F.count("*").alias("n"))
     else:
-        top = crud.all_nodes(old, prelimit)
-        pool = top.unionByName(made).select(F.col("id").alias("t"), F.col("seq").alias("t_seq"), F.col("strength").alias("t_strength"), F.col("entities").alias("t_entities"))
-        mine = new.select("seq", F.col("id").alias("s"), "linked", F.size("entities").alias("own"), F.transform("entities", F.lower).alias("wanted"))
-        seen = mine.join(pool, F.col("t_seq") <= F.col("seq"))
-        w = Window.partitionBy("seq", "s").orderBy(F.desc("t_strength"), "t")
-        seen = seen.withColumn("r", F.row_number().over(w)).where((F.col("r") <= prelimit) & (F.col("s") != F.col("t")))
-        found = seen.withColumn("n", F.size(F.filter("t_entities", lambda e: F.array_contains("wanted", F.lower(e)))))
+        top = crud.all_nodes(old, prelimit).select("id", "strength").collect()  # prelimit rows
+        lists = made.select("seq", "id", "strength").coalesce(1).sortWithinPartitions("seq", "id").mapInPandas(_strongest_so_far([tuple(r) for r in top], prelimit), "seq long, s string, ts array<string>")
+        seen = lists.select("seq", "s", F.explode("ts").alias("t")).where("s <> t")
+        pool = old.unionByName(made).select(F.col("id").alias("t"), F.col("entities").alias("t_entities"))
+        mine = new.select(F.col("seq").cast("long").alias("seq"), F.col("id").alias("s"), "linked", F.size("entities").alias("own"), F.transform("entities", F.lower).alias("wanted"))
+        found = seen.join(pool, "t").join(mine, ["seq", "s"]).withColumn("n", F.size(F.filter("t_entities", lambda e: F.array_contains("wanted", F.lower(e)))))
     keep = (F.col("n") >= 2) | ((F.col("n") > 0) & (F.col("n") == F.col("own")))
     rows = found.where(keep & ~F.coalesce(F.array_contains("linked", F.col("t")), F.lit(False)))
     return rows.select("seq", F.col("s").alias("source_id"), F.col("t").alias("target_id"))
 
 
-def write_memories(state: GraphState, new: DataFrame, now: int, prelimit: int | None = CANDIDATES, auto_entities: bool = True) -> GraphState:
+def _strongest_so_far(top: list[tuple[str, float]], most: int):
+    """For rows (seq, id, strength) in order: of ``top`` and all rows up to a row's seq the ids
+    of the ``most`` strongest. One narrow pass, as each row's list depends on those before it."""
+
+    def run(batches):
+        best = sorted((-strength, i) for i, strength in top)[:most]
+        held: list[tuple] = []
+
+        def settle():
+            nonlocal best
+            best = heapq.nsmallest(most, best + [(-strength, i) for _, i, strength in held])
+            return pd.DataFrame({"seq": [h[0] for h in held], "s": [h[1] for h in held], "ts": [[i for _, i in best]] * len(held)})
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:  # rows of one seq see each other
+                    out.append(settle())
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield settle()
+
+    return run
+
+
+def write_memories(state: GraphState, new: DataFrame, now: int, prelimit: int | None = CANDIDATES, auto_entities: bool = True, segment=None) -> GraphState:
     """Writes a batch of (seq, id, content[, node_type, strength, link_to]) rows in order of
     seq: entities, nodes, explicit links (missing targets are skipped), automatic links."""
-    rows = new.withColumn("entities", entities_of(F.col("content")) if auto_entities else F.array().cast("array<string>"))
+    rows = new.withColumn("entities", entities_of(F.col("content"), segment) if auto_entities else F.array().cast("array<string>"))
     if "link_to" not in rows.columns:
         rows = rows.withColumn("link_to", F.array().cast("array<string>"))
     before = state.nodes
@@ -178,14 +286,14 @@ def write_memories(state: GraphState, new: DataFrame, now: int, prelimit: int |
     return crud.create_links(after, found.withColumns({"relation": F.lit(AUTOMATIC[0]), "weight": F.lit(AUTOMATIC[1])}), now)
 
 
-def write_memory(state: GraphState, content: str, now: int, node_type: str = "fact", strength: float = 0.5, node_id: str | None = None, link_to: list[str] | None = None, extract_auto_entities: bool = True) -> tuple[GraphState, str]:
+def write_memory(state: GraphState, content: str, now: int, node_type: str = "fact", strength: float = 0.5, node_id: str | None = None, link_to: list[str] | None = None, extract_auto_entities: bool = True, segment=None) -> tuple[GraphState, str]:
     """Writes one memory; returns the state and the node's id (made up if not given)."""
     node_id = node_id or str(uuid.uuid4())
     if node_type not in crud.VALID_NODE_TYPES:
         raise ValueError(f"unknown node type {node_type!r}")
     if not state.nodes.where(F.col("id") == node_id).isEmpty():
         raise ValueError(f"node {node_id!r} already exists")
-    entities = extract_entities(content) if extract_auto_entities else []
+    entities = extract_entities(content, segment) if extract_auto_entities else []
     row = state.spark.createDataFrame([(0, node_id, content, node_type, strength, link_to or [], entities)], "seq long, id string, content string, node_type string, strength double, link_to array<string>, entities array<string>")
     before = state.nodes
     state = crud.create_nodes(state, row, now)
@@ -195,8 +303,6 @@ def write_memory(state: GraphState, content: str, now: int, node_type: str = "fa
     return crud.create_links(state, auto, now), node_id
 
 
-
-
 # ---- tool-shaped wrappers over a handle
 
 
@@ -204,18 +310,19 @@ def memory_recall(memory: Memory, query: str, top_k: int = 5, tier: str = "燃",
     """Recall by tier sign (unknown: BURN); reinforcement is committed."""
     from ..sources.store import _now
 
-    found = retrieve(memory.state, query, top_k, next((t for t in RecallTier if t.value == tier), RecallTier.BURN))
+    found = retrieve(memory.state, query, top_k, next((t for t in RecallTier if t.value == tier), RecallTier.BURN), segment=memory.segment)
+    found = replace(found, paths=settled(found.paths))
     out = to_dicts(memory.state, found.paths)
     if found.reinforce and any(r["link_ids"] for r in out):
-        memory.commit(memory.state.with_(links=found.reinforced(memory.state.links, _now(now))))
+        memory.change(lambda state: state.with_(links=found.reinforced(state.links, _now(now))))
     return out
 
 
 def memory_write(memory: Memory, content: str, node_type: str = "fact", link_to: list[str] | None = None, now: int | None = None) -> dict:
     from ..sources.store import _now
 
-    state, node_id = write_memory(memory.state, content, _now(now), node_type, link_to=link_to)
-    memory.commit(state)
+    node_id = str(uuid.uuid4())
+    memory.change(lambda state: write_memory(state, content, _now(now), node_type, node_id=node_id, link_to=link_to, segment=memory.segment)[0])
     return memory.get_node(node_id)
 
 

@@ -13,23 +13,39 @@ from pyspark.sql import functions as F
 
 from ..schema import SECONDS_PER_DAY
 from ..sources.store import settled
-from .crud import top_links_per_node
+from .crud import numbered, top_links_per_node
 
 # fixed values
 HOP_DECAY, MIN_LINK_WEIGHT, MIN_PATH_SCORE, FAN_OUT = 0.85, 0.05, 0.01, 100
 
 
 def _keep(max_hops: int):
-    """How loops hold what they have: deep walks settle it, shallow ones are one plan."""
-    return settled if max_hops > 3 else (lambda df: df)
+    """How loops hold what they have: settled, as each level is used more than once; a walk of
+    one hop is one plan."""
+    return settled if max_hops > 1 else (lambda df: df)
 
 
-def steps(links: DataFrame, min_link_weight: float = MIN_LINK_WEIGHT, fan_out: int | None = FAN_OUT) -> DataFrame:
+def steps(links: DataFrame, min_link_weight: float = MIN_LINK_WEIGHT, fan_out: int | None = FAN_OUT, tips: DataFrame | None = None) -> DataFrame:
     """(tip, nbr, dir, weight, link_id): each link from both ends (0 out, 1 in), per tip and
-    direction only the ``fan_out`` heaviest."""
+    direction only the ``fan_out`` heaviest; of ``tips`` (tip) alone where they are given, so
+    that links are ranked around those only."""
+    if tips is not None:
+        near = tips.select("tip").distinct()
+        out = links.join(near, F.col("source_id") == F.col("tip"), "left_semi").select(F.lit("outgoing").alias("direction"), "*")
+        into = links.join(near, F.col("target_id") == F.col("tip"), "left_semi").select(F.lit("incoming").alias("direction"), "*")
+        rows = out.unionByName(into).where(F.col("weight") >= min_link_weight)
+        if fan_out is not None:
+            end = F.when(F.col("direction") == "outgoing", F.col("source_id")).otherwise(F.col("target_id"))
+            best = Window.partitionBy(end, "direction").orderBy(F.desc("weight"), "id")
+            rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= fan_out)
+        return _ends(rows)
     rows = links.where(F.col("weight") >= min_link_weight) if fan_out is None else top_links_per_node(links, min_link_weight, fan_out)
     if fan_out is None:
         rows = rows.select(F.explode(F.array(F.lit("outgoing"), F.lit("incoming"))).alias("direction"), "*")
+    return _ends(rows)
+
+
+def _ends(rows: DataFrame) -> DataFrame:
     out = F.col("direction") == "outgoing"
     return rows.select(
         F.when(out, F.col("source_id")).otherwise(F.col("target_id")).alias("tip"),
@@ -74,28 +90,27 @@ def walk_graph(nodes: DataFrame, links: DataFrame, entry: str, max_hops: int = 3
     """
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
     keep = _keep(max_hops)
-    edges = keep(steps(links, min_link_weight))
-    level = nodes.where(F.col("id") == entry).select(F.lit(1).cast("long").alias("pos"), F.col("id").alias("tip"), F.array("id").alias("node_ids"), F.array().cast("array<long>").alias("link_ids"), F.col("strength").alias("score"))
+    # ``order`` lists the steps of a path, as they compare: a level's paths go by the steps that found them
+    level = nodes.where(F.col("id") == entry).select(F.array().cast("array<struct<dir:int,w:double,link:bigint>>").alias("order"), F.col("id").alias("tip"), F.array("id").alias("node_ids"), F.array().cast("array<long>").alias("link_ids"), F.col("strength").alias("score"))
     seen = nodes.sparkSession.createDataFrame([(v,) for v in (visited if visited is not None else [entry])], "nbr string")
     every = level.withColumn("hop", F.lit(0))
-    order = [F.col("pos"), F.col("dir"), F.desc("weight"), F.col("link_id")]
     for hop in range(1, max_hops + 1):
-        ahead = level.join(edges, "tip").join(strength, "nbr").join(seen, "nbr", "left_anti")
-        won = ahead.withColumn("_n", F.row_number().over(Window.partitionBy("nbr").orderBy(*order))).where("_n = 1")
-        won = won.withColumn("new", F.col("score") * F.col("weight") * F.col("s") * HOP_DECAY)
-        won = keep(won)
+        ahead = level.join(steps(links, min_link_weight, tips=level), "tip").join(strength, "nbr").join(seen, "nbr", "left_anti")
+        ahead = ahead.withColumn("order", F.array_append("order", F.struct("dir", (-F.col("weight")).alias("w"), F.col("link_id").alias("link"))))
+        won = ahead.withColumn("_n", F.row_number().over(Window.partitionBy("nbr").orderBy("order"))).where("_n = 1")
+        won = keep(won.withColumn("new", F.col("score") * F.col("weight") * F.col("s") * HOP_DECAY))
         seen = seen.unionByName(won.select("nbr"))
         kept = won.where((F.col("new") >= MIN_PATH_SCORE) & ~F.array_contains("node_ids", F.col("nbr")))
         level = kept.select(
-            F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"),
+            "order",
             F.col("nbr").alias("tip"),
             F.array_append("node_ids", F.col("nbr")).alias("node_ids"),
             F.array_append("link_ids", F.col("link_id")).alias("link_ids"),
             F.col("new").alias("score"),
         )
         every = every.unionByName(level.withColumn("hop", F.lit(hop)))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "hop", "pos"))
-    return every.select(place.alias("place"), "node_ids", "link_ids", "score")
+    every = every.withColumn("best", -F.col("score"))
+    return numbered(every, ["best", "hop", "order"], 1).select(F.col("_id").alias("place"), "node_ids", "link_ids", "score")
 
 
 def _ordered(entries: list[tuple[str, float]], around: dict[str, list[tuple]], hops: int) -> list[tuple]:
@@ -134,16 +149,17 @@ def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops:
     """
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
     keep = _keep(max_hops)
-    edges = keep(steps(links, min_link_weight))
     starts = entries.join(nodes.select("id", "strength"), "id").select("query_id", "place", "id", "strength")
-    # breadth-first over node sets alone; steps are joined once, for all nodes that a walk can leave
-    reach = starts.select("query_id", F.col("id").alias("tip")).distinct()
-    inner = reach.where("false") if not max_hops else reach
-    for _ in range(max_hops - 1):
-        ahead = reach.join(edges, "tip").select("query_id", F.col("nbr").alias("tip")).distinct()
-        reach = keep(ahead.join(inner, ["query_id", "tip"], "left_anti"))
-        inner = inner.unionByName(reach)
-    near = inner.join(edges, "tip").join(strength, "nbr")
+    # breadth-first over node sets alone; links are ranked around each frontier only
+    reach = inner = starts.select("query_id", F.col("id").alias("tip")).distinct()
+    near = reach.where("false").join(steps(links.where("false")), "tip")
+    for hop in range(max_hops):
+        ahead = keep(reach.join(steps(links, min_link_weight, tips=reach), "tip"))
+        near = near.unionByName(ahead)
+        if hop + 1 < max_hops:
+            reach = keep(ahead.select("query_id", F.col("nbr").alias("tip")).distinct().join(inner, ["query_id", "tip"], "left_anti"))
+            inner = inner.unionByName(reach)
+    near = near.join(strength, "nbr")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["tip", "dir", "weight", "link_id"], ascending=[True, True, False, True], kind="stable")

@@ -26,7 +26,7 @@ def _query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            SQL[key] = f"WITH {fixtures.SQL.strip()}{sql}" if not sql.lstrip().startswith("SELECT") else f"WITH {fixtures.SQL.strip()}\n{sql}"
+            SQL[key] = f"WITH RECURSIVE {fixtures.SQL.strip()}{sql}" if not sql.lstrip().startswith("SELECT") else f"WITH {fixtures.SQL.strip()}\n{sql}"
         return f
 
     return add
@@ -81,12 +81,18 @@ def like_fallback(spark, sf_dir):
     return search.like_search(fixtures.nodes(spark, sf_dir), "Th_nd").select("id")
 
 
+@_query("SELECT id FROM nodes WHERE content ILIKE '%, the%' OR entities[1] ILIKE '%, the%' OR entities[2] ILIKE '%, the%' ORDER BY id LIMIT 20")
+def search_falls_back(spark, sf_dir):
+    """A text that is no query."""
+    return search.search(fixtures.nodes(spark, sf_dir), ", the").select("id")
+
+
 # ---- changes
 
 
 @_query(
     f""", new AS (
-  SELECT 'd' || (doc_id * 2) AS id, substr(text, 1, 50) AS content, doc_id AS seq,
+  SELECT 'd' || (doc_id * 2) AS id, text AS content, doc_id AS seq,
          CASE doc_id % 5 WHEN 0 THEN 'bogus' WHEN 1 THEN 'temp' ELSE 'fact' END AS node_type FROM documents)
 SELECT id, content, node_type, strength, decay_rate, created_at FROM nodes
 UNION ALL
@@ -95,7 +101,7 @@ FROM new WHERE node_type <> 'bogus' AND id NOT IN (SELECT id FROM nodes)"""
 )
 def node_insert_dedup(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 5 == 0, "bogus").when(F.col("doc_id") % 5 == 1, "temp").otherwise("fact")
-    new = fixtures.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id") * 2).alias("id"), F.substring("text", 1, 50).alias("content"), F.col("doc_id").alias("seq"), kind.alias("node_type"))
+    new = fixtures.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id") * 2).alias("id"), F.col("text").alias("content"), F.col("doc_id").alias("seq"), kind.alias("node_type"))
     return crud.create_nodes(fixtures.state(spark, sf_dir), new, NOW).nodes.select("id", "content", "node_type", "strength", "decay_rate", "created_at")
 
 
@@ -233,6 +239,18 @@ def ner_entities(spark, sf_dir):
     return docs.select("doc_id", ner.entities_of(F.col("text")).alias("entities"))
 
 
+@_query(
+    """SELECT 'm' || item_id AS source_id, 'd' || (item_id * 30) AS target_id, 'inspired_by' AS relation, 0.4 AS weight
+FROM benchmark WHERE 'd' || (item_id * 30) IN (SELECT id FROM nodes)"""
+)
+def write_explicit_links(spark, sf_dir):
+    """Benchmark items written as memories, each linked to a document that may be missing."""
+    i = F.col("item_id")
+    new = fixtures.table(spark, sf_dir, "benchmark").select(i.alias("seq"), F.concat(F.lit("m"), i).alias("id"), F.col("text").alias("content"), F.array(F.concat(F.lit("d"), i * 30), F.lit("nowhere")).alias("link_to"))
+    after = retrieval.write_memories(fixtures.state(spark, sf_dir), new, NOW, auto_entities=False)
+    return after.links.where("source_id LIKE 'm%'").select("source_id", "target_id", "relation", "weight")
+
+
 # ---- counts and ranks
 
 
@@ -292,6 +310,8 @@ for _name, _text, _counts, _holds in (
     ("fts_or_not", "(hation OR enti) NOT with", [_term_sql("term = 'hation'"), _term_sql("term = 'enti'"), _term_sql("term = 'with'")], "(t0 > 0 OR t1 > 0) AND t2 = 0"),
     ("fts_prefix", "thin*", [_term_sql("term LIKE 'thin%'")], "t0 > 0"),
     ("fts_phrase", '"of the"', [_PHRASE_SQL], "t0 > 0"),
+    ("fts_plus", "of + the", [_PHRASE_SQL], "t0 > 0"),
+    ("fts_near", "NEAR(of the, 3)", [_term_sql("term = 'of'"), _term_sql("term = 'the'")], "w.id IN (SELECT a.id FROM tok a JOIN tok b ON a.id = b.id WHERE a.term = 'of' AND b.term = 'the' AND abs(b.pos - a.pos) <= 4)"),
     ("fts_column", "content: ÉEAU", [_term_sql("term = 'eeau'")], "t0 > 0"),
     ("fts_first", "^ the", ["SELECT id, count(*) AS c FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM tok WHERE term <> '') WHERE r = 1 AND term = 'the' GROUP BY id"], "t0 > 0"),
 ):
@@ -302,6 +322,18 @@ for _name, _text, _counts, _holds in (
         return search.bm25(index, text).select(F.col("node_id").alias("id"), _six("score").alias("score"))
 
 
+_AFTER = ", after AS (SELECT id, CASE WHEN access_count = 2 THEN 'hation again' ELSE content END AS content FROM nodes WHERE access_count <> 3)"
+
+
+@_query(_AFTER + _fts_sql([_term_sql("term = 'hation'")], "t0 > 0").replace("FROM nodes)", "FROM after)"))
+def fts_refreshed(spark, sf_dir):
+    """The index after some nodes were rewritten and others deleted."""
+    nodes = fixtures.nodes(spark, sf_dir)
+    after = nodes.where("access_count <> 3").withColumn("content", F.when(F.col("access_count") == 2, "hation again").otherwise(F.col("content")))
+    index = search.refresh_index(search.build_index(nodes), nodes.where("access_count IN (2, 3)").select("id"), after)
+    return search.bm25(index, "hation").select(F.col("node_id").alias("id"), _six("score").alias("score"))
+
+
 # ---- walks
 
 
@@ -409,21 +441,118 @@ for _tier, _text in (("smoke", "hation enti"), ("burn", "EN SRC1"), ("inferno",
         return _paths(retrieval.retrieve(fixtures.state(spark, sf_dir), text, tier=retrieval.RecallTier[tier.split("_")[0].upper()]))
 
 
-@_query()
-def retrieve_reinforced_links(spark, sf_dir):
-    """Links after a deep recall: those of its paths are strengthened."""
-    s = fixtures.state(spark, sf_dir)
-    after = retrieval.retrieve(s, "EN SRC1", 500, retrieval.RecallTier.INFERNO).reinforced(s.links, NOW)
-    return after.where("traverse_count > 0").select("id", "weight", "traverse_count", "last_traversed")
+def _text_hits(name: str, counts: list[str], holds: str, limit: int, least: float) -> str:
+    """CTEs up to ``name`` (k, id, strength): hits of a text search that are strong enough."""
+    sql = _fts_sql(counts, holds)
+    cut = sql.rindex("SELECT w.id")
+    best = f"SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM ({sql[cut:]}) ORDER BY k LIMIT {limit}"
+    return f"{sql[:cut].rstrip()},\n{name} AS (SELECT h.k, h.id, n.strength FROM ({best}) h JOIN nodes n ON n.id = h.id WHERE n.strength >= {least})"
 
 
-# ---- dynamics
+_ENTITY_HITS = """, top AS (SELECT * FROM nodes WHERE strength >= {least} ORDER BY strength DESC, id LIMIT 50),
+m AS (SELECT id, strength, CAST(lower(entities[1]) = 'en' AS INT) + CAST(lower(entities[2]) = 'src1' AS INT) AS n FROM top),
+{name} AS (SELECT row_number() OVER (ORDER BY n DESC, strength DESC, id) AS k, id, strength FROM m WHERE n > 0)"""
+
+
+def _one_hop(entries: str, min_score: float, top_k: int) -> str:
+    """CTEs up to paths (place, path, score, link) of ordered walks of one hop from ``entries`` (k, id, strength)."""
+    return (
+        _EDGES.rstrip()
+        + f"""
+r AS (SELECT *, row_number() OVER (PARTITION BY tip, dir ORDER BY weight DESC, link_id) AS place FROM e),
+won AS (
+  SELECT * FROM (SELECT h.k, h.id, r.nbr, r.dir, r.weight, r.link_id, h.strength * r.weight * n.strength * 0.85 AS score,
+         row_number() OVER (PARTITION BY r.nbr ORDER BY h.k, r.dir, r.weight DESC, r.link_id) AS first
+  FROM {entries} h JOIN r ON r.tip = h.id JOIN nodes n ON n.id = r.nbr WHERE r.place <= 100) WHERE first = 1),
+every AS (
+  SELECT k, id AS path, strength AS score, 0 AS hop, 0 AS dir, 0.0 AS weight, CAST(NULL AS BIGINT) AS link FROM {entries}
+  UNION ALL SELECT k, id || '>' || nbr, score, 1, dir, weight, link_id FROM won WHERE nbr <> id AND score >= 0.01),
+paths AS (
+  SELECT CAST(row_number() OVER (ORDER BY score DESC, k, hop, dir, weight DESC, link) AS INT) AS place, path, score, link
+  FROM every WHERE score >= {min_score} ORDER BY place LIMIT {top_k})"""
+    )
+
+
+_TWO_TERMS = ([_term_sql("term = 'hation'"), _term_sql("term = 'enti'")], "t0 > 0 AND t1 > 0")
+_SMOKE_SQL = _text_hits("hits", *_TWO_TERMS, 5, 0.3) + _one_hop("hits", 0.1, 5)
+
+
+@_query(_SMOKE_SQL + "\nSELECT place, path, round(score, 6) AS score FROM paths")
+def retrieve_text_walk(spark, sf_dir):
+    """Text hits as entries of one-hop walks."""
+    return _paths(retrieval.retrieve(fixtures.state(spark, sf_dir), "hation enti", tier=retrieval.RecallTier.SMOKE))
+
+
+_BURN_SQL = _ENTITY_HITS.format(name="hits", least=0.3) + _one_hop("hits", 0.01, 5)
+
+
+@_query(_BURN_SQL + "\nSELECT place, path, round(score, 6) AS score FROM paths")
+def retrieve_entity_walk(spark, sf_dir):
+    """Nodes that share entities as entries of one-hop walks."""
+    return _paths(retrieval.retrieve(fixtures.state(spark, sf_dir), "EN SRC1", max_hops=1))
+
+
+@_query(_text_hits("hits", [_term_sql("term = 'hation'")], "t0 > 0", 5, 0.3) + "\nSELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS place, id AS path, round(strength, 6) AS score FROM hits")
+def retrieve_entity_text(spark, sf_dir):
+    """An entity that no node has: text hits, flat."""
+    return _paths(retrieval.retrieve(fixtures.state(spark, sf_dir), "HATION"))
+
+
+_STRONGEST = "SELECT CAST(row_number() OVER (ORDER BY strength DESC, id) AS INT) AS place, id AS path, round(strength, 6) AS score FROM nodes WHERE strength >= {least} ORDER BY strength DESC, id LIMIT {k}"
+
+
+@_query(_STRONGEST.format(least=0.1, k=20))
+def retrieve_entity_nothing(spark, sf_dir):
+    """An entity that nothing has: the strongest nodes."""
+    return _paths(retrieval.retrieve(fixtures.state(spark, sf_dir), "ZZQX", tier=retrieval.RecallTier.INFERNO))
+
+
+def _batch(spark):
+    rows = [(1, "hation enti", "SMOKE", None), (2, "", "BURN", None), (3, None, "烟", 7), (4, "ZZQX", "INFERNO", None), (5, "hation enti", "WARM", None)]
+    return spark.createDataFrame(rows, "query_id int, query string, tier string, top_k int")
+
+
+@_query(
+    _SMOKE_SQL
+    + f""",
+b AS (SELECT 1 AS query_id, 'text walk' AS branch, place, path, score FROM paths
+  UNION ALL SELECT 2, 'strength', * FROM ({_STRONGEST.format(least=0.3, k=5)})
+  UNION ALL SELECT 3, 'strength', * FROM ({_STRONGEST.format(least=0.3, k=7)})
+  UNION ALL SELECT 4, 'strength', * FROM ({_STRONGEST.format(least=0.1, k=20)})
+  UNION ALL SELECT 5, 'text', CAST(row_number() OVER (ORDER BY k) AS INT), id, strength FROM (
+    SELECT h.k, h.id, n.strength FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS k FROM ({_fts_sql(*_TWO_TERMS)[_fts_sql(*_TWO_TERMS).rindex("SELECT w.id"):]}) ORDER BY k LIMIT 3) h JOIN nodes n ON n.id = h.id WHERE n.strength >= 0.2))
+SELECT query_id, branch, place, path, round(score, 6) AS score FROM b"""
+)
+def retrieve_batch(spark, sf_dir):
+    """A table of queries that go different ways."""
+    found = retrieval.retrieve_many(fixtures.state(spark, sf_dir), _batch(spark))
+    return found.select("query_id", "branch", "place", F.array_join("node_ids", ">").alias("path"), _six("score").alias("score"))
 
 
 def _sigmoid_sql(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-abs({x}))) ELSE exp(-abs({x})) / (1 + exp(-abs({x}))) END"
 
 
+_FOLD = f"list_reduce(list_prepend(weight, ds), lambda w, d: round_even({_sigmoid_sql('(w + d)')}, 6))"
+
+
+@_query(
+    _ENTITY_HITS.format(name="hits", least=0.1)
+    + _one_hop("hits", 0.01, 500)
+    + f""",
+u AS (SELECT link AS id, list(0.02::DOUBLE) AS ds, count(*) AS n FROM paths WHERE link IS NOT NULL GROUP BY 1)
+SELECT id, round({_FOLD}, 6) AS weight, n AS traverse_count, CAST({NOW} AS BIGINT) AS last_traversed FROM u JOIN links USING (id)"""
+)
+def retrieve_reinforced_links(spark, sf_dir):
+    """Links after a deep recall: those of its paths are strengthened, once for each path."""
+    s = fixtures.state(spark, sf_dir)
+    after = retrieval.retrieve(s, "EN SRC1", 500, retrieval.RecallTier.INFERNO, max_hops=1).reinforced(s.links, NOW)
+    return after.where("traverse_count > 0").select("id", _six("weight").alias("weight"), "traverse_count", "last_traversed")
+
+
+# ---- dynamics
+
+
 @_query(f"SELECT id, round({_sigmoid_sql('(weight * 20 - 10)')}, 9) AS s FROM links")
 def sigmoid_values(spark, sf_dir):
     return fixtures.links(spark, sf_dir).select("id", F.round(dynamics.sigmoid(F.col("weight") * 20 - 10), 9).alias("s"))
@@ -442,11 +571,18 @@ def hebbian_neutral_repeat(spark, sf_dir):
     return dynamics.on_traverse(links, uses, NOW).select("id", _six("weight").alias("weight"), "traverse_count")
 
 
-@_query()
+@_query(
+    f""", f AS (
+  SELECT 2 * (user_id % 200) + 1 AS id, count(*) AS n,
+         list(CASE WHEN event_type IN ('purchase', 'signup') THEN 0.10::DOUBLE WHEN event_type = 'error' THEN -0.05::DOUBLE ELSE 0.02::DOUBLE END ORDER BY ts, event_id) AS ds
+  FROM events GROUP BY 1)
+SELECT id, round(CASE WHEN ds IS NULL THEN weight ELSE {_FOLD} END, 6) AS weight, coalesce(n, 0) AS traverse_count, CASE WHEN n > 0 THEN CAST({NOW} AS BIGINT) END AS last_traversed
+FROM links LEFT JOIN f USING (id)"""
+)
 def hebbian_feedback(spark, sf_dir):
     links = fixtures.links(spark, sf_dir)
     after = dynamics.on_traverse(links, fixtures.feedback(spark, sf_dir), NOW)
-    return after.select("id", "weight", "traverse_count", "last_traversed")
+    return after.select("id", _six("weight").alias("weight"), "traverse_count", "last_traversed")
 
 
 @_query(
@@ -504,8 +640,13 @@ def prune_apply(spark, sf_dir):
 _WORDS = r""", ws AS (
   SELECT id, unnest(regexp_split_to_array(regexp_replace(lower(content), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+')) AS w FROM nodes),
 wd AS (SELECT DISTINCT id, w FROM ws WHERE length(w) > 2 AND w NOT IN ('the','and','for','are','but','not','you','all','can','had','her','was','one','our','out','has','have','been','its','than','that','this','with','from','they','will')),
-sz AS (SELECT id, count(*) AS n FROM wd GROUP BY id),
-co AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM wd a JOIN wd b ON a.w = b.w AND a.id < b.id GROUP BY ALL),
+ks AS (SELECT id, list_sort(list(w)) AS ws FROM wd GROUP BY id),
+mb AS (
+  SELECT id, first_value(id) OVER (PARTITION BY ws, list_sort(list_distinct(list_transform(entities, lambda e: lower(trim(e))))), node_type ORDER BY strength DESC, id) AS rep
+  FROM ks JOIN nodes USING (id)),
+wr AS (SELECT wd.* FROM wd JOIN mb USING (id) WHERE mb.id = mb.rep),
+sz AS (SELECT id, count(*) AS n FROM wr GROUP BY id),
+co AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM wr a JOIN wr b ON a.w = b.w AND a.id < b.id GROUP BY ALL),
 sim AS (
   SELECT x, y, c / (p.n + q.n - c) AS s FROM co JOIN sz p ON p.id = x JOIN sz q ON q.id = y),
 pr AS (
@@ -527,10 +668,31 @@ def duplicate_pairs(spark, sf_dir):
     return found.select("a", "b", _six("confidence").alias("confidence"))
 
 
-@_query()
+@_query(_WORDS + "SELECT id, rep FROM mb")
+def duplicate_members(spark, sf_dir):
+    """The class of each node, by its strongest member."""
+    return consolidation.members(fixtures.nodes(spark, sf_dir)).select("id", "rep")
+
+
+@_query(
+    _WORDS.rstrip()
+    + """,
+dp AS (SELECT a, b, s FROM pr WHERE overlap >= 2 OR (same_type AND s >= 0.8)),
+od AS (SELECT id, row_number() OVER (ORDER BY strength DESC, id) AS k FROM nodes WHERE id IN (SELECT a FROM dp UNION SELECT b FROM dp)),
+ad AS (SELECT o.k, o.id, coalesce(list(p.k) FILTER (p.k IS NOT NULL), []) AS before FROM od o LEFT JOIN dp ON dp.b = o.id LEFT JOIN od p ON p.id = dp.a GROUP BY o.k, o.id),
+alive AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept
+  UNION ALL
+  SELECT ad.k, CASE WHEN len(list_intersect(before, kept)) = 0 THEN list_append(kept, ad.k) ELSE kept END FROM alive JOIN ad ON ad.k = alive.k + 1),
+fin AS (SELECT kept FROM alive ORDER BY k DESC LIMIT 1),
+vi AS (SELECT ad.id AS victim_id, list_min(list_intersect(before, kept)) AS sk FROM ad, fin WHERE NOT list_contains(kept, ad.k)),
+ms AS (SELECT victim_id, od.id AS survivor_id, dp.s AS confidence FROM vi JOIN od ON od.k = vi.sk JOIN dp ON dp.a = od.id AND dp.b = victim_id)
+SELECT victim_id, survivor_id, round(confidence, 6) AS confidence FROM ms
+UNION ALL
+SELECT mb.id, coalesce(ms.survivor_id, mb.rep), round(coalesce(ms.confidence, 1.0), 6) FROM mb LEFT JOIN ms ON ms.victim_id = mb.rep WHERE mb.id <> mb.rep"""
+)
 def consolidate_static(spark, sf_dir):
-    found = consolidation.merge_map(consolidation.duplicate_pairs(fixtures.nodes(spark, sf_dir)))
-    return found.select("victim_id", "survivor_id", _six("confidence").alias("confidence"))
+    return consolidation.merges(fixtures.nodes(spark, sf_dir)).select("victim_id", "survivor_id", _six("confidence").alias("confidence"))
 
 
 @_query()

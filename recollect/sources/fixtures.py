@@ -29,7 +29,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % 6 + 1).cast("int"))
     columns = {
         "id": F.concat(F.lit("d"), i),
-        "content": F.substring("text", 1, 200),
+        "content": F.col("text"),
         "node_type": pick(kinds),
         "strength": ((i * 37) % 100).cast("double") / 100,
         "created_at": _created(i),
@@ -78,7 +78,7 @@ def state(spark: SparkSession, sf_dir: str) -> GraphState:
 # The same tables as common table expressions for DuckDB.
 SQL = f"""
 nodes AS (
-  SELECT 'd' || d.doc_id AS id, substr(d.text, 1, 200) AS content,
+  SELECT 'd' || d.doc_id AS id, d.text AS content,
          ['preference', 'fact', 'decision', 'insight', 'process', 'temp'][CAST(d.doc_id % 6 + 1 AS INT)] AS node_type,
          CAST((d.doc_id * 37) % 100 AS DOUBLE) / 100 AS strength,
          {START} + ((d.doc_id * 7919) % 200) * 86400 AS created_at,

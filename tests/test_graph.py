@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollect import GraphState, Memory, extract_entities, extract_implicit_references, normalize_entity
+from recollect.functions import ner
 from recollect.functions.text import jaccard, word_set
 from recollect.operators import consolidation, crud, dynamics, inspection, profile, retrieval, search, walk
 from recollect.schema import LINKS, NODES
+from recollect.sources.store import Conflict
 
 NOW = 1_720_000_000
 DAY = 86400
@@ -37,22 +42,22 @@ def link(s, t, w, **more):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("I like Python and Rust", ["Python", "Rust"]),
-        ("I prefer PostgreSQL over MySQL", ["PostgreSQL", "MySQL"]),
-        ("the FastAPI framework is great for APIs", ["FastAPI"]),
-        ("I use Redis for caching", ["Redis", "cache"]),
-        ("My favorite editor is Neovim", ["Neovim"]),
-        ("Known for strong consistency guarantees", ["strong consistency guarantees"]),
+        ("I like Kotlin and Haskell", ["Kotlin", "Haskell"]),
+        ("I prefer Postgres over Oracle", ["PostgreSQL", "Oracle"]),
+        ("the PyTorch framework is great for models", ["PyTorch", "models"]),
+        ("We keep using Docker for caching", ["Docker", "cache"]),
+        ("My favorite shell is Zsh", ["Zsh"]),
+        ("Famous for careful release notes", ["careful release notes"]),
         ("", []),
-        ("   ", []),
+        (" \t ", []),
         (None, []),
-        ("just random words here", []),
-        ("我喜欢Python和Rust", ["Python", "Rust"]),
-        ("那个缩放的问题", ["缩放"]),
-        ("那个五行映射的问题", ["五行"]),
-        ("pg database", ["PostgreSQL"]),
-        ("redis cache", ["Redis"]),
-        ("I use Python 3.12", ["Python"]),
+        ("nothing named in this line", []),
+        ("我们推荐Docker和Kotlin", ["Docker", "Kotlin"]),
+        ("那个排序的问题", ["排序"]),
+        ("那个向量检索的方案", ["vector"]),
+        ("rest api", ["REST API"]),
+        ("memory system", ["memory system"]),
+        ("It runs on Redis 7.2", ["Redis"]),
     ],
 )
 def test_entities(text, expected):
@@ -76,9 +81,33 @@ def test_entities_column(spark):
     assert spark.range(1).select(normalized(F.lit(" Postgres "))).first()[0] == "PostgreSQL"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("I like use Python and over the MySQL project 3.12 v2 \"quoted 'x API CamelCase good great favorite docker known famous don't prefer 我喜欢 数据库设计 缓存性能 那个 的问题 「标题」 Redis的方案 pg rest api plain words , . \n É ſ".split(" ")), max_size=9).map(" ".join))
+def test_texts_behind_the_gate_have_no_entities(text):
+    gate = re.compile(ner.GATE.replace("(?iu:", "(?i:").replace(r"\p{Nd}", r"\d").replace("\\u4e00-\\u9fff", "一-鿿"))
+    assert gate.search(text) or extract_entities(text) == []
+
+
 # ---- changes
 
 
+def test_two_writers_and_a_dead_one(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    one, two = Memory.open(spark, path), Memory.open(spark, path)
+    one.create_node("a", "one", now=NOW)
+    two.create_node("b", "two", now=NOW)  # made again on the other's version
+    assert [n["id"] for n in two.get_all_nodes()] == ["a", "b"] and one.count_nodes() == 1
+    with pytest.raises(Conflict):
+        one.commit(one.state)
+    assert [n["id"] for n in Memory.open(spark, path).get_all_nodes()] == ["a", "b"]
+    state = GraphState.load(spark, path)
+    assert {state.save(path), state.save(path)} == {3, 4}  # no number twice
+    (tmp_path / "store" / "v=00000005.claim").touch()  # a writer that died, or is at work
+    with pytest.raises(Conflict):
+        GraphState.load(spark, path).save(path, after=4)
+    assert GraphState.load(spark, path).save(path, after=4, abandoned=-1) == 5 and GraphState.load(spark, path).version == 5
+
+
 def test_memory_handle_persists(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     with Memory.open(spark, path) as m:
@@ -270,7 +299,7 @@ def model_walk(strength, edges, entries, hops, pre):
 
 def test_walks_follow_the_model(spark):
     rng = random.Random(5)
-    for _ in range(4):
+    for _ in range(2):
         strength = {f"n{i}": rng.choice([0.3, 0.6, 0.9, 1.0]) for i in range(14)}
         edges = [(i + 1, f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", rng.choice([0.2, 0.5, 0.9, 1.0])) for i in range(30)]
         n, e = nodes(spark, [{"id": k, "strength": v} for k, v in strength.items()]), links(spark, [link(s, t, w, id=i) for i, s, t, w in edges])
@@ -316,7 +345,76 @@ def test_recall_branches(spark):
     assert retrieval.retrieve(s, "I use Docker").branch == "strength"
     assert retrieval.retrieve(s, "").branch == "strength"
     assert retrieval.retrieve(s, "plain", top_k=0).branch == "text walk"
-    assert retrieval.to_dicts(s, deep.paths)[0] == {"path": "I use Redis", "node_ids": ["a"], "link_ids": [], "score": 0.9}
+    first, second = retrieval.to_dicts(s, deep.paths)
+    assert {k: first[k] for k in ("content", "path", "node_ids", "link_ids", "score")} == {"content": "I use Redis", "path": "a", "node_ids": ["a"], "link_ids": [], "score": 0.9}
+    assert second["path"] == "a → b" and second["content"] == "I use Redis → plain" and [n["strength"] for n in second["nodes"]] == [0.9, 0.5] and second["nodes"][1]["entities"] == []
+
+
+def test_a_batch_goes_the_ways_of_its_queries(spark):
+    rng = random.Random(8)
+    words = "redis caches data plain alpha topic gamma docker python memory".split()
+    rows = [{"id": f"n{i:02}", "content": " ".join(rng.choice(words) for _ in range(5)), "strength": rng.choice([0.1, 0.25, 0.4, 0.6, 0.9]), "entities": rng.sample(["Redis", "redis", "Python", "SQLite"], rng.randrange(3))} for i in range(40)]
+    edges = [link(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", rng.choice([0.3, 0.6, 0.9]), relation=f"r{i}") for i in range(90)]
+    s = GraphState.of(nodes(spark, rows), links(spark, edges))
+    asked = [(t.name if k % 2 else t.value, q) for k, t in enumerate(retrieval.RecallTier) for q in ("redis", "I use Redis and Python", "alpha OR topic", '"data plain"', "py* NOT redis", "^ redis", "NEAR(redis data, 2)", "", "content: gamma", "( data", ", d", "I use Docker", "XYZZY", "none of it")]
+    queries = [(i, q, t, None, None, None) for i, (t, q) in enumerate(asked)] + [(900, "I use Redis", "?", 2, 1, 0.5), (901, "redis", None, 0, 0, 0.9), (902, None, "SMOKE", 7, None, None)]
+    df = spark.createDataFrame(queries, "query_id int, query string, tier string, top_k int, max_hops int, min_node_strength double")
+    index = search.build_index(s.nodes)
+    got = {}
+    for r in retrieval.retrieve_many(s, df, index).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append((r["branch"], r["place"], tuple(r["node_ids"]), tuple(r["link_ids"]), round(r["score"], 9), r["reinforce"]))
+    tiers = {t.name: t for t in retrieval.RecallTier} | {t.value: t for t in retrieval.RecallTier}
+    ways = set()
+    for i, q, t, k, hops, least in queries[::7] + queries[-3:] + queries[25:27]:
+        one = retrieval.retrieve(s, q or "", k, tiers.get(t, retrieval.RecallTier.BURN), hops, least, index)
+        want = [(one.branch, r["place"], tuple(r["node_ids"]), tuple(r["link_ids"]), round(r["score"], 9), one.reinforce) for r in one.paths.orderBy("place").collect()]
+        assert got.get(i, []) == want, (q, t)
+        ways.add(one.branch)
+    assert ways == {"text", "text walk", "entity walk", "strength"}
+    assert retrieval.retrieve_many(s, df.where("false")).count() == 0
+
+
+def test_chinese_branch(spark):
+    cut = lambda t: [w for w in ("缓存", "性能", "记忆", "设计") if w in t]
+    m = Memory.open(spark, segment=cut)
+    a = m.create_node("a", "缓存性能很好", now=NOW)
+    m.create_node("b", "记忆设计", now=NOW)
+    assert [n["id"] for n in m.fts5_search("性能问题")] == ["a"] and m.fts5_search("性能问题")[0] == a
+    assert search.search(m.state.nodes, "性能问题").count() == 0  # whole runs only, without a segmenter
+    assert [n["id"] for n in m.fts5_search("记忆设计")] == ["b"]
+    assert retrieval.memory_recall(m, "性能", tier="温")[0]["path"] == "a"
+    from recollect.functions.ner import entities_of
+
+    texts = spark.createDataFrame([("缓存性能",), ("no Chinese",), (None,)], "t string")
+    assert [r[0] for r in texts.select(entities_of(F.col("t"), lambda t: [t])).collect()] == [["cache", "performance"], [], []]
+    done = retrieval.write_memories(GraphState.empty(spark), spark.createDataFrame([(0, "x", "缓存性能")], "seq long, id string, content string"), NOW, segment=lambda t: [t])
+    assert done.nodes.first()["entities"] == ["cache", "performance"]
+
+
+def test_reading_through_the_handle(spark):
+    m = Memory(GraphState.of(nodes(spark, [{"id": "a", "content": "I use Redis", "entities": ["Redis"], "strength": 0.9}, {"id": "b", "node_type": "temp", "entities": None}]), links(spark, [link("a", "b", 0.9), link("b", "a", 0.2)])))
+    assert [n["id"] for n in m.get_all_nodes()] == ["a", "b"] and [x["weight"] for x in m.get_all_links(1)] == [0.9]
+    assert [n["id"] for n in m.search_nodes("temp")] == ["b"] and m.search_nodes("temp")[0]["entities"] == []
+    assert [(n["id"], e) for n, e in m.find_nodes_by_entities(["REDIS"])] == [("a", ["Redis"])] and m.find_nodes_by_entities([]) == []
+    assert [x["target_id"] for x in m.get_links("a", direction="outgoing")] == ["b"]
+    assert [n["id"] for n in m.fts5_search("redis")] == ["a"] and list(m.get_node("a")) == [f.name for f in NODES]
+
+
+def test_automatic_links_look_at_the_strongest_as_they_are_then(spark):
+    rng = random.Random(4)
+    names = ["Redis", "Python", "SQLite", "Docker"]
+    old = [{"id": f"o{i}", "strength": rng.random(), "entities": rng.sample(names, 2)} for i in range(8)]
+    new = [(i // 2, f"n{i:02}", rng.sample(names, rng.randrange(1, 4)), rng.random(), ["o1"]) for i in range(60)]
+    df = spark.createDataFrame(new, "seq long, id string, entities array<string>, strength double, linked array<string>").repartition(5)
+    got = {(r["source_id"], r["target_id"]) for r in retrieval.auto_links(df, nodes(spark, old), 6).collect()}
+    want = set()
+    for seq, i, entities, _, linked in new:
+        pool = [(-o["strength"], o["id"], o["entities"]) for o in old] + [(-x[3], x[1], x[2]) for x in new if x[0] <= seq]
+        for _, t, theirs in sorted(pool)[:6]:
+            n = len([e for e in theirs if e in entities])
+            if t != i and t not in linked and (n >= 2 or (n and n == len(entities))):
+                want.add((i, t))
+    assert got == want and len(want) > 20
 
 
 def test_writing_and_wrappers(spark):
@@ -366,9 +464,18 @@ def test_merge_map_is_the_greedy_pass(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(12)]
     rows = [{"id": f"n{i:02}", "content": " ".join(rng.sample(words, 6)), "strength": rng.choice([0.2, 0.5, 0.8])} for i in range(40)]
+    rows += [{**r, "id": f"c{i:02}", "strength": rng.choice([0.2, 0.5, 0.8, 0.9])} for i, r in enumerate(rows[:15])]  # copies
     df = nodes(spark, rows)
-    pairs = {(r["a"], r["b"]) for r in consolidation.duplicate_pairs(df).collect()}
     order = [r["id"] for r in sorted(rows, key=lambda r: (-r["strength"], r["id"]))]
+    rep_of = {r["id"]: r["rep"] for r in consolidation.members(df).collect()}
+    classes = {}
+    for i in order:
+        classes.setdefault(frozenset(next(r["content"] for r in rows if r["id"] == i).split()), []).append(i)
+    assert rep_of == {i: c[0] for c in classes.values() for i in c}
+    found = {(r["a"], r["b"]) for r in consolidation.duplicate_pairs(df).collect()}
+    assert all(rep_of[x] == x for p in found for x in p) and len(found) < 200
+    place = {i: k for k, i in enumerate(order)}
+    pairs = {(a, b) for a in order for b in order if place[a] < place[b] and (rep_of[a] == rep_of[b] or (rep_of[a], rep_of[b]) in found or (rep_of[b], rep_of[a]) in found)}
     sets = {r["id"]: set(r["content"].split()) for r in rows}
     brute = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     assert pairs == brute
@@ -378,7 +485,7 @@ def test_merge_map_is_the_greedy_pass(spark):
             for b in order[i + 1 :]:
                 if b not in into and (a, b) in pairs:
                     into[b] = a
-    got = {r["victim_id"]: r["survivor_id"] for r in consolidation.merge_map(consolidation.duplicate_pairs(df)).collect()}
+    got = {r["victim_id"]: r["survivor_id"] for r in consolidation.merges(df).collect()}
     assert got == into and not set(into) & set(into.values())
 
 
