@@ -172,18 +172,12 @@ def retrieve_many(state: GraphState, queries: DataFrame, index: SearchIndex | No
     hits = search_many(state.nodes, asked.select("query_id", "query", F.col("top_k").alias("limit")), index)
     hits = settled(hits.join(strength, "id").join(q.select("query_id", "least"), "query_id").where("strength >= least").select("query_id", "place", "id", "strength"))
 
-    # walks, by depth
     from_text = hits.join(q.where("NOT named AND tier <> 'WARM'").select("query_id"), "query_id", "left_semi").select("query_id", "place", "id")
     entries = matched.unionByName(from_text).join(q.select("query_id", "hops"), "query_id")
-    walked = None
-    for (hops,) in q.select("hops").distinct().collect():  # depths are a few small numbers
-        part = walk_many(state.nodes, state.links, entries.where(F.col("hops") == hops).drop("hops"), hops)
-        walked = part if walked is None else walked.unionByName(part)
+    walked = walk_many(state.nodes, state.links, entries, q.agg(F.max("hops")).first()[0] or 0)
     columns = ["query_id", "branch", "place", "node_ids", "link_ids", "score"]
     none = F.array().cast("array<long>")
     flat = lambda rows, branch: rows.select("query_id", F.lit(branch).alias("branch"), "place", F.array("id").alias("node_ids"), none.alias("link_ids"), F.col("strength").alias("score"))
-    if walked is None:  # no queries
-        return flat(hits, "text").withColumn("reinforce", F.lit(False))
     order = [F.desc("score"), "entry_place", "walk_place"]
     rows = walked.join(q.select("query_id", "min_score", "top_k"), "query_id").where("score >= min_score")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "node_ids").orderBy(*order))).where("_n = 1")

@@ -143,21 +143,26 @@ def _ordered(entries: list[tuple[str, float]], around: dict[str, list[tuple]], h
 def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops: int, min_link_weight: float = MIN_LINK_WEIGHT) -> DataFrame:
     """Ordered walks that share their visited nodes, for a batch of queries.
 
-    ``entries`` has (query_id, place, id): few per query. Joins pull the neighbourhood that
-    any order of visits could reach; each query's small subgraph is then walked in order.
+    ``entries`` has (query_id, place, id), few per query, and perhaps ``hops``, a query's own
+    depth of at most ``max_hops``. Joins pull the neighbourhood that any order of visits could
+    reach; each query's small subgraph is then walked in order.
     Returns (query_id, entry_place, walk_place, node_ids, link_ids, score).
     """
     strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
     keep = _keep(max_hops)
-    starts = entries.join(nodes.select("id", "strength"), "id").select("query_id", "place", "id", "strength")
+    depth = F.col("hops") if "hops" in entries.columns else F.lit(max_hops)
+    starts = entries.select("query_id", "place", "id", depth.alias("hops")).join(nodes.select("id", "strength"), "id")
     # breadth-first over node sets alone; links are ranked around each frontier only
-    reach = inner = starts.select("query_id", F.col("id").alias("tip")).distinct()
+    reach = inner = starts.select("query_id", F.col("id").alias("tip"), "hops").distinct()
     near = reach.where("false").join(steps(links.where("false")), "tip")
     for hop in range(max_hops):
+        reach = reach.where(F.col("hops") > hop)
+        if hop and reach.isEmpty():
+            break
         ahead = keep(reach.join(steps(links, min_link_weight, tips=reach), "tip"))
         near = near.unionByName(ahead)
         if hop + 1 < max_hops:
-            reach = keep(ahead.select("query_id", F.col("nbr").alias("tip")).distinct().join(inner, ["query_id", "tip"], "left_anti"))
+            reach = keep(ahead.select("query_id", F.col("nbr").alias("tip"), "hops").distinct().join(inner, ["query_id", "tip"], "left_anti"))
             inner = inner.unionByName(reach)
     near = near.join(strength, "nbr")
 
@@ -167,7 +172,7 @@ def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops:
         for tip, *step in right[["tip", "nbr", "s", "weight", "link_id"]].itertuples(index=False, name=None):
             around.setdefault(tip, []).append(tuple(step))
         left = left.sort_values("place")
-        rows = _ordered(list(left[["id", "strength"]].itertuples(index=False, name=None)), around, max_hops)
+        rows = _ordered(list(left[["id", "strength"]].itertuples(index=False, name=None)), around, int(left["hops"].iloc[0]) if len(left) else 0)
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["query_id", "entry_place", "walk_place", "node_ids", "link_ids", "score"])
 
     kind = entries.schema["query_id"].dataType.simpleString()
