@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, Words, new_path, qualified, runs, stored, table
+from .common import RUN_BYTES, Words, drop_stored, new_path, qualified, runs, stored, table
 
 PASSAGE, HALF, TILE = 64, 32, 32
 SHORT, TINY = 8, 4
@@ -318,8 +318,11 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list[str]:
         return pd.DataFrame({"path": paths})
 
     built = cut.groupBy(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)).alias("part")).applyInPandas(build, "path string")
-    paths = stored(built, "lsi-blocks")  # written once: a task that is run again leaves files that nobody reads
-    return [f"{folder}/{p.rsplit('/', 1)[1]}" for p in sorted(r["path"] for r in paths.collect())]
+    table_ = stored(built, "lsi-blocks")  # written once: a task that is run again leaves files that nobody reads
+    paths = sorted(r["path"] for r in table_.collect())
+    drop_stored(table_)
+    drop_stored(cut)
+    return [f"{folder}/{p.rsplit('/', 1)[1]}" for p in paths]
 
 
 _LOADED: OrderedDict[str, Index] = OrderedDict()

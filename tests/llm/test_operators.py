@@ -441,6 +441,12 @@ def test_windows_hold_their_budget_and_keep_context(spark):
     assert dict(seen) == {c: len(v) for c, v in by.items()}
 
 
+def test_one_conversation_of_very_many_turns(spark):
+    turns = spark.range(40_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+    got = chat_format.read_back(chat_format.formatted(turns)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got] == [(None, 40_000, sum(len(f"turn {i}") for i in range(1, 40_000, 2)))]
+
+
 @pytest.mark.parametrize("budget", [8, 40, 1024])
 def test_chat(spark, budget):
     turns = conversations(spark)
@@ -575,6 +581,13 @@ def test_covering_misses_no_pair(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k in got if got[k] == v) for v in set(got.values())}
 
 
+def test_one_fingerprint_for_most_rows(spark):
+    docs = spark.range(30_000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "").otherwise(F.concat(F.lit("w"), (F.col("id") % 50).cast("string"))).alias("text"))
+    got = {(r["fingerprint"], r["component_id"]): r["n"] for r in simhash.near_duplicates(docs).groupBy("fingerprint", "component_id").agg(F.count("*").alias("n")).collect()}
+    assert got["0" * 16, 1] == 20_000 and sum(got.values()) == 30_000 and len(got) == 51
+    assert simhash.keep_one(docs).count() == 51
+
+
 def test_large_buckets_go_to_a_second_level(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**64, 3, dtype=np.uint64)
@@ -947,6 +960,14 @@ def test_url_verdicts_are_those_of_page_rank(spark):
     assert checked > 60 and {r["verdict"] for r in got if r["host"] == "far0.org"} == {"block"}
 
 
+def test_a_page_of_very_many_links(spark):
+    rows = [(1, "http://many.io/", "<a href='//bad.net/'>x</a>" * 30_000 + "<a href='//good.example.net/en/'>"), (2, "http://bad.net/", ""), (3, "http://good.example.net/en/", "<a href='http://many.io'>")]
+    got = {r["page_id"]: r for r in url_filter.judged_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["verdict"] == "block" and 0 < got[1]["trust"] < got[1]["distrust"]
+    edges = {(r["src"], r["dst"]): r["n"] for r in url_filter.host_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert edges == {("many.io", "bad.net"): 30_000, ("many.io", "good.example.net"): 1, ("good.example.net", "many.io"): 1}
+
+
 def test_one_link_counts_among_two_million_blocked_pages(spark):
     few = [(0, "http://linker.io/", '<a href="http://bad.net/">'), (1, "http://bad.net/", "")]
     rows = spark.createDataFrame(few, "page_id long, url string, html string")
