@@ -41,6 +41,8 @@ from .fm_index import FMIndex
 WINDOW, GRAM = 20, 5
 SPAN = WINDOW - GRAM + 1
 SHARD_WORDS = 400_000
+#: Bytes of a word's hash that are sent to its shard: unlike words are taken for one with a chance of 2^-48.
+BYTES = 6
 #: Slots of the sketch of anchors, and what makes one crowded: more segments than this, and
 #: than this many times the average. A slot that is not crowded has few enough for a task.
 SLOTS, CROWD, CROWD_FACTOR = 1 << 16, 1024, 16
@@ -245,8 +247,8 @@ def _fetched(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(high - low), np.diff(mine.offsets.to_numpy()))
                 start, count, _ = _unpacked(flat.field("pack"))
                 begin = w.first[row] + start
-                raw = w.hash.tobytes()
-                words = [raw[8 * s : 8 * e] for s, e in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]
+                raw = w.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+                words = [raw[BYTES * s : BYTES * e] for s, e in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]
                 at = pa.array(low + row)
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), *(b.column(k).take(at) for k in _PLACE), flat.field("pack"), flat.field("first"), pa.array(words, pa.binary())], names)
 
@@ -268,7 +270,10 @@ def _searched(segments: DataFrame) -> DataFrame:
         """Of a shard's rows (the first ``done`` are in the index only) those with repeats."""
         start, count, none = _unpacked(rows.column("pack"))
         size = count + WINDOW - 1
-        flat = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
+        raw = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint8).reshape(-1, BYTES)
+        flat = np.zeros((len(raw), 8), np.uint8)
+        flat[:, :BYTES] = raw
+        flat = flat.view("<u8").ravel().astype(np.uint64)
         base = np.cumsum(size) - size
         step = np.arange(len(flat)) - np.repeat(base, size)
         place = np.repeat(_ranks(rows, none) << 32 | start, size) + step  # of each word, in order of places
