@@ -10,6 +10,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,40 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# --------------------------------------------------------------------------------------
+# filters of a fixed size
+
+_BLOCK_BITS = 1 << 16
+
+
+def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """The bits named in the one column of ``rows`` (0 to ``bits`` - 1) as packed bytes.
+
+    Blocks of 8 KB are made by their tasks; the driver gets ``bits`` / 8 bytes at most.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            data = []
+            for at in batch["at"]:
+                block = np.zeros(_BLOCK_BITS, bool)
+                block[np.asarray(at, np.int64)] = True
+                data.append(np.packbits(block, bitorder="little").tobytes())
+            yield pd.DataFrame({"block": batch["block"], "data": data})
+
+    bit = F.col(rows.columns[0])
+    blocks = rows.select(F.shiftright(bit, 16).alias("block"), bit.bitwiseAND(F.lit(_BLOCK_BITS - 1)).cast("int").alias("at"))
+    out = np.zeros(max(bits, _BLOCK_BITS) // 8, np.uint8)
+    for r in blocks.groupBy("block").agg(F.collect_set("at").alias("at")).mapInPandas(pack, "block long, data binary").toLocalIterator():
+        low = r["block"] * _BLOCK_BITS // 8
+        out[low : low + _BLOCK_BITS // 8] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def has_bit(packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (packed[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 > 0
+
+
 # --------------------------------------------------------------------------------------
 # column helpers
 
@@ -109,8 +145,8 @@ def running(values: Column, merge=lambda a, b: a + b, start: int = 0) -> Column:
 # --------------------------------------------------------------------------------------
 # vectorised tokenizer
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Case and punctuation folded away: A-Z lowered, other ASCII than letters and digits as white space.
@@ -140,6 +176,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_ids(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(start, end, id, words): the words between ``gap`` bytes and their numbers in a dictionary,
+    which are decided by the words themselves."""
+    if not len(data):
+        return *[np.zeros(0, np.int64)] * 3, pa.array([], pa.binary())
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.concatenate([[0], edge])
+    if not gap[-1]:
+        edge = np.concatenate([edge, [len(data)]])
+    start, end = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    held = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap].tobytes())]).dictionary_encode()
+    return start, end, held.indices.to_numpy().astype(np.int64), held.dictionary
+
+
 class Words:
     """Words of a run of texts.
 
@@ -155,7 +207,7 @@ class Words:
         self.data = data = _FOLD[data] if fold else _LOWER[data] if lower else data
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        space = _SPACE[data]
+        space = SPACE[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])

@@ -17,12 +17,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, table
+from .common import bitmap, drop_stored, has_bit, stored, table, word_ids
 
 #: Longest phrase, least occurrences, phrases reported a language.
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -47,23 +46,17 @@ _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" els
 
 def words_of(data: bytes) -> tuple[np.ndarray, list[str]]:
     """(ids, words): the words of folded bytes as numbers from 1, with 0 between pieces."""
-    at = np.frombuffer(data + b"\n", np.uint8)
+    at = np.frombuffer(data, np.uint8)
     ends = at == 10
-    gap = ends | (at == 32)
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    if not gap[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[::2], edge[1::2]
+    start, _, held, words = word_ids(at, ends | (at == 32))
     if not len(start):
         return np.zeros(0, np.int64), []
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-    held = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(at[~gap].tobytes())]).dictionary_encode()
     piece = np.cumsum(ends)[start]
     place = np.arange(len(start)) + piece - piece[0]  # an empty place (or more) for each piece's end
     ids = np.zeros(int(place[-1]) + 2, np.int64)
-    ids[place] = held.indices.to_numpy() + 1
+    ids[place] = held + 1
     keep = (ids > 0) | np.concatenate([[True], ids[:-1] > 0])
-    return ids[keep], [w.decode("utf-8", "surrogatepass") for w in held.dictionary.to_pylist()]
+    return ids[keep], [w.decode("utf-8", "surrogatepass") for w in words.to_pylist()]
 
 
 def chains(ids: np.ndarray, fine: np.ndarray) -> np.ndarray:
@@ -131,22 +124,25 @@ def _bit_column(*words: Column) -> Column:
     return value % BITS
 
 
-def shard_counts(lang: str, data: bytes, least: int, most: int, words=None, pairs=None) -> pd.DataFrame:
+def shard_counts(lang: str, data: bytes, least: int, most: int, words=None, pairs=None) -> pa.RecordBatch:
     """(lang, phrase, f) of a shard; for single words a row without phrase has their number."""
+
+    def batch(found, sums):
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(sums, pa.int64())], ["lang", "phrase", "f"])
+
     ids, names = words_of(data)
     if not len(ids):
-        return pd.DataFrame({"lang": [], "phrase": [], "f": []})
+        return batch([], [])
     if most == 1:
         counts = np.bincount(ids, minlength=len(names) + 1)[1:]
-        return pd.DataFrame({"lang": lang, "phrase": [*names, None], "f": [*counts, int(counts.sum())]})
+        return batch([*names, None], np.append(counts, counts.sum()))
     crc = np.array([0, *(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names)], np.int64)
     tongue = zlib.crc32(lang.encode())
-    has = lambda bits, at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-    fine = np.concatenate([[False], has(words, _bit(tongue, crc[1:]))])[ids]
+    fine = np.concatenate([[False], has_bit(words, _bit(tongue, crc[1:]))])[ids]
     edge = fine[:-1] & fine[1:]
     if pairs is not None:
         at = np.flatnonzero(edge)
-        edge[at] = has(pairs, _bit(tongue, crc[ids[at]], crc[ids[at + 1]]))
+        edge[at] = has_bit(pairs, _bit(tongue, crc[ids[at]], crc[ids[at + 1]]))
     ids = chains(ids, edge)
     found, sums = [], []
     named = np.array(["", *names], object)
@@ -156,7 +152,7 @@ def shard_counts(lang: str, data: bytes, least: int, most: int, words=None, pair
             text = text + " " + named[ids[at + k]]
         found.append(text)
         sums.append(counts)
-    return pd.DataFrame({"lang": lang, "phrase": np.concatenate(found) if found else [], "f": np.concatenate(sums) if sums else []})
+    return batch(np.concatenate(found), np.concatenate(sums)) if found else batch([], [])
 
 
 def _pieces(data: bytes):
@@ -178,8 +174,8 @@ def counted(docs: DataFrame, least: int, most: int, words=None, pairs=None) -> D
         held: dict[str, list[bytes]] = {}
         size = 0
         bits = [b.value if b is not None else None for b in (words, pairs)]
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 for part in _pieces(text.encode("utf-8", "surrogatepass").translate(_BYTES)):
                     if held and size + len(part) > SHARD_BYTES:
                         for name, parts in held.items():
@@ -191,7 +187,7 @@ def counted(docs: DataFrame, least: int, most: int, words=None, pairs=None) -> D
             yield shard_counts(name, b"\n".join(parts), least, most, *bits)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text <> ''")
-    return rows.mapInPandas(run, _KEY)
+    return rows.mapInArrow(run, _KEY)
 
 
 # --------------------------------------------------------------------------------------
@@ -204,12 +200,8 @@ def _frequent(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _filter(rows: DataFrame, *words: Column):
-    """Broadcasts the bitmap of ``rows``: a bit a row, at most ``BITS`` of them."""
-    bit = rows.select(_bit_column(*words).alias("bit"))
-    set_ = bit.groupBy(F.expr("bit DIV 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("value")).toPandas()
-    bits = np.zeros(BITS // 32, np.uint32)
-    bits[set_["at"].to_numpy(np.int64)] = set_["value"].to_numpy(np.int64).astype(np.uint32)
-    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+    """Broadcasts the bitmap of ``rows``."""
+    return rows.sparkSession.sparkContext.broadcast(bitmap(rows.select(_bit_column(*words).alias("bit")), BITS))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

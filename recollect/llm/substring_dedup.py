@@ -6,46 +6,45 @@ windows with one anchor make a segment of at most WINDOW - GRAM + 1 windows. Tex
 sharded by anchor: whatever can equal a window lies in the window's own shard, and no
 document is streamed past the shards of other texts.
 
-1. Prefilter. Segments (anchor, content hash, place) are dealt and sorted by anchor; a
-   segment whose anchor no other place has cannot hold a repeated window and leaves. Anchors
-   of very many unlike segments (both ends of a passage that stands in many texts) are told
-   beforehand by a sketch of counts; their segments go window by window, each dealt by its
-   own words, so they never meet.
-2. The words of the other segments are fetched from their documents and dealt by shard. A
-   shard's text, each content at its first place, is indexed (suffix array, wavelet matrix).
-3. All segments of the documents are streamed through backward search: matching statistics
-   of whole segments first, of single windows where a segment does not occur whole. A window
-   that occurs at an earlier place than its own is reported; hashes alone report nothing.
-4. The intervals found are removed from the documents.
-
-Work and rows grow with the text: no pairs are made, unshared text leaves after step 1. Equal
-segments within a task's run of texts are told by comparing their words and go through the
-index once.
+1. Anchors are counted: places, and unlike segments by task. An anchor at one place only
+   cannot hold a repeated window. One of over ``CROWD`` unlike segments (both ends of a
+   passage that stands in many texts) is crowded. Both reach the next pass as bitmaps of a
+   fixed size; a collision sends more text to the index or splits more of it, no more.
+2. Segments of anchors at several places are read again. Equal ones are combined in their
+   task: the earliest is the representative and goes on with its words, the others are its
+   members, narrow rows that never meet in one task. A crowded anchor's segments go window
+   by window, each dealt by its own words.
+3. A shard indexes each content once, at its first place (suffix array, wavelet matrix of the
+   words themselves), and streams all representatives through backward search: matching
+   statistics of whole segments first, of single windows where that is the first place. A
+   window that occurs at an earlier place than its own is reported.
+4. A member is a repeat where the index found its representative whole.
+5. The intervals found are removed from the documents.
+
+Work and rows grow with the text: no pairs are made, and text that is not shared stays where
+it is. Segments are combined by anchor and content, 128 bits; only the index reports.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, mix64, runs, stored, table, windows_hash
+from .common import SPACE, bitmap, drop_stored, has_bit, mix64, runs, stored, table, windows_hash, word_ids
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 5
 SPAN = WINDOW - GRAM + 1
 SHARD_WORDS = 400_000
-#: Bytes of a word's hash that are sent to its shard: unlike words are taken for one with a chance of 2^-48.
-BYTES = 6
-#: Slots of the sketch of anchors, and what makes one crowded: more segments than this, and
-#: than this many times the average. A slot that is not crowded has few enough for a task.
-SLOTS, CROWD, CROWD_FACTOR = 1 << 16, 1024, 16
+#: Unlike segments of an anchor (counted task by task) from which it goes window by window.
+CROWD = 1024
+#: Bits of either bitmap of anchors (32 MB), whatever the table's size.
+BITS = 1 << 28
 
 
 def _segments(w) -> tuple[np.ndarray, ...]:
@@ -80,7 +79,7 @@ def _segments(w) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, none, h1, h2, text): a row is told by its id and 128 bits of its text.
+    """(doc_id, id, none, h, text): a row is told by its id and 64 bits of its text.
 
     ``id`` has the type of doc_id where that is a number or text, else its text; for a null
     it is 0 or "", and ``none``, which the hash covers too, is 1.
@@ -89,86 +88,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
     own = F.col("doc_id") if isinstance(kind, (T.NumericType, T.StringType)) else F.col("doc_id").cast("string")
     none, text = F.col("doc_id").isNull().cast("long"), F.col("text").cast("string")
     key = F.coalesce(own, F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind if isinstance(kind, T.NumericType) else "string"))
-    whole = F.coalesce(text, F.lit(""))
-    return docs.select("doc_id", key.alias("id"), none.alias("none"), F.xxhash64(none, whole).alias("h1"), F.xxhash64(F.lit("second"), whole).alias("h2"), text.alias("text"))
+    return docs.select("doc_id", key.alias("id"), none.alias("none"), F.xxhash64(none, F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
 
 
-_PLACE = ["id", "h1", "h2"]
-#: Bits of a segment's pack: 62 is set for a null id, from 6 the first word, from 1 the windows less one, 0: repeats in its run.
+_PLACE = ["id", "h"]
+#: Bits of a segment's pack: 62 is set for a null id, from 5 on the first word, below the windows less one.
 _NULL = 1 << 62
 
 
-def _ranks(b, none: np.ndarray) -> np.ndarray:
-    """Ranks of a batch's rows by id (nulls last) and text hash; equal rows share one."""
-    ids = b.column("id")
-    value = ids.to_numpy(zero_copy_only=False)
-    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) or pa.types.is_decimal(ids.type):
-        number = {x: k for k, x in enumerate(sorted(set(value.tolist())))}
-        value = np.array([number[x] for x in value.tolist()], np.int64)
-    keys = [b.column(k).to_numpy(zero_copy_only=False) for k in ("h2", "h1")]
-    order = np.lexsort((*keys, value, none))
+def _values(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _before(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether places (none, id, h, start) come before others, one by one."""
+    out, same = np.zeros(len(a[0]), bool), np.ones(len(a[0]), bool)
+    for x, y in zip(a, b):
+        out |= same & (x < y).astype(bool)
+        same &= (x == y).astype(bool)
+    return out
+
+
+def _ranks(place: list[np.ndarray]) -> np.ndarray:
+    """Ranks of places by all their parts, the first one first; equal places share one."""
+    keys = [np.unique(k, return_inverse=True)[1] if k.dtype == object else k for k in place]
+    order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
-    for key in (*keys, value, none):
+    for key in keys:
         new[1:] |= key[order][1:] != key[order][:-1]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new)
     return rank
 
 
-def _spread(b, row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A hash of places, to deal out what needs no company."""
-    ids = b.column("id")
-    own = ids.to_numpy().astype(np.uint64) if pa.types.is_integer(ids.type) else np.array([zlib.crc32(str(x).encode("utf-8", "surrogatepass")) for x in ids.to_pylist()], np.uint64)
-    with np.errstate(over="ignore"):
-        key = mix64(b.column("h1").to_numpy().astype(np.uint64) ^ own * np.uint64(0xD6E8FEB86659FD93))
-        return mix64(key[row] * np.uint64(0x9FB21C651E98DF25) + start.astype(np.uint64))
-
-
-def _later(w, text, start, count, content, rank) -> np.ndarray:
-    """Which segments come after one of the same words in the same run, at another place."""
-    order = np.lexsort((start, rank, content))
-    c = content[order]
-    head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    first = np.empty(len(c), np.int64)
-    first[order] = np.repeat(order[head], np.diff(np.concatenate([head, [len(c)]])))
-    later = (rank != rank[first]) | (start != start[first])
-    at = np.flatnonzero(later)
-    if len(at):  # equal hashes only count where the words are equal
-        later[at[count[at] != count[first[at]]]] = False
-        at = np.flatnonzero(later)
-    if len(at):
-        size = count[at] + WINDOW - 1
-        begin = np.cumsum(size) - size
-        step = np.arange(int(size.sum())) - np.repeat(begin, size)
-        mine, other = (np.repeat(w.first[text[x]] + start[x], size) + step for x in (at, first[at]))
-        later[at] = np.logical_and.reduceat(w.hash[mine] == w.hash[other], begin)
-    return later
-
-
-def _slot(anchor: np.ndarray) -> np.ndarray:
-    return (anchor & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def _crowded(keyed: DataFrame) -> np.ndarray:
-    """Which of SLOTS slots of anchors are crowded. Equal segments of a run count once."""
-
-    def run(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            for _, _, w in runs(b.column("text").to_pylist()):
-                _, _, _, anchor, content, _ = _segments(w)
-                if len(anchor):
-                    total += np.bincount(_slot(anchor[np.unique(content, return_index=True)[1]]), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
-
-    found = keyed.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
-    total = np.zeros(SLOTS, np.int64)
-    for slot, n in found:  # at most SLOTS rows
-        total[slot] = n
-    return total > max(CROWD, CROWD_FACTOR * int(total.sum()) // SLOTS)
-
-
 def _by_window(w, text, start, count, anchor, whole) -> tuple[np.ndarray, ...]:
     """Segments as one segment a window, dealt by the window's own words."""
     seg = np.repeat(np.arange(len(count)), count)
@@ -178,199 +130,207 @@ def _by_window(w, text, start, count, anchor, whole) -> tuple[np.ndarray, ...]:
     return text[seg], start, np.ones(len(seg), np.int64), mix64(own), mix64(own ^ anchor[seg])
 
 
-def _places(keyed: DataFrame) -> DataFrame:
-    """Segments of all texts: (anchor, content, id, h1, h2, pack).
+def _bits(anchor: np.ndarray) -> np.ndarray:
+    return (anchor & np.uint64(BITS - 1)).astype(np.int64)
 
-    Equal segments are combined before the shuffle: all but a run's first are repeats for
-    ``sure`` and are dealt by a number of their own, so that a passage in a third of all
-    documents sends one row a run to its anchor's task. The others of a crowded anchor are
-    split by window and combined once more.
-    """
-    crowded = _crowded(keyed)
-    kind = keyed.schema["id"].dataType.simpleString()
+
+def _counted(keyed: DataFrame) -> DataFrame:
+    """(bit, anchor, places, unlike): places of anchors in each run of texts, not summed yet."""
 
     def run(batches):
-        names = ["anchor", "content", *_PLACE, "pack"]
         for b in batches:
-            none = b.column("none").to_numpy()
-            rank = _ranks(b, none)
-            for low, _, w in runs(b.column("text").to_pylist()):
-                *cut, whole = _segments(w)
-                if not len(cut[0]):
-                    continue
-                sure = _later(w, *cut[:3], cut[4], rank[low + cut[0]])
-                many = crowded[_slot(cut[3])] & ~sure
-                if many.any():
-                    one = _by_window(w, *(c[many] for c in cut[:4]), whole)
-                    again = _later(w, *one[:3], one[4], rank[low + one[0]])
-                    cut = [np.concatenate([c[~many], o]) for c, o in zip(cut, one, strict=True)]
-                    sure = np.concatenate([sure[~many], again])
-                text, start, count, anchor, content = cut
-                row = low + text
-                anchor[sure] = content[sure] = _spread(b, row[sure], start[sure])
-                pack = none[row] << 62 | start << 6 | (count - 1) << 1 | sure
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *(b.column(k).take(at) for k in _PLACE), pa.array(pack)], names)
-
-    return keyed.select(*_PLACE, "none", "text").mapInArrow(run, f"anchor long, content long, id {kind}, h1 long, h2 long, pack long")
-
-
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Segments that may hold repeats: (anchor, id, h1, h2, pack, first)."""
-    place = [F.shiftright("pack", 62), *map(F.col, _PLACE), F.col("pack")]
-    same = Window.partitionBy("anchor", "content").orderBy(*place)
-    alike = Window.partitionBy("anchor")
-    rows = _places(keyed).repartition("anchor").withColumn("nth", F.rank().over(same)).withColumn("row", F.row_number().over(same))
-    # rows of one place (a repeated row of documents) have one rank: the first of them is enough
-    rows = rows.where("row = nth")
-    rows = rows.withColumn("many", F.count("*").over(alike) > 1)
-    return rows.where(_sure() | F.col("many")).select("anchor", *_PLACE, "pack", (F.col("nth") == 1).alias("first"))
+            for _, _, w in runs(b.column("text").to_pylist()):
+                *_, anchor, content, _ = _segments(w)
+                key, where, places = np.unique(anchor, return_inverse=True, return_counts=True)
+                one = np.unique(content, return_index=True)[1]
+                unlike = np.bincount(where[one], minlength=len(key)) if len(key) else places
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(places), pa.array(unlike)], ["anchor", "places", "unlike"])
+
+    return keyed.select("text").mapInArrow(run, "anchor long, places long, unlike long")
+
+
+def _anchors(keyed: DataFrame):
+    """Bitmaps (broadcast) of anchors at several places and of crowded ones."""
+    sums = _counted(keyed).groupBy("anchor").agg(F.sum("places").alias("places"), F.sum("unlike").alias("unlike")).where("places > 1")
+    sums = stored(sums.select(F.col("anchor").bitwiseAND(F.lit(BITS - 1)).alias("bit"), (F.col("unlike") > CROWD).alias("crowded")), "repeat-anchors")
+    send = keyed.sparkSession.sparkContext.broadcast
+    found = send(bitmap(sums.select("bit"), BITS)), send(bitmap(sums.where("crowded").select("bit"), BITS))
+    drop_stored(sums)
+    return found
 
 
-def _sure() -> Column:
-    return F.col("pack").bitwiseAND(F.lit(1)) == 1
+class _Seen:
+    """Representatives that a task has sent: contents in order, with their places."""
+
+    def __init__(self):
+        self.content, self.place = np.zeros(0, np.uint64), None
+
+    def sort(self, content: np.ndarray, place: list[np.ndarray]):
+        """(representative or not, what each segment is a member of): of each content the earliest
+        place is the representative, unless an earlier one went before."""
+        if not len(content):
+            return np.zeros(0, bool), place
+        order = np.lexsort((_ranks(place), content))
+        c = content[order]
+        head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        first, size = order[head], np.diff(np.concatenate([head, [len(c)]]))
+        best = [k[first] for k in place]
+        sent = np.ones(len(first), bool)
+        if self.place is not None:
+            at = np.minimum(np.searchsorted(self.content, c[head]), len(self.content) - 1)
+            known = self.content[at] == c[head]
+            old = [k[at] for k in self.place]
+            sent = ~known | _before(best, old)
+            best = [np.where(sent, new, was) for new, was in zip(best, old)]
+            keep = np.ones(len(self.content), bool)
+            keep[at[known]] = False
+            merged = np.concatenate([self.content[keep], c[head]])
+            place_ = [np.concatenate([k[keep], b]) for k, b in zip(self.place, best)]
+        else:
+            merged, place_ = c[head], best
+        into = np.argsort(merged, kind="stable")
+        self.content, self.place = merged[into], [k[into] for k in place_]
+        lead = np.zeros(len(content), bool)
+        lead[first[sent]] = True
+        owner = []
+        for b in best:
+            spread = np.empty(len(content), b.dtype)
+            spread[order] = np.repeat(b, size)
+            owner.append(spread)
+        return lead, owner
 
 
-def _fetched(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of segments: (anchor, id, h1, h2, pack, first, words)."""
-    lists = wanted.groupBy(*_PLACE).agg(F.collect_list(F.struct("pack", "first", "anchor")).alias("want"))
-    rows = keyed.select(*_PLACE, "text").dropDuplicates(_PLACE).join(lists, _PLACE)
-    kind = keyed.schema["id"].dataType.simpleString()
+def _places(keyed: DataFrame) -> DataFrame:
+    """Segments of anchors at several places: (anchor, content, id, h, pack, words) of representatives,
+    (id, h, pack, of_id, of_h, of_pack) of their members."""
+    shared, crowded = _anchors(keyed)
+    kind = keyed.schema["id"].dataType
+    names = ["anchor", "content", *_PLACE, "pack", "words", "of_id", "of_h", "of_pack"]
+
+    def rows(ids, place, pack, anchor=None, content=None, words=None, owner=None):
+        none = lambda t: pa.nulls(len(pack), t)
+        own = [ids.type, pa.int64()]
+        columns = [none(pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)), none(pa.int64()) if content is None else pa.array(content.view(np.int64)), ids, pa.array(place[2]), pa.array(pack)]
+        columns.append(none(pa.binary()) if words is None else pa.array(words, pa.binary()))
+        columns += [none(own[0]), none(own[1]), none(pa.int64())] if owner is None else [pa.array(owner[1], own[0]), pa.array(owner[2]), pa.array(owner[3])]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        names = ["anchor", *_PLACE, "pack", "first", "words"]
+        seen = _Seen()
         for b in batches:
-            want = b.column("want")
-            for low, high, w in runs(b.column("text").to_pylist()):
-                mine = want.slice(low, high - low)
-                flat = mine.flatten()
-                row = np.repeat(np.arange(high - low), np.diff(mine.offsets.to_numpy()))
-                start, count, _ = _unpacked(flat.field("pack"))
-                begin = w.first[row] + start
-                raw = w.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
-                words = [raw[BYTES * s : BYTES * e] for s, e in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]
-                at = pa.array(low + row)
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), *(b.column(k).take(at) for k in _PLACE), flat.field("pack"), flat.field("first"), pa.array(words, pa.binary())], names)
-
-    return rows.mapInArrow(run, f"anchor long, id {kind}, h1 long, h2 long, pack long, first boolean, words binary")
-
-
-def _unpacked(pack: pa.Array) -> tuple[np.ndarray, ...]:
-    """(first word, windows, whether the id is null)."""
-    p = pack.to_numpy(zero_copy_only=False)
-    return (p & _NULL - 1) >> 6, (p >> 1 & 31) + 1, p >> 62 & 1
-
-
-def _searched(segments: DataFrame) -> DataFrame:
-    """(id, h1, h2, pack, mask): which windows of each segment stand earlier too."""
-    kind = segments.schema["id"].dataType.simpleString()
-    names = [*_PLACE, "pack", "mask"]
-
-    def shard(rows: pa.RecordBatch, done: int):
-        """Of a shard's rows (the first ``done`` are in the index only) those with repeats."""
-        start, count, none = _unpacked(rows.column("pack"))
-        size = count + WINDOW - 1
-        raw = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint8).reshape(-1, BYTES)
-        flat = np.zeros((len(raw), 8), np.uint8)
-        flat[:, :BYTES] = raw
-        flat = flat.view("<u8").ravel().astype(np.uint64)
+            none, ids, h = (_values(b.column(k)) for k in ("none", "id", "h"))
+            for low, _, w in runs(b.column("text").to_pylist()):
+                *cut, whole = _segments(w)
+                cut = [c[has_bit(shared.value, _bits(cut[3]))] for c in cut]
+                many = has_bit(crowded.value, _bits(cut[3]))
+                if many.any():
+                    one = _by_window(w, *(c[many] for c in cut[:4]), whole)
+                    cut = [np.concatenate([c[~many], o]) for c, o in zip(cut, one, strict=True)]
+                text, start, count, anchor, content = cut
+                if not len(text):
+                    continue
+                row = low + text
+                pack = none[row] << 62 | start << 5 | (count - 1)
+                place = [none[row], ids[row], h[row], pack]
+                lead, owner = seen.sort(content, place)
+                begin = w.first[text] + start
+                at = np.flatnonzero(lead)
+                raw = [w.raw[i:j] for i, j in zip(w.start[begin[at]].tolist(), w.end[begin[at] + count[at] + WINDOW - 2].tolist(), strict=True)]
+                take = lambda which: b.column("id").take(pa.array(row[which]))
+                yield rows(take(at), [k[at] for k in place], pack[at], anchor[at], content[at], raw)
+                other = ~lead & ~np.logical_and.reduce([(x == y).astype(bool) for x, y in zip(place, owner)])  # a repeated row is no member of itself
+                at = np.flatnonzero(other)
+                yield rows(take(at), [k[at] for k in place], pack[at], owner=[k[at] for k in owner])
+
+    own = kind.simpleString()
+    return keyed.select(*_PLACE, "none", "text").mapInArrow(run, f"anchor long, content long, id {own}, h long, pack long, words binary, of_id {own}, of_h long, of_pack long")
+
+
+def _searched(leads: DataFrame) -> DataFrame:
+    """(id, h, pack, mask, whole): which windows of each representative stand earlier too, and
+    whether the index has all its words together."""
+    kind = leads.schema["id"].dataType.simpleString()
+    names = [*_PLACE, "pack", "mask", "whole"]
+
+    def shard(rows: pa.Table) -> pa.RecordBatch:
+        """Of whole anchors, rows in order of anchor and content."""
+        rows = rows.combine_chunks().to_batches()[0]
+        pack = _values(rows.column("pack"))
+        none, start, count = pack >> 62 & 1, (pack & _NULL - 1) >> 5, (pack & 31) + 1
+        rank = _ranks([none, _values(rows.column("id")), _values(rows.column("h")), start])
+        anchor, content = _values(rows.column("anchor")), _values(rows.column("content"))
+        head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+        group = np.cumsum(np.bincount(head, minlength=len(rank)))[: len(rank)] - 1
+        least = np.minimum.reduceat(rank, head)
+        first = head + np.array([int(np.argmin(rank[a:z])) for a, z in zip(head, [*head[1:], len(rank)])]) if len(head) < len(rank) else head
+        # each content once, at its first place
+        data = np.frombuffer(b"\n".join(rows.column("words").take(pa.array(first)).to_pylist()), np.uint8)
+        flat = word_ids(data, SPACE[data])[2].astype(np.uint64)
+        size = count[first] + WINDOW - 1
         base = np.cumsum(size) - size
         step = np.arange(len(flat)) - np.repeat(base, size)
-        place = np.repeat(_ranks(rows, none) << 32 | start, size) + step  # of each word, in order of places
-        first = rows.column("first").to_numpy(zero_copy_only=False)
-        inside = np.repeat(first, size)
-        index = FMIndex(flat[inside], size[first], place[inside])
+        number = np.repeat(rank[first] << 32 | start[first], size) + step  # of each word, in order of places
+        index = FMIndex(flat, size, number)
         symbol = index.symbols(flat)
-        mask = np.zeros(len(count), np.int64)
-        # whole segments: those that are no first place
-        copies = np.flatnonzero(~first)
-        steps, low, high = index.matching(symbol, (base + size)[copies], size[copies])
-        fine = steps == size[copies]
-        fine[fine] &= index.least(low[fine], high[fine]) < place[base[copies[fine]]]
-        mask[copies[fine]] = (1 << count[copies[fine]]) - 1
-        # window by window: first places, and what does not occur whole
-        rest = np.flatnonzero((mask == 0) & (np.arange(len(count)) >= done))
-        seg = np.repeat(rest, count[rest])
-        j = np.arange(len(seg)) - np.repeat(np.cumsum(count[rest]) - count[rest], count[rest])
-        at = base[seg] + j
-        steps, low, high = index.matching(symbol, at + WINDOW, np.full(len(at), WINDOW))
+        # matching statistics of whole contents, for all their representatives
+        steps, low, high = index.matching(symbol, base + size, size)
+        found = steps == size
+        earliest = np.full(len(size), np.iinfo(np.int64).max)
+        earliest[found] = index.least(low[found], high[found])
+        own = rank << 32 | start
+        mask = np.where(earliest[group] < own, (1 << count) - 1, 0)
+        # window by window: first places
+        seg = np.repeat(np.arange(len(first)), count[first])
+        j = np.arange(len(seg)) - np.repeat(np.cumsum(count[first]) - count[first], count[first])
+        steps, low, high = index.matching(symbol, base[seg] + j + WINDOW, np.full(len(seg), WINDOW))
         hit = np.flatnonzero(steps == WINDOW)
-        hit = hit[index.least(low[hit], high[hit]) < place[at[hit]]]
-        np.bitwise_or.at(mask, seg[hit], 1 << j[hit])
-        s = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(s)) for k in (*_PLACE, "pack")), pa.array(mask[s])], names)
+        hit = hit[index.least(low[hit], high[hit]) < number[base[seg[hit]] + j[hit]]]
+        part = np.zeros(len(first), np.int64)
+        np.bitwise_or.at(part, seg[hit], 1 << j[hit])
+        at_first = rank == least[group]
+        mask[at_first] = part[group[at_first]]
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in (*_PLACE, "pack")), pa.array(mask), pa.array(found[group])], names)
 
     def run(batches):
-        held, words, done = [], 0, 0
-
-        def flush(last: bool):
-            """Searches what is held; of an anchor that goes on, its first places stay."""
-            nonlocal held, words, done
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            out = shard(rows, done)
-            held, words, done = [], 0, 0
-            if not last:
-                anchor = rows.column("anchor").to_numpy()
-                stay = np.flatnonzero((anchor == anchor[-1]) & rows.column("first").to_numpy(zero_copy_only=False))
-                held, done = [rows.take(pa.array(stay))], len(stay)
-            return out
-
+        held, words, last = [], 0, None
         for b in batches:
-            anchor, first = b.column("anchor").to_numpy(), b.column("first").to_numpy(zero_copy_only=False)
-            size = np.cumsum(_unpacked(b.column("pack"))[1] + WINDOW - 1)
-            before = held[-1].column("anchor")[-1].as_py() if held else None
-            edges = np.flatnonzero(np.concatenate([[before is not None and before != anchor[0]], anchor[1:] != anchor[:-1]]))
-            copies = np.flatnonzero(~first)
+            anchor, content = _values(b.column("anchor")), _values(b.column("content"))
+            new = np.concatenate([[(anchor[0], content[0]) != last], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+            last = anchor[-1], content[-1]
+            size = np.cumsum(np.where(new, (_values(b.column("pack")) & 31) + WINDOW, 1))
+            edges = np.flatnonzero(np.concatenate([[bool(held) and held[-1].column("anchor")[-1].as_py() != anchor[0]], anchor[1:] != anchor[:-1]]))
             low, used = 0, 0
-            while low < len(anchor):
-                # up to the end of the anchor that fills the shard; within an anchor of very many copies
-                # wherever it is full four times over, but after all of its first places
-                at = low if words >= SHARD_WORDS else int(np.searchsorted(size, SHARD_WORDS - words + used)) + 1
-                k = int(np.searchsorted(edges, at))
-                cut = int(edges[k]) if k < len(edges) else len(anchor)
-                c = int(np.searchsorted(copies, max(low, int(np.searchsorted(size, 4 * SHARD_WORDS - words + used)))))
-                end = min(cut, int(copies[c]) + 1 if c < len(copies) else len(anchor))
-                if end > low:
-                    held.append(b.slice(low, end - low))
-                    words += int(size[end - 1]) - used
-                    used, low = int(size[end - 1]), end
-                ends = end == cut < len(anchor)
-                if (ends and words >= SHARD_WORDS) or (words >= 4 * SHARD_WORDS and not held[-1].column("first")[-1].as_py()):
-                    out = flush(ends)
-                    if len(out):
-                        yield out
-        if held and sum(map(len, held)) > done:
-            out = flush(True)
-            if len(out):
-                yield out
-
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", F.desc("first"))
-    return dealt.mapInArrow(run, f"id {kind}, h1 long, h2 long, pack long, mask long")
+            for cut in edges.tolist():
+                upto = int(size[cut - 1]) if cut else 0
+                if words + upto - used >= SHARD_WORDS:
+                    if cut > low:
+                        held.append(b.slice(low, cut - low))
+                    yield shard(pa.Table.from_batches(held))
+                    held, words, low, used = [], 0, cut, upto
+            if low < len(anchor):
+                held.append(b.slice(low))
+                words += int(size[-1]) - used
+        if held:
+            yield shard(pa.Table.from_batches(held))
+
+    dealt = leads.repartition("anchor").sortWithinPartitions("anchor", "content")
+    return dealt.mapInArrow(run, f"id {kind}, h long, pack long, mask long, whole boolean")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, h1, h2, start, mask), stored: bit j tells that the window at word start + j repeats."""
-    keyed = _keyed(docs)
-    shared = stored(_shared(keyed), "repeat-segments")
-    _release(docs.sparkSession)
-    windows = (F.shiftright("pack", 1).bitwiseAND(F.lit(31)) + 1).cast("int")
-    copies = shared.where(_sure()).select(*_PLACE, "pack", (F.pow(F.lit(2.0), windows).cast("long") - 1).alias("mask"))
-    words = stored(_fetched(keyed, shared.where(~_sure())), "repeat-words")
-    _release(docs.sparkSession)
-    found = copies.unionByName(_searched(words)).select(*_PLACE, F.shiftright(F.col("pack").bitwiseAND(F.lit(_NULL - 1)), 6).alias("start"), "mask")
-    found = stored(found, "repeats")
-    drop_stored(words)
-    drop_stored(shared)
-    _release(docs.sparkSession)
+    """(id, h, start, mask), stored: bit j tells that the window at word start + j repeats."""
+    places = stored(_places(_keyed(docs)), "repeat-places")
+    told = stored(_searched(places.where("words IS NOT NULL").drop("of_id", "of_h", "of_pack")), "repeat-answers")
+    whole = told.where("whole").select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("pack").alias("of_pack")).distinct()
+    windows = F.col("pack").bitwiseAND(F.lit(31)).cast("int") + 1
+    members = places.where("of_pack IS NOT NULL").join(whole, ["of_id", "of_h", "of_pack"])
+    cuts = members.select(*_PLACE, "pack", (F.pow(F.lit(2.0), windows).cast("long") - 1).alias("mask")).unionByName(told.where("mask <> 0").drop("whole"))
+    found = stored(cuts.select(*_PLACE, F.shiftright(F.col("pack").bitwiseAND(F.lit(_NULL - 1)), 5).alias("start"), "mask"), "repeats")
+    drop_stored(places)
+    drop_stored(told)
     return found
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished jobs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and the kept text).
 

@@ -682,7 +682,8 @@ def test_languages_without_a_list_neither_go_nor_cost_others(spark, russian, ger
 @pytest.mark.parametrize("crowd", [substring_dedup.CROWD, 2])  # 2: the ends of the shared passage go window by window
 def test_substrings(corpus, texts, crowd, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
-    assert substring_dedup._crowded(substring_dedup._keyed(corpus)).any() == (crowd == 2)
+    shared, crowded = substring_dedup._anchors(substring_dedup._keyed(corpus))
+    assert shared.value.any() and crowded.value.any() == (crowd == 2)
     order = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0))
     shared = [i for i, n in Counter(i for i, _ in order).items() if n > 1]  # ids with two texts have an order of their own
     seen, want = set(), {}
@@ -707,7 +708,7 @@ def test_substrings(corpus, texts, crowd, monkeypatch):
     assert substring_dedup.dedup(empty(corpus)).count() == 0
 
 
-@pytest.mark.parametrize("shard", [100, substring_dedup.SHARD_WORDS])  # 100: anchors of many copies go in parts
+@pytest.mark.parametrize("shard", [100, substring_dedup.SHARD_WORDS])  # 100: a shard an anchor, nearly
 @pytest.mark.parametrize("kind", ["long", "string", "date"])
 def test_ids_of_any_type_and_none(spark, kind, shard, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
@@ -743,6 +744,15 @@ def test_repeated_rows_next_to_a_shared_passage(spark):
     assert len(again) == 16 and {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in again} == {(i, *v) for i, v in got.items()}
 
 
+def test_only_the_index_reports(corpus, monkeypatch):
+    """Without the index's answers nothing is removed, members of representatives included."""
+    assert substring_dedup.repeats(corpus).count() > 10
+    real = substring_dedup._searched
+    monkeypatch.setattr(substring_dedup, "_searched", lambda leads: real(leads).where("false"))
+    assert substring_dedup._places(substring_dedup._keyed(corpus)).where("of_pack IS NOT NULL").count() > 10
+    assert substring_dedup.repeats(corpus).count() == 0
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     sizes = rng.integers(6, 14, 40)
