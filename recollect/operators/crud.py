@@ -57,18 +57,20 @@ def link_by_id(links: DataFrame, link_id: int) -> DataFrame:
     return links.where(F.col("id") == link_id)
 
 
-def find_by_entities(nodes: DataFrame, entities: list[str], min_strength: float = 0.0, limit: int = 50, prelimit: int | None = -1) -> DataFrame:
+def find_by_entities(nodes: DataFrame, entities: list[str], min_strength: float = 0.0, limit: int | None = 50, prelimit: int | None = -1) -> DataFrame:
     """Nodes that share entities, most matches first: adds ``matched`` (array).
 
     Only the ``prelimit`` strongest nodes are looked at (by default as many as ``limit``,
-    which is what callers of the original semantics expect); None looks at all.
+    which is what callers of the original semantics expect); None looks at all. A ``limit`` of
+    None returns all matches.
     """
     rows = nodes.where(F.col("entities").isNotNull() & (F.col("strength") >= min_strength))
     if prelimit is not None:
         rows = all_nodes(rows, limit if prelimit == -1 else prelimit)
     wanted = F.array(*[F.lit(e.lower()) for e in entities]).cast("array<string>")
     rows = rows.withColumn("matched", F.filter("entities", lambda e: F.array_contains(wanted, F.lower(e))))
-    return rows.where(F.size("matched") > 0).orderBy(F.desc(F.size("matched")), F.desc("strength"), "id").limit(limit)
+    rows = rows.where(F.size("matched") > 0).orderBy(F.desc(F.size("matched")), F.desc("strength"), "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def entity_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:

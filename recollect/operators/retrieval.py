@@ -19,7 +19,7 @@ from ..functions.ner import entities_of, extract_entities
 from ..sources.store import GraphState, Memory, settled
 from . import crud
 from .dynamics import on_traverse
-from .search import SearchIndex, search, search_many
+from .search import SearchIndex, StoredIndex, search, search_many
 from .walk import walk_many
 
 # fixed values: relations and weights of links that writing makes
@@ -95,10 +95,12 @@ def retrieve(
     tier: RecallTier = RecallTier.BURN,
     max_hops: int | None = None,
     min_node_strength: float | None = None,
-    index: SearchIndex | None = None,
+    index: SearchIndex | StoredIndex | None = None,
     segment=None,
+    prelimit: int | None = CANDIDATES,
 ) -> Recall:
-    """Paths for a query. ``top_k`` of 0 means the tier's own.
+    """Paths for a query. ``top_k`` of 0 means the tier's own. Entities are looked up among the
+    ``prelimit`` strongest nodes, as the reference semantics have it, or (None) among all.
 
     Branches: text search alone (WARM); without entities text hits as entries of a walk,
     or the hits flat, or the strongest nodes; with entities nodes that share them as
@@ -115,10 +117,10 @@ def retrieve(
     strongest = lambda: _flat(crud.search_nodes(state.nodes, min_strength=least, limit=top_k), [F.desc("strength"), "id"])
     entities = extract_entities(query, segment)
     if entities:
-        matches = crud.find_by_entities(state.nodes, entities, least)
-        entries = [(i, r["id"]) for i, r in enumerate(matches.select("id").collect())]  # at most 50 rows
-        if entries:
-            walked = _walked(state, state.spark.createDataFrame(entries, "place int, id string"), hops)
+        matches = settled(crud.find_by_entities(state.nodes, entities, least, prelimit, prelimit).select("id", F.size("matched").alias("n"), "strength"))
+        if not matches.isEmpty():
+            place = crud.numbered(matches, [F.desc("n"), F.desc("strength"), "id"], 0).select(F.col("_id").cast("int").alias("place"), "id")
+            walked = _walked(state, place, hops)
             return Recall(_ranked(walked, depth.min_score, top_k), "entity walk", tier in DEEP)
         if depth.text_first and not (text := hits()).isEmpty():
             return Recall(_flat(text, ["place"]), "text")
@@ -134,7 +136,7 @@ def retrieve(
     return Recall(found, "text walk")
 
 
-def retrieve_many(state: GraphState, queries: DataFrame, index: SearchIndex | None = None) -> DataFrame:
+def retrieve_many(state: GraphState, queries: DataFrame, index: SearchIndex | StoredIndex | None = None, prelimit: int | None = CANDIDATES) -> DataFrame:
     """Paths for a table of queries: (query_id, branch, place, node_ids, link_ids, score, reinforce).
 
     ``queries`` has query_id, query and, if wanted, tier (name or sign; unknown or null: BURN),
@@ -161,7 +163,8 @@ def retrieve_many(state: GraphState, queries: DataFrame, index: SearchIndex | No
     q = settled(q.withColumn("named", F.coalesce(F.size("entities"), F.lit(0)) > 0))
 
     # entities among the strongest nodes: those above any bound are the first of one list
-    pool = crud.all_nodes(state.nodes.where(F.col("entities").isNotNull()), CANDIDATES).select("id", "strength", F.explode("entities").alias("x")).select("id", "strength", F.lower("x").alias("e"))
+    named = state.nodes.where(F.col("entities").isNotNull())
+    pool = (named if prelimit is None else crud.all_nodes(named, prelimit)).select("id", "strength", F.explode("entities").alias("x")).select("id", "strength", F.lower("x").alias("e"))
     wanted = q.where("named").select("query_id", "least", F.explode(F.array_distinct(F.transform("entities", F.lower))).alias("e"))
     matched = wanted.join(pool, "e").where("strength >= least").groupBy("query_id", "id", "strength").agg(F.count("*").alias("n"))
     matched = settled(matched.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("strength"), "id")) - 1).select("query_id", "place", "id"))
@@ -304,11 +307,11 @@ def memory_recall(memory: Memory, query: str, top_k: int = 5, tier: str = "燃",
     """Recall by tier sign (unknown: BURN); reinforcement is committed."""
     from ..sources.store import _now
 
-    found = retrieve(memory.state, query, top_k, next((t for t in RecallTier if t.value == tier), RecallTier.BURN), segment=memory.segment)
+    found = retrieve(memory.state, query, top_k, next((t for t in RecallTier if t.value == tier), RecallTier.BURN), index=memory.index(), segment=memory.segment)
     found = replace(found, paths=settled(found.paths))
     out = to_dicts(memory.state, found.paths)
     if found.reinforce and any(r["link_ids"] for r in out):
-        memory.change(lambda state: state.with_(links=found.reinforced(state.links, _now(now))))
+        memory.change(lambda state: state.with_(links=found.reinforced(state.links, _now(now))), ids=[])
     return out
 
 
@@ -316,7 +319,7 @@ def memory_write(memory: Memory, content: str, node_type: str = "fact", link_to:
     from ..sources.store import _now
 
     node_id = str(uuid.uuid4())
-    memory.change(lambda state: write_memory(state, content, _now(now), node_type, node_id=node_id, link_to=link_to, segment=memory.segment)[0])
+    memory.change(lambda state: write_memory(state, content, _now(now), node_type, node_id=node_id, link_to=link_to, segment=memory.segment)[0], ids=[node_id])
     return memory.get_node(node_id)
 
 

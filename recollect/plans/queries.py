@@ -7,15 +7,18 @@ regular expressions; tests hold it against independent models instead.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ner
+from ..functions.text import search_tokens
 from ..operators import consolidation, crud, dynamics, inspection, profile, retrieval, search, walk
 from ..sources import fixtures
 from ..sources.fixtures import NOW
+from ..sources.store import Memory, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -318,8 +321,7 @@ for _name, _text, _counts, _holds in (
 
     @_query(_fts_sql(_counts, _holds), _name)
     def _fts(spark, sf_dir, text=_text):
-        index = search.build_index(fixtures.nodes(spark, sf_dir))
-        return search.bm25(index, text).select(F.col("node_id").alias("id"), _six("score").alias("score"))
+        return search.bm25(fixtures.index(spark, sf_dir), text).select(F.col("node_id").alias("id"), _six("score").alias("score"))
 
 
 _AFTER = ", after AS (SELECT id, CASE WHEN access_count = 2 THEN 'hation again' ELSE content END AS content FROM nodes WHERE access_count <> 3)"
@@ -334,6 +336,69 @@ def fts_refreshed(spark, sf_dir):
     return search.bm25(index, "hation").select(F.col("node_id").alias("id"), _six("score").alias("score"))
 
 
+_STORED = """, after AS (
+  SELECT id, CASE WHEN access_count = 2 THEN 'hation again' ELSE content END AS content FROM nodes WHERE access_count <> 3
+  UNION ALL SELECT 'new ' || id, 'hation anew ' || content FROM nodes WHERE access_count = 4)"""
+
+
+@_query(_STORED + _fts_sql([_term_sql("term = 'hation'"), _term_sql("term = 'again'")], "t0 > 0 OR t1 > 0").replace("FROM nodes)", "FROM after)"))
+def fts_store_refreshed(spark, sf_dir):
+    """A store's index after nodes were rewritten, deleted and added: a segment a change, and a merge."""
+    memory = Memory.open(spark, f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}")
+    memory.commit(fixtures.state(spark, sf_dir))
+    again = F.when(F.col("access_count") == 2, "hation again").otherwise(F.col("content"))
+    memory.change(lambda s: s.with_(nodes=s.nodes.withColumn("content", again)))
+    memory.change(lambda s: s.with_(nodes=s.nodes.where("access_count <> 3")))
+    more = F.struct(F.concat(F.lit("new "), "id").alias("id"), F.concat(F.lit("hation anew "), "content").alias("content"))
+    added = lambda n: n.where("access_count = 4").withColumn("x", more).withColumns({"id": F.col("x.id"), "content": F.col("x.content")}).drop("x")
+    memory.change(lambda s: s.with_(nodes=s.nodes.unionByName(added(s.nodes))))
+    return search.bm25(memory.index().merged(whole=True), "hation OR again").select(F.col("node_id").alias("id"), _six("score").alias("score"))
+
+
+_TOP = _fts_sql([_term_sql("term = 'hation'"), _term_sql("term = 'the'")], "t0 > 0 OR t1 > 0")
+
+
+@_query(f"{_TOP[: _TOP.rindex('SELECT w.id')]}SELECT * FROM ({_TOP[_TOP.rindex('SELECT w.id') :]}) ORDER BY score DESC, id LIMIT 25")
+def fts_topk(spark, sf_dir):
+    """The best nodes, from the blocks that can hold them."""
+    return search.top_hits(fixtures.index(spark, sf_dir), "hation OR the", 25).select(F.col("node_id").alias("id"), _six("score").alias("score"))
+
+
+def _asked(spark, sf_dir, query):
+    """A query from every hundredth document."""
+    rows = fixtures.table(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    return rows.select(F.col("doc_id").alias("query_id"), query.alias("query"), F.lit(10).alias("limit"))
+
+
+@_query(
+    _TOK.rstrip().rstrip(",")
+    + """, q AS (SELECT CAST(substr(id, 2) AS BIGINT) AS query_id, substr(term, 1, 4) AS p FROM tok WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0 AND term <> ''
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
+c AS (SELECT query_id, id, count(*) AS t FROM tok JOIN q ON starts_with(term, p) GROUP BY ALL),
+d AS (SELECT query_id, count(*) AS df FROM c GROUP BY 1), s AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM len),
+w AS (SELECT query_id, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * dl / mean)) AS score FROM c JOIN d USING (query_id) JOIN len USING (id), s)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place, round(score, 6) AS score FROM w QUALIFY place <= 10"""
+)
+def fts_prefix_batch(spark, sf_dir):
+    """The beginning of each first word, for a table of queries."""
+    asked = _asked(spark, sf_dir, F.concat(F.lit('"'), F.substring(F.get(search_tokens(F.col("text")), 0), 1, 4), F.lit('" *')))
+    return search.search_many(fixtures.nodes(spark, sf_dir), asked.where("query IS NOT NULL"), fixtures.index(spark, sf_dir)).select("query_id", "id", "place", _six("score").alias("score"))
+
+
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query(
+    f"""SELECT query_id, place, id FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS place, id
+  FROM (SELECT doc_id AS query_id, '%' || {_FOLDED.format("substr(text, 11, 5) || '%' || substr(text, 40, 4)")} || '%' AS p FROM documents WHERE doc_id % 100 = 0)
+  JOIN nodes ON {_FOLDED.format("content")} LIKE p OR {_FOLDED.format("entities[1]")} LIKE p OR {_FOLDED.format("entities[2]")} LIKE p) WHERE place <= 10"""
+)
+def like_batch(spark, sf_dir):
+    """Two pieces of every hundredth document, one behind the other."""
+    return search.like_many(fixtures.nodes(spark, sf_dir), _asked(spark, sf_dir, F.concat(F.substring("text", 11, 5), F.lit("%"), F.substring("text", 40, 4))))
+
+
 # ---- walks
 
 

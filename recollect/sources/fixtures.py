@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LINKS, NODES
-from .store import GraphState
+from .segments import StoredIndex, build
+from .store import GraphState, shared_folder
 
 NOW = 1720000000
 START = 1700000000
@@ -44,6 +47,21 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(labels, "doc_id", "left").select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in NODES])
 
 
+_INDEXES: dict[tuple, StoredIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored search index of :func:`nodes`, written when an application first asks for it
+    and again when a file of the table has changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = table(spark, sf_dir, "documents").inputFiles()
+    status = [at(f).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at(f)) for f in files]
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f, s.getLen(), s.getModificationTime()) for f, s in zip(files, status))))
+    if key not in _INDEXES:
+        _INDEXES[key] = build(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", nodes(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two families of links: to one of the first 200 documents, and to the next document."""
     d = table(spark, sf_dir, "documents").select("doc_id")

@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LINKS, NODES, SESSIONS, TABLES
+from .segments import StoredIndex, build
+
+
+_META = "next_link_id long, marks map<string,long>, index string"
 
 
 class Conflict(RuntimeError):
@@ -31,7 +35,7 @@ class Conflict(RuntimeError):
 class GraphState:
     """Nodes, links, sessions; ``next_link_id`` is a high-water mark, so ids are never reused.
     ``marks`` has the last batch that each stream has applied, ``version`` the number this was
-    loaded from (0: none)."""
+    loaded from (0: none), ``index`` names the segments of the search index of that version."""
 
     nodes: DataFrame
     links: DataFrame
@@ -39,6 +43,7 @@ class GraphState:
     next_link_id: int = 1
     marks: dict[str, int] = field(default_factory=dict)
     version: int = 0
+    index: str = ""
 
     @property
     def spark(self) -> SparkSession:
@@ -69,7 +74,7 @@ class GraphState:
         draft = f"{path}/_draft-{uuid.uuid4().hex}"
         for name in TABLES:
             getattr(self, name).write.parquet(f"{draft}/{name}")
-        meta = self.spark.createDataFrame([(self.next_link_id, self.marks)], "next_link_id long, marks map<string,long>")
+        meta = self.spark.createDataFrame([(self.next_link_id, self.marks, self.index)], _META)
         meta.coalesce(1).write.parquet(f"{draft}/meta")
         while True:
             version = (max(_versions(files, folder, claims=True), default=0) if after is None else after) + 1
@@ -99,20 +104,31 @@ class GraphState:
         version = version or max(found)
         at = f"{path}/v={version:08d}"
         tables = {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in TABLES.items()}
-        meta = spark.read.schema("next_link_id long, marks map<string,long>").parquet(f"{at}/meta").first()
-        return GraphState(**tables, next_link_id=meta["next_link_id"], marks=dict(meta["marks"] or {}), version=version)
+        meta = spark.read.schema(_META).parquet(f"{at}/meta").first()
+        return GraphState(**tables, next_link_id=meta["next_link_id"], marks=dict(meta["marks"] or {}), version=version, index=meta["index"] or "")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where a session has none, a temporary
+    folder serves local sessions (tests); elsewhere that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or _LOCAL.get(spark.sparkContext.applicationId, "")
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="recollect-")
+    return named.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out, for loops: a checkpoint, which cuts lineage and survives lost
-    executors, in the folder that ``spark.checkpoint.dir`` names. Where a session has none, a
-    temporary folder serves local sessions (tests); elsewhere that is an error."""
+    """``df`` worked out, for loops: a checkpoint in :func:`shared_folder`, which cuts lineage
+    and survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not named and context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="recollect-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -138,15 +154,41 @@ class Memory:
     It holds the latest state as a value; nothing is shared between handles but the folder. A
     change that meets someone else's version is made again on that. ``segment`` (a function
     from a text to its words) turns the Chinese branch of writing and searching on.
+
+    A store in files keeps a search index: every change adds a segment of the nodes that it
+    wrote or deleted, and searches read the index, never the texts. ``indexed=False`` leaves
+    the index out; it is then made by the next change through a handle that keeps one.
     """
 
-    def __init__(self, state: GraphState, path: str | None = None, segment=None):
-        self.state, self.path, self.segment = state, path, segment
+    def __init__(self, state: GraphState, path: str | None = None, segment=None, indexed: bool = True):
+        self.state, self.path, self.segment, self.indexed = state, path, segment, indexed
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str | None = None, segment=None) -> Memory:
+    def open(cls, spark: SparkSession, path: str | None = None, segment=None, indexed: bool = True) -> Memory:
         """The store at ``path``, made on first commit; without a path, one in memory."""
-        return cls(GraphState.load(spark, path) if path else GraphState.empty(spark), path, segment)
+        return cls(GraphState.load(spark, path) if path else GraphState.empty(spark), path, segment, indexed)
+
+    def index(self) -> StoredIndex | None:
+        """The search index of the current version; None where the store has none."""
+        return StoredIndex.from_json(self.state.spark, f"{self.path}/index", self.state.index) if self.path and self.state.index else None
+
+    def _indexed(self, state: GraphState, ids: list[str] | None) -> str:
+        """The segments of ``state``'s index: those of the version that it comes from, and one of what changed."""
+        if not self.indexed:
+            return ""
+        spark, at = state.spark, f"{self.path}/index"
+        if not state.index:
+            return build(spark, at, state.nodes, self.segment).to_json()
+        before = (self.state if self.state.version == state.version else GraphState.load(spark, self.path, state.version)).nodes
+        if ids is None:
+            new = state.nodes.select(F.col("id").alias("_id"), F.col("content").alias("_content"))
+            both = before.select("id", "content").join(new, F.col("id") == F.col("_id"), "full")
+            changed = both.where("id IS NULL OR _id IS NULL OR NOT content <=> _content").select(F.coalesce("id", "_id").alias("id"))
+        elif not ids:
+            return state.index
+        else:
+            changed = spark.createDataFrame([(i,) for i in ids], "id string")
+        return StoredIndex.from_json(spark, at, state.index).changed(before, state.nodes, changed, self.segment).to_json()
 
     def refresh(self) -> GraphState:
         """The latest version on disk."""
@@ -154,22 +196,23 @@ class Memory:
             self.state = GraphState.load(self.state.spark, self.path)
         return self.state
 
-    def commit(self, state: GraphState) -> GraphState:
+    def commit(self, state: GraphState, ids: list[str] | None = None) -> GraphState:
         """Makes ``state`` the current one, on disk too; either way lineage is cut.
-        :class:`Conflict` if there is a version that ``state`` does not come from."""
+        :class:`Conflict` if there is a version that ``state`` does not come from. ``ids`` names
+        the nodes whose texts may have changed; without it they are found by comparing."""
         if self.path:
-            version = state.save(self.path, after=state.version)
+            version = state.with_(index=self._indexed(state, ids)).save(self.path, after=state.version)
             state = GraphState.load(state.spark, self.path, version)
         else:
             state = state.with_(**{name: settled(getattr(state, name)) for name in TABLES})
         self.state = state
         return state
 
-    def change(self, make, tries: int = 10) -> GraphState:
+    def change(self, make, tries: int = 10, ids: list[str] | None = None) -> GraphState:
         """Commits ``make(state)``, again from the latest version after a conflict."""
         for k in range(tries):
             try:
-                return self.commit(make(self.state))
+                return self.commit(make(self.state), ids)
             except Conflict:
                 time.sleep(min(5, 0.05 * 2**k))  # the other version may still be on its way
                 self.refresh()
@@ -217,7 +260,7 @@ class Memory:
         """Nodes by full-text search, best first."""
         from ..operators import search
 
-        found = search.search(self.state.nodes, query, limit, segment=self.segment)
+        found = search.search(self.state.nodes, query, limit, self.index(), self.segment)
         return as_dicts(found.orderBy("place").drop("place", "score"))
 
     # single-row conveniences over the batch operators
@@ -226,7 +269,7 @@ class Memory:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(node_id, content, node_type, strength, list(entities or []), decay_rate)], "id string, content string, node_type string, strength double, entities array<string>, decay_rate double")
-        self.change(lambda s: crud.create_nodes(s, new, _now(now), strict=True))
+        self.change(lambda s: crud.create_nodes(s, new, _now(now), strict=True), ids=[node_id])
         return self.get_node(node_id)
 
     def get_node(self, node_id: str) -> dict | None:
@@ -235,7 +278,7 @@ class Memory:
     def update_node(self, node_id: str, **changes) -> dict | None:
         from ..operators import crud
 
-        self.change(lambda s: crud.update_nodes(s, [node_id], changes))
+        self.change(lambda s: crud.update_nodes(s, [node_id], changes), ids=[node_id] if "content" in changes else [])
         return self.get_node(node_id)
 
     def delete_node(self, node_id: str) -> bool:
@@ -243,14 +286,14 @@ class Memory:
 
         found = self.get_node(node_id) is not None
         if found:
-            self.change(lambda s: crud.delete_nodes(s, s.spark.createDataFrame([(node_id,)], "id string")))
+            self.change(lambda s: crud.delete_nodes(s, s.spark.createDataFrame([(node_id,)], "id string")), ids=[node_id])
         return found
 
     def create_link(self, source_id: str, target_id: str, relation: str = "related_to", weight: float = 0.3, now: int | None = None) -> dict:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(source_id, target_id, relation, weight)], "source_id string, target_id string, relation string, weight double")
-        after = self.change(lambda s: crud.create_links(s, new, _now(now), strict=True))
+        after = self.change(lambda s: crud.create_links(s, new, _now(now), strict=True), ids=[])
         return self.get_link(after.next_link_id - 1)
 
     def get_link(self, link_id: int) -> dict | None:
@@ -259,7 +302,7 @@ class Memory:
     def update_link(self, link_id: int, **changes) -> dict | None:
         from ..operators import crud
 
-        self.change(lambda s: crud.update_links(s, [link_id], changes))
+        self.change(lambda s: crud.update_links(s, [link_id], changes), ids=[])
         return self.get_link(link_id)
 
     def delete_link(self, link_id: int) -> bool:
@@ -267,23 +310,23 @@ class Memory:
 
         found = self.get_link(link_id) is not None
         if found:
-            self.change(lambda s: crud.delete_links(s, s.spark.createDataFrame([(link_id,)], "id long")))
+            self.change(lambda s: crud.delete_links(s, s.spark.createDataFrame([(link_id,)], "id long")), ids=[])
         return found
 
     def create_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.create_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
+        self.change(lambda s: crud.create_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[])
 
     def end_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.end_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)))
+        self.change(lambda s: crud.end_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[])
 
     def increment_turns(self, session_id: str) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.increment_turns(s, s.spark.createDataFrame([(session_id,)], "id string")))
+        self.change(lambda s: crud.increment_turns(s, s.spark.createDataFrame([(session_id,)], "id string")), ids=[])
 
     def count_nodes(self) -> int:
         return self.state.nodes.count()
