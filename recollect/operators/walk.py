@@ -7,7 +7,6 @@ path that finds it, even where that path is then dropped for its score.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,71 +112,85 @@ def walk_graph(nodes: DataFrame, links: DataFrame, entry: str, max_hops: int = 3
     return numbered(every, ["best", "hop", "order"], 1).select(F.col("_id").alias("place"), "node_ids", "link_ids", "score")
 
 
-def _ordered(entries: list[tuple[str, float]], around: dict[str, list[tuple]], hops: int) -> list[tuple]:
-    """(entry place, place in its walk, node_ids, link_ids, score); ``around`` lists the steps
-    (nbr, strength, weight, link) of a node in order."""
-    visited: set[str] = set()
-    out = []
-    for k, (entry, strength) in enumerate(entries):
-        level = [([entry], [], strength)]
-        paths = list(level)
-        for _ in range(hops):
-            ahead = []
-            for ids, links, score in level:
-                for nbr, s, weight, link in around.get(ids[-1], ()):
-                    if nbr in visited:
-                        continue
-                    visited.add(nbr)
-                    new = score * weight * s * HOP_DECAY
-                    if new >= MIN_PATH_SCORE and nbr not in ids:
-                        ahead.append(([*ids, nbr], [*links, link], new))
-            if not ahead:
+def _around(links: DataFrame, starts: DataFrame, max_hops: int, min_link_weight: float) -> DataFrame:
+    """(tip, nbr, dir, weight, link_id) of all nodes that a walk could pass, settled: every node is
+    expanded once, whichever queries and entries reach it, and links are ranked around those only."""
+    reach = inner = starts.select(F.col("id").alias("tip")).distinct()
+    near = None
+    for hop in range(max_hops):
+        ahead = settled(steps(links, min_link_weight, tips=reach)) if max_hops > 1 else steps(links, min_link_weight, tips=reach)
+        near = ahead if near is None else near.unionByName(ahead)
+        if hop + 1 < max_hops:
+            reach = settled(ahead.select(F.col("nbr").alias("tip")).distinct().join(inner, "tip", "left_anti"))
+            if reach.isEmpty():
                 break
-            paths += ahead
-            level = ahead
-        paths.sort(key=lambda p: -p[2])
-        out += [(k, i, *p) for i, p in enumerate(paths)]
+            inner = inner.unionByName(reach)
+    return near
+
+
+def _claims(starts: DataFrame, around: DataFrame, before: DataFrame | None, max_hops: int) -> DataFrame:
+    """All walks side by side: (query_id, place, nbr, hop, order, node_ids, link_ids, score, alive).
+
+    A walk claims the nodes that its levels reach first, by the order of their steps, but none
+    that ``before`` (query_id, nbr, by) gives to an earlier entry.
+    """
+    none = F.array().cast("array<struct<dir:int,w:double,link:bigint>>")
+    level = starts.select("query_id", "place", "hops", none.alias("order"), F.col("id").alias("tip"), F.array("id").alias("node_ids"), F.array().cast("array<long>").alias("link_ids"), F.col("strength").alias("score"))
+    every, held = None, []
+    for hop in range(1, max_hops + 1):
+        ahead = level.where(F.col("hops") >= hop).join(around, "tip")
+        if before is not None:
+            ahead = ahead.join(before, ["query_id", "nbr"], "left").where(F.col("by").isNull() | (F.col("by") >= F.col("place")))
+        if every is not None:
+            ahead = ahead.join(every.select("query_id", "place", "nbr"), ["query_id", "place", "nbr"], "left_anti")
+        step = F.struct("dir", (-F.col("weight")).alias("w"), F.col("link_id").alias("link"))
+        offer = F.struct(F.array_append("order", step).alias("order"), "node_ids", "link_ids", "hops", (F.col("score") * F.col("weight") * F.col("s") * HOP_DECAY).alias("score"))
+        won = ahead.groupBy("query_id", "place", "nbr").agg(F.min(offer).alias("o")).select("query_id", "place", "nbr", F.lit(hop).alias("hop"), "o.*")
+        won = won.withColumn("alive", (F.col("score") >= MIN_PATH_SCORE) & ~F.array_contains("node_ids", F.col("nbr")))
+        link = F.element_at("order", F.lit(-1))["link"]
+        won = won.withColumns({"node_ids": F.array_append("node_ids", F.col("nbr")), "link_ids": F.array_append("link_ids", link)})
+        won = won.persist()  # a level is read by the next one and by the result
+        held.append(won)
+        every = won if every is None else every.unionByName(won)
+        level = won.where("alive").select("query_id", "place", "hops", "order", F.col("nbr").alias("tip"), "node_ids", "link_ids", "score")
+    out = settled(every.drop("hops"))
+    for won in held:
+        won.unpersist()
     return out
 
 
 def walk_many(nodes: DataFrame, links: DataFrame, entries: DataFrame, max_hops: int, min_link_weight: float = MIN_LINK_WEIGHT) -> DataFrame:
     """Ordered walks that share their visited nodes, for a batch of queries.
 
-    ``entries`` has (query_id, place, id), few per query, and perhaps ``hops``, a query's own
-    depth of at most ``max_hops``. Joins pull the neighbourhood that any order of visits could
-    reach; each query's small subgraph is then walked in order.
+    ``entries`` has (query_id, place, id) and perhaps ``hops``, a query's own depth of at most
+    ``max_hops``. A query's entries walk one after the other, and a node belongs to the first
+    walk that reaches it. All walks run side by side by joins instead, without what earlier
+    entries have claimed in the round before; rounds go on until no claim changes. The first
+    walk is right after one round, each other one a round after those before it at the latest,
+    and as a rule all are after a few. Nobody holds a neighbourhood: claims are rows.
     Returns (query_id, entry_place, walk_place, node_ids, link_ids, score).
     """
-    strength = nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s"))
-    keep = _keep(max_hops)
     depth = F.col("hops") if "hops" in entries.columns else F.lit(max_hops)
-    starts = entries.select("query_id", "place", "id", depth.alias("hops")).join(nodes.select("id", "strength"), "id")
-    # breadth-first over node sets alone; links are ranked around each frontier only
-    reach = inner = starts.select("query_id", F.col("id").alias("tip"), "hops").distinct()
-    near = reach.where("false").join(steps(links.where("false")), "tip")
-    for hop in range(max_hops):
-        reach = reach.where(F.col("hops") > hop)
-        if hop and reach.isEmpty():
-            break
-        ahead = keep(reach.join(steps(links, min_link_weight, tips=reach), "tip"))
-        near = near.unionByName(ahead)
-        if hop + 1 < max_hops:
-            reach = keep(ahead.select("query_id", F.col("nbr").alias("tip"), "hops").distinct().join(inner, ["query_id", "tip"], "left_anti"))
-            inner = inner.unionByName(reach)
-    near = near.join(strength, "nbr")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["tip", "dir", "weight", "link_id"], ascending=[True, True, False, True], kind="stable")
-        around: dict[str, list[tuple]] = {}
-        for tip, *step in right[["tip", "nbr", "s", "weight", "link_id"]].itertuples(index=False, name=None):
-            around.setdefault(tip, []).append(tuple(step))
-        left = left.sort_values("place")
-        rows = _ordered(list(left[["id", "strength"]].itertuples(index=False, name=None)), around, int(left["hops"].iloc[0]) if len(left) else 0)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["query_id", "entry_place", "walk_place", "node_ids", "link_ids", "score"])
-
-    kind = entries.schema["query_id"].dataType.simpleString()
-    near = near.select(F.col("query_id").alias("around_id"), "tip", "nbr", "dir", "weight", "link_id", "s")
-    return starts.groupBy("query_id").cogroup(near.groupBy("around_id")).applyInPandas(run, f"query_id {kind}, entry_place int, walk_place int, node_ids array<string>, link_ids array<long>, score double")
+    starts = entries.select("query_id", "place", "id", depth.cast("int").alias("hops")).join(nodes.select("id", "strength"), "id")
+    every = starts.select("query_id", "place", F.lit(0).alias("hop"), F.array().cast("array<struct<dir:int,w:double,link:bigint>>").alias("order"), F.array("id").alias("node_ids"), F.array().cast("array<long>").alias("link_ids"), F.col("strength").alias("score"))
+    if max_hops > 0:
+        starts = settled(starts)
+        around = _around(links, starts, max_hops, min_link_weight).join(nodes.select(F.col("id").alias("nbr"), F.col("strength").alias("s")), "nbr")
+        around = settled(around)
+        many = starts.groupBy("query_id").count().where("count > 1")
+        shared = not many.isEmpty()
+        before, found = None, _claims(starts, around, None, max_hops)
+        while shared:
+            now = settled(found.groupBy("query_id", "nbr").agg(F.min("place").alias("by")))
+            if before is not None:
+                was = before.select(F.col("query_id").alias("_q"), F.col("nbr").alias("_n"), F.col("by").alias("_by"))
+                other = now.join(was, (F.col("query_id") == F.col("_q")) & (F.col("nbr") == F.col("_n")), "full").where("NOT by <=> _by")
+                if other.isEmpty():
+                    break
+            before, found = now, _claims(starts, around, now, max_hops)
+        every = every.unionByName(found.where("alive").select(every.columns))
+    best = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "hop", "order")
+    return every.select("query_id", F.col("place").cast("int").alias("entry_place"), (F.row_number().over(best) - 1).alias("walk_place"), "node_ids", "link_ids", "score")
 
 
 def score_path(paths: DataFrame, nodes: DataFrame, links: DataFrame, now: int, hop_decay: float = HOP_DECAY, time_decay_days: float = 30.0) -> DataFrame:

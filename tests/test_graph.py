@@ -306,15 +306,35 @@ def test_walks_follow_the_model(spark):
         want = model_walk(strength, edges, ["n0"], 3, ["n0"])[0]
         got = walk.walk_graph(n, e, "n0", 3).orderBy("place").collect()
         assert [(r["node_ids"], r["link_ids"]) for r in got] == [(a, b) for a, b, _ in want]
-        entries = ["n3", "n1", "n7"]
-        want = [(a, b) for paths in model_walk(strength, edges, entries, 3, []) for a, b, _ in paths]
-        rows = walk.walk_many(n, e, spark.createDataFrame([(1, i, x) for i, x in enumerate(entries)], "query_id int, place int, id string"), 3)
-        got = rows.orderBy("entry_place", "walk_place").collect()
-        assert [(r["node_ids"], r["link_ids"]) for r in got] == want
         simple = {tuple(r["node_ids"]) for r in walk.simple_paths(n, e, spark.createDataFrame([("n0",)], "id string"), 3).collect()}
         assert {tuple(a) for a, _, _ in model_walk(strength, edges, ["n0"], 3, ["n0"])[0]} <= simple
 
 
+def test_walks_that_share_their_nodes_follow_the_model(spark):
+    """3,000 random graphs in one batch, each a query of its own with its own depth and entries."""
+    rng = random.Random(17)
+    strength, edges, entries, want = {}, [], [], {}
+    for g in range(3000):
+        n = rng.randrange(2, 12)
+        name = lambda i: f"g{g}n{i:02}"  # noqa: E731, B023
+        mine = {name(i): rng.choice([0.2, 0.6, 0.9, 1.0]) for i in range(n)}
+        here = [(len(edges) + i + 1, name(rng.randrange(n)), name(rng.randrange(n)), rng.choice([0.04, 0.2, 0.5, 0.9, 1.0])) for i in range(rng.randrange(1, 3 * n))]
+        starts, hops = [name(rng.randrange(n + 1)) for _ in range(rng.randrange(1, 5))], rng.randrange(0, 5)
+        strength |= mine
+        edges += here
+        entries += [(g, 2 * k, x, hops) for k, x in enumerate(starts)]
+        places = [2 * k for k, x in enumerate(starts) if x in mine]
+        walks = model_walk(mine, [e for e in here if e[3] >= 0.05], starts, hops, [])
+        want[g] = [(k, i, a, b) for k, paths in zip(places, walks, strict=True) for i, (a, b, _) in enumerate(paths)]
+    n, e = nodes(spark, [{"id": k, "strength": v} for k, v in strength.items()]), links(spark, [link(s, t, w, id=i) for i, s, t, w in edges])
+    rows = walk.walk_many(n, e, spark.createDataFrame(entries, "query_id int, place int, id string, hops int"), 4)
+    got = {g: [] for g in want}
+    for r in rows.orderBy("query_id", "entry_place", "walk_place").collect():
+        got[r["query_id"]].append((r["entry_place"], r["walk_place"], r["node_ids"], r["link_ids"]))
+    assert got == want
+    assert sum(len(w) for w in want.values()) > 10_000
+
+
 # ---- recall
 
 
