@@ -230,8 +230,7 @@ def auto_links(new: DataFrame, nodes: DataFrame, prelimit: int | None = CANDIDAT
         mine = new.select("seq", F.col("id").alias("s"), "linked", F.size("entities").alias("own"), F.explode(F.array_distinct(F.transform("entities", F.lower))).alias("e"))
         found = mine.join(pool, "e").where("t_seq < seq AND s <> t").groupBy("seq", "s", "t", "own", "linked").agg(F.count("*").alias("n"))
     else:
-        top = crud.all_nodes(old, prelimit).select("id", "strength").collect()  # prelimit rows
-        lists = made.select("seq", "id", "strength").coalesce(1).sortWithinPartitions("seq", "id").mapInPandas(_strongest_so_far([tuple(r) for r in top], prelimit), "seq long, s string, ts array<string>")
+        lists = _strongest_lists(made, old, prelimit)
         seen = lists.select("seq", "s", F.explode("ts").alias("t")).where("s <> t")
         pool = old.unionByName(made).select(F.col("id").alias("t"), F.col("entities").alias("t_entities"))
         mine = new.select(F.col("seq").cast("long").alias("seq"), F.col("id").alias("s"), "linked", F.size("entities").alias("own"), F.transform("entities", F.lower).alias("wanted"))
@@ -241,32 +240,51 @@ def auto_links(new: DataFrame, nodes: DataFrame, prelimit: int | None = CANDIDAT
     return rows.select("seq", F.col("s").alias("source_id"), F.col("t").alias("target_id"))
 
 
-def _strongest_so_far(top: list[tuple[str, float]], most: int):
-    """For rows (seq, id, strength) in order: of ``top`` and all rows up to a row's seq the ids
-    of the ``most`` strongest. One narrow pass, as each row's list depends on those before it."""
+def _strongest_lists(made: DataFrame, old: DataFrame, most: int) -> DataFrame:
+    """(seq, s, ts): for each new node the ids of the ``most`` strongest nodes once it is written.
+
+    A prefix scan: rows are range-partitioned by seq; the strongest of each partition, and so
+    of all partitions before one, are ``most`` rows; with these each partition goes through
+    its own rows in order. Rows of one seq see each other.
+    """
+    order = [F.desc("strength"), "id"]
+    rows = settled(made.select("seq", "id", "strength").repartitionByRange("seq").sortWithinPartitions("seq", "id")).withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    tops = rows.withColumn("_r", place).where(F.col("_r") <= most).select("part", "id", "strength").collect()  # most rows a partition
+    by_part: dict[int, list] = {}
+    for r in tops:
+        by_part.setdefault(r["part"], []).append((-r["strength"], r["id"]))
+    best = [(-r["strength"], r["id"]) for r in crud.all_nodes(old, most).select("id", "strength").collect()]  # most rows
+    before = {}
+    for part in sorted(by_part):
+        before[part] = best
+        best = heapq.nsmallest(most, best + by_part[part])
+    starts = rows.sparkSession.sparkContext.broadcast(before)
 
     def run(batches):
-        best = sorted((-strength, i) for i, strength in top)[:most]
-        held: list[tuple] = []
+        best, held = None, []
 
         def settle():
-            nonlocal best
+            nonlocal best, held
             best = heapq.nsmallest(most, best + [(-strength, i) for _, i, strength in held])
-            return pd.DataFrame({"seq": [h[0] for h in held], "s": [h[1] for h in held], "ts": [[i for _, i in best]] * len(held)})
+            out = pd.DataFrame({"seq": [h[0] for h in held], "s": [h[1] for h in held], "ts": [[i for _, i in best]] * len(held)})
+            held = []
+            return out
 
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                if held and held[0][0] != row[0]:  # rows of one seq see each other
+            for seq, node, strength, part in pdf.itertuples(index=False, name=None):
+                if best is None:
+                    best = starts.value[part]
+                if held and held[0][0] != seq:
                     out.append(settle())
-                    held = []
-                held.append(row)
+                held.append((seq, node, strength))
             if out:
                 yield pd.concat(out)
         if held:
             yield settle()
 
-    return run
+    return rows.mapInPandas(run, "seq long, s string, ts array<string>")
 
 
 def write_memories(state: GraphState, new: DataFrame, now: int, prelimit: int | None = CANDIDATES, auto_entities: bool = True, segment=None) -> GraphState:
