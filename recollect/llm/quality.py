@@ -1,10 +1,13 @@
 """Quality rules: text statistics and divergence from language references.
 
-A document's histograms of character classes and of common words are compared with
-those of its language by Jensen-Shannon distance (base 2, so from 0 to 1). Apart from
-which common words there are, a text is rejected that has too few of them (gibberish) or
-mostly those of another language. The references are summed over all documents of the
-language that pass the base rules and are long enough to judge.
+A document's histograms of character classes and of common words (among each other, other
+words left out) are compared with those of its language by Jensen-Shannon distance (base 2,
+so from 0 to 1). A few words always differ from the reference by chance, so the second
+distance also has to exceed what a sample of as many words has. Apart from which common words
+there are, a text is rejected that has too few of them (gibberish) or mostly those of another
+language. A reference is the mean share of each class and word over all documents of the
+language that pass the base rules and are long enough to judge: each document counts once,
+however long, so a few pieces of junk do not move it.
 
 A language is the primary subtag of ``lang`` (two or three letters; null and everything else
 make one more bin), so there are at most 26^2 + 26^3 + 1. One without a list of common words
@@ -33,10 +36,13 @@ LANGS = sorted(COMMON)
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "control", "other")
 N_CLASS, N_WORD = len(CLASSES), max(len(dict.fromkeys(w)) for w in COMMON.values()) + 1
-#: Fewer words than this: no divergence verdict.
-MIN_WORDS = 50
-#: Distances above these reject.
-MAX_CLASS, MAX_COMMON = 0.30, 0.60
+#: Fewer words (or common words) than this: no verdict by divergence (of common words).
+MIN_WORDS, MIN_COMMON = 50, 10
+#: Distances above these reject; that of common words only where it is EXCESS times what
+#: a sample of as many words has by chance.
+MAX_CLASS, MAX_COMMON, EXCESS = 0.30, 0.55, 1.5
+#: A document's shares are summed in units of 2^-SHARE_BITS, so that sums do not depend on their order.
+SHARE_BITS = 30
 #: Too few common words: less than this part of the reference's share, and by chance rarer than exp(-CHANCE).
 MIN_SHARE, CHANCE = 0.5, 9.2
 #: Another language: FOREIGN common words that only it has, and three more for each that only the own one has.
@@ -172,10 +178,19 @@ def _own(f: dict, reference: dict[str, np.ndarray]) -> np.ndarray:
     return np.array([reference.get(x, none) for x in f["lang"]]).reshape(-1, N_CLASS + N_WORD)
 
 
-def divergence(f: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of classes and of common words; 0 below the length guard."""
+_CLASSES, _COMMON = slice(0, N_CLASS), slice(N_CLASS, N_CLASS + N_WORD - 1)
+
+
+def divergence(f: dict, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distances of classes and of common words, and the second one's part of what chance makes of
+    as many common words (sqrt((bins - 1) / (8 ln 2 words)), the mean of a multinomial sample); 0
+    below the length guards."""
+    found = f["hist"][:, _COMMON].sum(axis=1)
     guard = f["n_words"] >= MIN_WORDS
-    return tuple(np.where(guard, distance(f["hist"][:, s], own[:, s]), 0.0) for s in (slice(0, N_CLASS), slice(N_CLASS, None)))
+    classes, common = (np.where(g, distance(f["hist"][:, s], own[:, s]), 0.0) for g, s in ((guard, _CLASSES), (guard & (found >= MIN_COMMON), _COMMON)))
+    bins = np.count_nonzero(own[:, _COMMON], axis=1)
+    chance = np.sqrt(np.maximum(bins - 1, 1) / (8 * np.log(2) * np.maximum(found, 1)))
+    return classes, common, common / chance
 
 
 def lacking(f: dict, own: np.ndarray) -> np.ndarray:
@@ -194,9 +209,9 @@ def lacking(f: dict, own: np.ndarray) -> np.ndarray:
 def passes(f: dict, reference: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Verdict of base rules and method, failure of the base rules, both distances."""
     own = _own(f, reference)
-    c, w = divergence(f, own)
+    c, w, excess = divergence(f, own)
     bad = base_failed(f)
-    return ~bad & (c <= MAX_CLASS) & (w <= MAX_COMMON) & ~lacking(f, own), bad, c, w
+    return ~bad & (c <= MAX_CLASS) & ((w <= MAX_COMMON) | (excess <= EXCESS)) & ~lacking(f, own), bad, c, w
 
 
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -218,11 +233,15 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(found: DataFrame) -> dict[str, np.ndarray]:
-    """Summed counts by language: all documents that pass the base rules and the length guard.
-    One row a language, of which there are at most 26^2 + 26^3 + 1, comes to the driver."""
+    """Mean shares (times a constant) by language, over all documents that pass the base rules and the
+    length guard. One row a language, of which there are at most 26^2 + 26^3 + 1, comes to the driver."""
     n = N_CLASS + N_WORD
     fine = found.where(f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
-    sums = fine.groupBy("lang").agg(*[F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(n)])
+    add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = [F.slice("hist", 1, N_CLASS), F.slice("hist", N_CLASS + 1, N_WORD)]
+    fine = fine.select("lang", "hist", *[F.greatest(add(p), F.lit(1)).alias(f"all{k}") for k, p in enumerate(parts)])
+    share = lambda i: F.floor(F.col("hist")[i] * float(1 << SHARE_BITS) / F.col(f"all{int(i >= N_CLASS)}"))
+    sums = fine.groupBy("lang").agg(*[F.sum(share(i)).alias(f"h{i}") for i in range(n)])
     return {r["lang"]: np.array([r[f"h{i}"] for i in range(n)], float) for r in sums.collect()}
 
 

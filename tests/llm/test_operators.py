@@ -664,6 +664,90 @@ def test_gibberish_and_wrong_languages_are_rejected(spark):
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == kept
 
 
+def model_verdicts(rows):
+    """kept by id, and which rule rejects: the definitions, one text at a time."""
+    kinds = [str.islower, str.isupper, str.isdigit]
+
+    def kind(c):
+        if c.isascii():
+            if c.isalnum():
+                return next(k for k, f in enumerate(kinds) if f(c))
+            return 3 if c in " \t\n\v\f\r" else 5 if c in "#*$%&|<>" else 6 if ord(c) < 32 or ord(c) == 127 else 4
+        return 7
+
+    def shares(counts):
+        total = max(sum(counts.values()), 1)
+        return {k: n / total for k, n in counts.items()}
+
+    def js(p, q):
+        p, q = shares(p), shares(q)
+        if not p or not q:
+            return 0.0
+        kl = lambda a: sum(x * math.log2(x / ((p.get(k, 0) + q.get(k, 0)) / 2)) for k, x in a.items() if x)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    seen = []
+    for i, lang, text in rows:
+        w = words_of(text)
+        forms = {x: {f: f.lower() for c in quality.COMMON[x] for f in (c, c.capitalize(), c.upper())} for x in quality.LANGS}
+        common = Counter(forms[lang][x] for x in w if x in forms[lang]) if lang in forms else Counter()
+        foreign = False
+        if lang in forms:
+            for other in quality.LANGS:
+                theirs = sum(x in forms[other] and x not in forms[lang] for x in w)
+                mine = sum(x in forms[lang] and x not in forms[other] for x in w)
+                foreign |= theirs >= 5 + 3 * mine
+        seen.append((i, lang, len(w), Counter(map(kind, text or "")), common, foreign, quality_counts(text)[-1]))
+    out = {}
+    for i, lang, n, classes, common, foreign, failed in seen:
+        fine = [s for s in seen if s[1] == lang and s[2] >= 50 and not s[6]]
+        ref_class, ref_word = Counter(), Counter()
+        for s in fine:
+            ref_class.update(shares(s[3]))
+            ref_word.update({k: x / s[2] for k, x in s[4].items()})
+        why = []
+        if failed:
+            why.append("base")
+        elif n >= 50:
+            m = sum(common.values())
+            if js(classes, ref_class) > 0.30:
+                why.append("classes")
+            d = js(common, ref_word)
+            if m >= 10 and d > 0.55 and d > 1.5 * math.sqrt(max(len(ref_word) - 1, 1) / (8 * math.log(2) * max(m, 1))):
+                why.append("common")
+            if lang in quality.COMMON:
+                usual = sum(ref_word.values()) / len(fine)
+                share = m / n
+                chance = n * sum(x * math.log(x / y) for x, y in ((share, usual), (1 - share, 1 - usual)) if x and y)
+                if share < usual / 2 and chance >= 9.2:
+                    why.append("few")
+                if foreign:
+                    why.append("foreign")
+        out[i] = why
+    return out
+
+
+def test_quality_verdicts_are_the_models(spark):
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    made = lambda n: ["".join(rng.choice(letters, rng.integers(4, 10))) for _ in range(n)]
+    mixed = lambda of, n, share: " ".join(str(rng.choice(of)) if rng.random() < share else w for w in made(n))
+    rows = [(lang, mixed(quality.COMMON[lang], int(n), 0.25)) for lang in quality.LANGS for n in rng.integers(30, 300, 40)]
+    rows += [(lang, mixed(quality.COMMON[lang][7:9], 200, 0.25)) for lang in quality.LANGS for _ in range(3)]  # two common words only
+    rows += [("en", " ".join(made(150))), ("de", mixed(quality.COMMON["fr"], 250, 0.3)), ("en", " ".join(x if x in quality.COMMON["en"] else f"{x[:3]}#$%&*|{k}" for k, x in enumerate(mixed(quality.COMMON["en"], 200, 0.25).split()))), ("ru", " ".join(made(80))), ("fr", ""), ("es", "x " * 90)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    want = model_verdicts(rows)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert got == {i: not why for i, why in want.items()}
+    rules = {tuple(why) for why in want.values()}
+    assert {("base",), ("classes",), ("common",), ("few",)} <= rules and any("foreign" in r for r in rules)  # each decides by itself
+    junk = [(1000 + k, "en", " ".join(str(x) for x in rng.choice(quality.COMMON["en"][40:44], 4000))) for k in range(3)]
+    more = spark.createDataFrame([*rows, *junk], docs.schema)
+    after = {r["doc_id"]: r["kept"] for r in quality.judge(more).where("doc_id < 1000").collect()}
+    assert after == got  # long junk moves no reference far
+
+
 @pytest.mark.parametrize(("russian", "german"), [(300, 40), (3, 200), (2, 10)])
 def test_languages_without_a_list_neither_go_nor_cost_others(spark, russian, german):
     rng = np.random.default_rng(10)
