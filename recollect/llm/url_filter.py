@@ -5,7 +5,9 @@ hosts, each edge once with its weight): trust flows from hosts that allow rules
 along links, distrust from blocked hosts against links, so that a host linking to blocked
 ones is distrusted. A host is blocked where distrust exceeds its trust. Both are shares of
 the whole table, so only their relation counts: no bound that a larger table would move.
-Rounds go on until no score moves by more than a part of itself, however far it came.
+Rounds go on until no score moves by more than a part of itself, however far it came, and
+no host's verdict lies within what later rounds may still add (each adds at most 0.85 of the
+last one's step). Scores that stay within a billionth of each other are a tie: allowed.
 
 Only DataFrame functions. Links are summed to edges before they meet the scores, scores
 are one row a host, and every round is a table in the shared folder.
@@ -21,9 +23,9 @@ from .common import drop_stored, stored, table
 #: (rule, verdict); a rule is a host and a path prefix that starts with "/".
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-#: A round that moves every score by at most this part of it is the last.
+#: Rounds end at the earliest when one moves every score by at most this part of it.
 TOLERANCE = 1e-3
-#: Distrust exceeds trust by more than what the order of sums makes of equal scores.
+#: Scores this near are equal: sums in another order differ by less.
 EQUAL = 1e-9
 #: Host of an absolute or scheme-relative link in an html attribute.
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -79,13 +81,21 @@ def _rank(seeds: DataFrame, shares: DataFrame, damping: float, tolerance: float)
         gained = gained.select("kind", "host", "got", F.col("got").alias("linked"), F.lit(0.0).alias("was"))
         before = now.select("kind", "host", F.lit(0.0).alias("got"), F.lit(0.0).alias("linked"), F.col("linked").alias("was"))
         sums = gained.unionByName(start).unionByName(before).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("got", "linked", "was")])
-        after = stored(sums.select("kind", "host", F.col("got").alias("score"), "linked", (F.abs(F.col("linked") - F.col("was")) > tolerance * F.col("linked")).alias("moves")), "rank")
+        after = stored(sums.select("kind", "host", F.col("got").alias("score"), "linked", F.abs(F.col("linked") - F.col("was")).alias("step")), "rank")
         drop_stored(now)
         now = after
-        if now.where("moves").isEmpty():
+        if now.where(F.col("step") > tolerance * F.col("linked")).isEmpty() and _open(now, damping).isEmpty():
             return now.select("kind", "host", "linked")
 
 
+def _open(ranks: DataFrame, damping: float) -> DataFrame:
+    """Hosts whose two scores are nearer than what later rounds may add to either."""
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("linked"))), F.lit(0.0))
+    both = ranks.groupBy("host").agg(of("allow").alias("t"), of("block").alias("d"), F.sum("step").alias("step"))
+    rest = F.col("step") * (damping / (1 - damping))
+    return both.where((F.col("t") > 0) & (F.col("d") > 0) & (F.abs(F.col("t") - F.col("d")) <= rest) & (rest > EQUAL * F.greatest("t", "d")))
+
+
 def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of hosts that either reaches.
 
@@ -109,7 +119,8 @@ def judged_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A null url, or one without ``://``, has an empty host and path, no rule and the verdict
     allow; null html gives no links; repeated rows are judged alike and count in the graph
-    as often as they are there; other columns are ignored; an empty table gives no rows.
+    as often as they are there; a host of equal trust and distrust is allowed; very long html
+    is read whole; other columns are ignored; an empty table gives no rows.
     """
     scores = host_scores(pages, rules).withColumnRenamed("host", "_h")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
