@@ -523,9 +523,9 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert Counter(kept) == Counter([(None, t) for t in unlike[:6]] + [(1, t) for t in unlike[6:]] + [(2, None)])
 
 
-@pytest.mark.parametrize("all_pairs", [minhash.ALL_PAIRS, 0])  # 0: round by round
-def test_no_pair_of_five_word_shingles_at_four_fifths_stays(spark, corpus, texts, all_pairs, monkeypatch):
-    monkeypatch.setattr(minhash, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("leaders", [minhash.LEADERS, 1])  # 1: more is left to the join by prefixes
+def test_no_pair_of_five_word_shingles_at_four_fifths_stays(spark, corpus, texts, leaders, monkeypatch):
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
     rng = np.random.default_rng(12)
     made = [f"w{k}" for k in range(5000)]
     rows = [(i, t) for i, t in texts]
@@ -536,6 +536,9 @@ def test_no_pair_of_five_word_shingles_at_four_fifths_stays(spark, corpus, texts
             for at in rng.choice(200, k, replace=False):
                 copy[at] = f"x{g}_{k}_{at}"
             rows.append((10_000 + 10 * g + k, " ".join(copy)))
+    passage = [str(w) for w in rng.choice(made, 150)]
+    for k in range(60):  # share a passage, some enough of it
+        rows.append((20_000 + k, " ".join([*passage, *map(str, rng.choice(made, int(rng.choice([10, 20, 60, 100]))))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sets, prints = [], [fingerprint(t) for _, t in rows]
     for _, t in rows:
