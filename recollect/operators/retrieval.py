@@ -329,7 +329,7 @@ def memory_recall(memory: Memory, query: str, top_k: int = 5, tier: str = "燃",
     found = replace(found, paths=settled(found.paths))
     out = to_dicts(memory.state, found.paths)
     if found.reinforce and any(r["link_ids"] for r in out):
-        memory.change(lambda state: state.with_(links=found.reinforced(state.links, _now(now))), ids=[])
+        memory.change(lambda state: state.with_(links=found.reinforced(state.links, _now(now))), ids=[], touched={"nodes": False, "sessions": False, "links": F.col("id").isin(*{i for r in out for i in r["link_ids"]})})
     return out
 
 
@@ -337,7 +337,7 @@ def memory_write(memory: Memory, content: str, node_type: str = "fact", link_to:
     from ..sources.store import _now
 
     node_id = str(uuid.uuid4())
-    memory.change(lambda state: write_memory(state, content, _now(now), node_type, node_id=node_id, link_to=link_to, segment=memory.segment)[0], ids=[node_id])
+    memory.change(lambda state: write_memory(state, content, _now(now), node_type, node_id=node_id, link_to=link_to, segment=memory.segment)[0], ids=[node_id], touched={"nodes": F.col("id") == node_id, "sessions": False, "links": F.col("source_id") == node_id})
     return memory.get_node(node_id)
 
 

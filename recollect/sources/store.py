@@ -1,11 +1,12 @@
 """Graph state as versioned Parquet.
 
 A state is a value: three DataFrames, the next link id and what streams have applied.
-``save`` writes a whole new version beside the old ones, claims a number by creating a file
-that must not exist, and publishes the version by renaming one folder; readers take the
-highest version. So no two writers ever get one number. A writer that names the version it
-started ``after`` gets the next one or, if someone else has it, a :class:`Conflict`. Plain
-Parquet has no row updates, so each batch of changes is one version.
+``save`` writes a version beside the old ones, claims a number by creating a file that must
+not exist, and publishes the version by renaming one folder; readers take the highest
+version. So no two writers ever get one number. A writer that names the version it started
+``after`` gets the next one or, if someone else has it, a :class:`Conflict`. A version that
+comes from another one holds what changed (:mod:`recollect.sources.layout`), so a conflict
+costs a writer its change again, not the table.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LINKS, NODES, SESSIONS, TABLES
+from .layout import Stored, from_json, read, to_json, write
 from .segments import StoredIndex, build
 
 
-_META = "next_link_id long, marks map<string,long>, index string"
+_META = "next_link_id long, marks map<string,long>, index string, layout string"
 
 
 class Conflict(RuntimeError):
@@ -35,7 +37,8 @@ class Conflict(RuntimeError):
 class GraphState:
     """Nodes, links, sessions; ``next_link_id`` is a high-water mark, so ids are never reused.
     ``marks`` has the last batch that each stream has applied, ``version`` the number this was
-    loaded from (0: none), ``index`` names the segments of the search index of that version."""
+    loaded from (0: none), ``index`` names the segments of the search index of that version,
+    ``layout`` its files."""
 
     nodes: DataFrame
     links: DataFrame
@@ -44,6 +47,7 @@ class GraphState:
     marks: dict[str, int] = field(default_factory=dict)
     version: int = 0
     index: str = ""
+    layout: str = ""
 
     @property
     def spark(self) -> SparkSession:
@@ -65,16 +69,27 @@ class GraphState:
         top = links.agg(F.max("id")).first()[0]
         return GraphState(nodes, links, sessions, (top or 0) + 1)
 
-    def save(self, path: str, after: int | None = None, abandoned: int = 3600) -> int:
-        """Writes a version below ``path``; returns its number: the next free one, or that
-        after ``after``. A claim without a version that is older than ``abandoned`` seconds was
-        left by a writer that died, and is taken over."""
+    def save(self, path: str, after: int | None = None, abandoned: int = 3600, touched: dict | None = None) -> int:
+        """Writes a version below ``path``; returns its number: the next free one with whole
+        tables, or that after ``after`` with what changed since. A claim without a version that is
+        older than ``abandoned`` seconds was left by a writer that died, and is taken over.
+
+        ``touched`` has, by table, a condition that covers all rows that may have changed, or
+        False where none has; other tables are compared.
+        """
         files, folder = _files(self.spark, path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        draft = f"{path}/_draft-{uuid.uuid4().hex}"
-        for name in TABLES:
-            getattr(self, name).write.parquet(f"{draft}/{name}")
-        meta = self.spark.createDataFrame([(self.next_link_id, self.marks, self.index)], _META)
+        number = None if after is None else after + 1
+        name = f"_draft-{uuid.uuid4().hex}"
+        draft = f"{path}/{name}"
+        known = from_json(self.layout) if self.layout and after is not None and after == self.version else {}
+        # whole versions have no number yet: their files are found from the version's own folder
+        place = "." if number is None else f"v={number:08d}"
+        made = {}
+        for t, schema in TABLES.items():
+            old = read(self.spark, path, known[t], schema) if t in known else None
+            made[t] = write(getattr(self, t), old, known.get(t), path, name, place, t, number or 0, (touched or {}).get(t))
+        meta = self.spark.createDataFrame([(self.next_link_id, self.marks, self.index, to_json(made))], _META)
         meta.coalesce(1).write.parquet(f"{draft}/meta")
         while True:
             version = (max(_versions(files, folder, claims=True), default=0) if after is None else after) + 1
@@ -103,9 +118,12 @@ class GraphState:
             return GraphState.empty(spark)
         version = version or max(found)
         at = f"{path}/v={version:08d}"
-        tables = {name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in TABLES.items()}
         meta = spark.read.schema(_META).parquet(f"{at}/meta").first()
-        return GraphState(**tables, next_link_id=meta["next_link_id"], marks=dict(meta["marks"] or {}), version=version, index=meta["index"] or "")
+        own = lambda where: f"v={version:08d}/{where[2:]}" if where.startswith("./") else where
+        stored = from_json(meta["layout"]) if meta["layout"] else {t: Stored(f"./{t}", 0) for t in TABLES}
+        stored = {t: replace(s, base=own(s.base)) for t, s in stored.items()}
+        tables = {t: read(spark, path, stored[t], schema) for t, schema in TABLES.items()}
+        return GraphState(**tables, next_link_id=meta["next_link_id"], marks=dict(meta["marks"] or {}), version=version, index=meta["index"] or "", layout=to_json(stored))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -196,23 +214,24 @@ class Memory:
             self.state = GraphState.load(self.state.spark, self.path)
         return self.state
 
-    def commit(self, state: GraphState, ids: list[str] | None = None) -> GraphState:
+    def commit(self, state: GraphState, ids: list[str] | None = None, touched: dict | None = None) -> GraphState:
         """Makes ``state`` the current one, on disk too; either way lineage is cut.
         :class:`Conflict` if there is a version that ``state`` does not come from. ``ids`` names
-        the nodes whose texts may have changed; without it they are found by comparing."""
+        the nodes whose texts may have changed, ``touched`` rows as in :meth:`GraphState.save`;
+        without them both are found by comparing."""
         if self.path:
-            version = state.with_(index=self._indexed(state, ids)).save(self.path, after=state.version)
+            version = state.with_(index=self._indexed(state, ids)).save(self.path, after=state.version, touched=touched)
             state = GraphState.load(state.spark, self.path, version)
         else:
             state = state.with_(**{name: settled(getattr(state, name)) for name in TABLES})
         self.state = state
         return state
 
-    def change(self, make, tries: int = 10, ids: list[str] | None = None) -> GraphState:
+    def change(self, make, tries: int = 10, ids: list[str] | None = None, touched: dict | None = None) -> GraphState:
         """Commits ``make(state)``, again from the latest version after a conflict."""
         for k in range(tries):
             try:
-                return self.commit(make(self.state), ids)
+                return self.commit(make(self.state), ids, touched)
             except Conflict:
                 time.sleep(min(5, 0.05 * 2**k))  # the other version may still be on its way
                 self.refresh()
@@ -269,7 +288,7 @@ class Memory:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(node_id, content, node_type, strength, list(entities or []), decay_rate)], "id string, content string, node_type string, strength double, entities array<string>, decay_rate double")
-        self.change(lambda s: crud.create_nodes(s, new, _now(now), strict=True), ids=[node_id])
+        self.change(lambda s: crud.create_nodes(s, new, _now(now), strict=True), ids=[node_id], touched=_only(nodes=F.col("id") == node_id))
         return self.get_node(node_id)
 
     def get_node(self, node_id: str) -> dict | None:
@@ -278,7 +297,7 @@ class Memory:
     def update_node(self, node_id: str, **changes) -> dict | None:
         from ..operators import crud
 
-        self.change(lambda s: crud.update_nodes(s, [node_id], changes), ids=[node_id] if "content" in changes else [])
+        self.change(lambda s: crud.update_nodes(s, [node_id], changes), ids=[node_id] if "content" in changes else [], touched=_only(nodes=F.col("id") == node_id))
         return self.get_node(node_id)
 
     def delete_node(self, node_id: str) -> bool:
@@ -286,14 +305,14 @@ class Memory:
 
         found = self.get_node(node_id) is not None
         if found:
-            self.change(lambda s: crud.delete_nodes(s, s.spark.createDataFrame([(node_id,)], "id string")), ids=[node_id])
+            self.change(lambda s: crud.delete_nodes(s, s.spark.createDataFrame([(node_id,)], "id string")), ids=[node_id], touched=_only(nodes=F.col("id") == node_id, links=(F.col("source_id") == node_id) | (F.col("target_id") == node_id)))
         return found
 
     def create_link(self, source_id: str, target_id: str, relation: str = "related_to", weight: float = 0.3, now: int | None = None) -> dict:
         from ..operators import crud
 
         new = self.state.spark.createDataFrame([(source_id, target_id, relation, weight)], "source_id string, target_id string, relation string, weight double")
-        after = self.change(lambda s: crud.create_links(s, new, _now(now), strict=True), ids=[])
+        after = self.change(lambda s: crud.create_links(s, new, _now(now), strict=True), ids=[], touched=_only(links=(F.col("source_id") == source_id) & (F.col("target_id") == target_id)))
         return self.get_link(after.next_link_id - 1)
 
     def get_link(self, link_id: int) -> dict | None:
@@ -302,7 +321,7 @@ class Memory:
     def update_link(self, link_id: int, **changes) -> dict | None:
         from ..operators import crud
 
-        self.change(lambda s: crud.update_links(s, [link_id], changes), ids=[])
+        self.change(lambda s: crud.update_links(s, [link_id], changes), ids=[], touched=_only(links=F.col("id") == link_id))
         return self.get_link(link_id)
 
     def delete_link(self, link_id: int) -> bool:
@@ -310,23 +329,23 @@ class Memory:
 
         found = self.get_link(link_id) is not None
         if found:
-            self.change(lambda s: crud.delete_links(s, s.spark.createDataFrame([(link_id,)], "id long")), ids=[])
+            self.change(lambda s: crud.delete_links(s, s.spark.createDataFrame([(link_id,)], "id long")), ids=[], touched=_only(links=F.col("id") == link_id))
         return found
 
     def create_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.create_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[])
+        self.change(lambda s: crud.create_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[], touched=_only(sessions=F.col("id") == session_id))
 
     def end_session(self, session_id: str, now: int | None = None) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.end_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[])
+        self.change(lambda s: crud.end_sessions(s, s.spark.createDataFrame([(session_id,)], "id string"), _now(now)), ids=[], touched=_only(sessions=F.col("id") == session_id))
 
     def increment_turns(self, session_id: str) -> None:
         from ..operators import crud
 
-        self.change(lambda s: crud.increment_turns(s, s.spark.createDataFrame([(session_id,)], "id string")), ids=[])
+        self.change(lambda s: crud.increment_turns(s, s.spark.createDataFrame([(session_id,)], "id string")), ids=[], touched=_only(sessions=F.col("id") == session_id))
 
     def count_nodes(self) -> int:
         return self.state.nodes.count()
@@ -335,6 +354,11 @@ class Memory:
         return self.state.links.count()
 
 
+def _only(**touched) -> dict:
+    """The tables named may change where their conditions hold, no other one does."""
+    return {t: touched.get(t, False) for t in TABLES}
+
+
 def as_dicts(rows: DataFrame) -> list[dict]:
     """Nodes or links as plain values, in order of the columns; a missing entity list is empty."""
     out = [r.asDict(recursive=True) for r in rows.collect()]
