@@ -213,10 +213,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     two = stored(_frequent(counted(docs, 2, 2, words), least), "phrase-2")
     halves = F.split("phrase", " ")
     found = one.union(two)
+    pairs = _filter(two, halves[0], halves[1])
     if longest > 2:
-        pairs = _filter(two, halves[0], halves[1])
         found = found.union(_frequent(counted(docs, 3, longest, words, pairs), least))
     found = stored(found, "phrases")
+    words.destroy()
+    pairs.destroy()
     totals = stored(first.where("phrase IS NULL").select("lang", F.col("f").alias("n")), "phrase-totals")
     drop_stored(first)
     drop_stored(two)

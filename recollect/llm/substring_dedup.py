@@ -200,10 +200,9 @@ class _Seen:
         return lead, owner
 
 
-def _places(keyed: DataFrame) -> DataFrame:
+def _places(keyed: DataFrame, shared, crowded) -> DataFrame:
     """Segments of anchors at several places: (anchor, content, id, h, pack, words) of representatives,
     (id, h, pack, of_id, of_h, of_pack) of their members."""
-    shared, crowded = _anchors(keyed)
     kind = keyed.schema["id"].dataType
     names = ["anchor", "content", *_PLACE, "pack", "words", "of_id", "of_h", "of_pack"]
 
@@ -319,7 +318,11 @@ def _searched(leads: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, h, start, mask), stored: bit j tells that the window at word start + j repeats."""
-    places = stored(_places(_keyed(docs)), "repeat-places")
+    keyed = _keyed(docs)
+    filters = _anchors(keyed)
+    places = stored(_places(keyed, *filters), "repeat-places")
+    for f in filters:
+        f.destroy()
     told = stored(_searched(places.where("words IS NOT NULL").drop("of_id", "of_h", "of_pack")), "repeat-answers")
     whole = told.where("whole").select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("pack").alias("of_pack")).distinct()
     windows = F.col("pack").bitwiseAND(F.lit(31)).cast("int") + 1

@@ -837,7 +837,8 @@ def test_only_the_index_reports(corpus, monkeypatch):
     assert substring_dedup.repeats(corpus).count() > 10
     real = substring_dedup._searched
     monkeypatch.setattr(substring_dedup, "_searched", lambda leads: real(leads).where("false"))
-    assert substring_dedup._places(substring_dedup._keyed(corpus)).where("of_pack IS NOT NULL").count() > 10
+    keyed = substring_dedup._keyed(corpus)
+    assert substring_dedup._places(keyed, *substring_dedup._anchors(keyed)).where("of_pack IS NOT NULL").count() > 10
     assert substring_dedup.repeats(corpus).count() == 0
 
 
