@@ -121,12 +121,13 @@ class StoredIndex:
     def from_json(spark: SparkSession, path: str, text: str | None) -> StoredIndex:
         return StoredIndex(spark, path, tuple(Segment(**s) for s in json.loads(text or "[]")))
 
-    def _write(self, rows: DataFrame, seg: int, dead: DataFrame | None) -> Segment:
-        """A segment of tokenized nodes and of tokenized dead ones."""
+    def _write(self, rows: DataFrame, seg: int, dead: DataFrame | None, few: bool = False) -> Segment:
+        """A segment of tokenized nodes and of tokenized dead ones; ``few`` rows are one file each."""
+        dealt = lambda df, *by: df.coalesce(1) if few else df.repartitionByRange(*by)
         name = f"seg-{seg:08d}-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
         order = ["dl", "node_id"]
-        place = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+        place = dealt(rows, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
         place.write.parquet(f"{at}/nodes")
         nodes = self.spark.read.parquet(f"{at}/nodes")
         sizes = nodes.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).orderBy("part").collect()  # a row a partition
@@ -137,24 +138,24 @@ class StoredIndex:
         base = F.broadcast(self.spark.createDataFrame(starts, "part long, base long"))
         numbered = nodes.join(base, F.shiftright("at", 33) == F.col("part")).withColumn("block", F.floor((F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) / BLOCK).cast("long"))
         postings = postings_of(numbered, "block").select(F.lit(seg).cast("long").alias("seg"), "term", "block", "node_id", "col", "positions", "dl")
-        postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "node_id").write.parquet(f"{at}/postings")
+        dealt(postings, "term", "block").sortWithinPartitions("term", "block", "node_id").write.parquet(f"{at}/postings")
         tf = self.spark.read.schema(_POSTINGS).parquet(f"{at}/postings").groupBy("seg", "term", "block", "node_id").agg(F.sum(F.size("positions")).alias("tf"), F.max("dl").alias("dl"))
         blocks = tf.groupBy("seg", "term", "block").agg(F.count("*").alias("n"), F.max("tf").cast("long").alias("max_tf"), F.min("dl").alias("min_dl"))
-        blocks.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
+        dealt(blocks, "term").sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
         gone = [0, 0]
         if dead is not None:
             dead.select(F.lit(seg).cast("long").alias("seg"), "node_id", "dl", F.array_union("content", "content_zh").alias("terms")).write.parquet(f"{at}/dead")
             gone = self.spark.read.schema(_DEAD).parquet(f"{at}/dead").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return Segment(name, seg, n - gone[0], sum(s["words"] or 0 for s in sizes) - gone[1], n + gone[0], gone[0])
 
-    def changed(self, before: DataFrame, after: DataFrame, ids: DataFrame, segment=None) -> StoredIndex:
-        """The index after nodes with an id in ``ids`` were written, replaced or deleted; of both
-        tables only the rows with these ids are read as texts."""
-        ids = ids.select("id").distinct()
-        new = tokenized(after.join(ids, "id", "left_semi"), segment=segment)
-        old = tokenized(before.join(ids, "id", "left_semi"), segment=segment)
+    def changed(self, before: DataFrame, after: DataFrame, ids: DataFrame | list[str], segment=None) -> StoredIndex:
+        """The index after nodes with an id in ``ids`` (a table, or a list of few) were written,
+        replaced or deleted; of both tables only the rows with these ids are read as texts."""
+        few = isinstance(ids, list)
+        of = lambda nodes: nodes.where(F.col("id").isin(ids)) if few else nodes.join(ids.select("id").distinct(), "id", "left_semi")
+        new, old = tokenized(of(after), segment=segment), tokenized(of(before), segment=segment)
         seg = max((s.seg for s in self.segments), default=0) + 1
-        made = self._write(new, seg, old if self.segments else None)
+        made = self._write(new, seg, old if self.segments else None, few)
         return replace(self, segments=(*self.segments, made)).merged() if made.size else self
 
     def merged(self, whole: bool = False) -> StoredIndex:

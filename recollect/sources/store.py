@@ -205,7 +205,7 @@ class Memory:
         elif not ids:
             return state.index
         else:
-            changed = spark.createDataFrame([(i,) for i in ids], "id string")
+            changed = ids
         return StoredIndex.from_json(spark, at, state.index).changed(before, state.nodes, changed, self.segment).to_json()
 
     def refresh(self) -> GraphState:
