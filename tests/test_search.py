@@ -162,9 +162,9 @@ def test_recall_looks_for_entities_among_all_nodes(spark):
 
 
 def test_segment_sizes_bound_their_number(spark, tmp_path, monkeypatch):
-    index = segments.StoredIndex(spark, "", tuple(segments.Segment(f"s{i}", i, n, n, n, 0) for i, n in enumerate([1000, 200, 40, 8])))
+    index = segments.StoredIndex(spark, "", tuple(segments.Segment(f"s{i}", i, n, n, n, 0) for i, n in enumerate([1000, 150, 20, 3])))
     written = []
     monkeypatch.setattr(segments.StoredIndex, "_nodes", lambda self, young: spark.createDataFrame([], "seg long, node_id string, content array<string>, content_zh array<string>, dl long"))
     monkeypatch.setattr(segments.StoredIndex, "_write", lambda self, rows, seg, dead: written.append(seg) or segments.Segment("m", seg, 0, 0, 0, 0))
     assert index.merged() is index  # each over four times the next: nothing to do
-    assert len(segments.StoredIndex(spark, "", (*index.segments, segments.Segment("s4", 4, 3, 3, 3, 0))).merged().segments) == 4 and written == [4]
+    assert len(segments.StoredIndex(spark, "", (*index.segments, segments.Segment("s4", 4, 1, 1, 1, 0))).merged().segments) == 4 and written == [4]
