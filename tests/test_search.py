@@ -168,3 +168,18 @@ def test_segment_sizes_bound_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments.StoredIndex, "_write", lambda self, rows, seg, dead: written.append(seg) or segments.Segment("m", seg, 0, 0, 0, 0))
     assert index.merged() is index  # each over four times the next: nothing to do
     assert len(segments.StoredIndex(spark, "", (*index.segments, segments.Segment("s4", 4, 1, 1, 1, 0))).merged().segments) == 4 and written == [4]
+
+
+def test_best_nodes_by_rounded_scores(spark, tmp_path):
+    rows = [{"id": f"n{i:02d}", "content": "rare word" if i < 3 else "word " * (i % 7 + 1)} for i in range(40)]
+    index = build(spark, str(tmp_path), nodes(spark, rows))
+    every = sorted(((-round(r["score"], 6), r["node_id"]) for r in search.bm25(index, "rare OR word").collect()))
+    for limit in (2, 5, 20):
+        found = search.top_hits(index, "rare OR word", limit, digits=6).collect()
+        assert [(-r["score"], r["node_id"]) for r in found] == every[:limit]
+
+
+def test_a_known_name_is_an_entity():
+    from recollect.functions.ner import extract_entities
+
+    assert extract_entities(" redis ") == ["Redis"] and extract_entities("Redis") == ["Redis"] and extract_entities("hation") == []
