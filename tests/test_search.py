@@ -183,3 +183,22 @@ def test_a_known_name_is_an_entity():
     from recollect.functions.ner import extract_entities
 
     assert extract_entities(" redis ") == ["Redis"] and extract_entities("Redis") == ["Redis"] and extract_entities("hation") == []
+
+
+def test_segments_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Runs that end within blocks, both columns, empty texts: as from tables."""
+    monkeypatch.setattr(segments, "RUN", 200)
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", None)
+    rng = random.Random(5)
+    rows = [(f"n{i}", " ".join(rng.choice("abcde") for _ in range(rng.randrange(12))) or None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    words = F.when(F.col("id").endswith("7"), F.lit("数 a a"))
+    index = segments.StoredIndex(spark, str(tmp_path))
+    index = segments.replace(index, segments=(index._write(segments.tokenized(df, words), 1, None),))
+    fresh = search.build_index(df, words)
+    columns = ("term", "node_id", "col", "positions", "dl")
+    assert sorted(map(str, index.postings.select(*columns).collect())) == sorted(map(str, fresh.postings.select(*columns).collect()))
+    assert tuple(index.totals.first()) == tuple(fresh.totals.first())
+    assert index.blocks.groupBy("block", "term").count().where("count > 1").count() > 0
+    want = sorted(((-r["score"], r["node_id"]) for r in search.bm25(fresh, "a OR b").collect()))[:7]
+    assert [(round(-r["score"], 9), r["node_id"]) for r in search.top_hits(index, "a OR b", 7).collect()] == [(round(s, 9), i) for s, i in want]
