@@ -202,3 +202,24 @@ def test_segments_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert index.blocks.groupBy("block", "term").count().where("count > 1").count() > 0
     want = sorted(((-r["score"], r["node_id"]) for r in search.bm25(fresh, "a OR b").collect()))[:7]
     assert [(round(-r["score"], 9), r["node_id"]) for r in search.top_hits(index, "a OR b", 7).collect()] == [(round(s, 9), i) for s, i in want]
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    real, seen = search._each_of, []
+    monkeypatch.setattr(search, "_each_of", lambda nodes, asked, index: seen.append(asked.count()) or real(nodes, asked, index))
+    df = nodes(spark, [{"id": f"n{i}", "content": "alpha " * (i + 1) + "beta" * (i % 2)} for i in range(6)])
+    asked = spark.createDataFrame([(1, "alp*", 2), (2, " alp*", 4), (3, "alpha AND beta", 9), (4, "alpha AND beta", 1), (5, "a, b", 3), (6, "pha ,", 3)], "query_id int, query string, limit int")
+    found = {}
+    for r in search.search_many(df, asked).orderBy("query_id", "place").collect():
+        found.setdefault(r["query_id"], []).append((r["id"], r["score"] and round(r["score"], 9)))
+    one = lambda q, n: [(r["id"], r["score"] and round(r["score"], 9)) for r in search.search(df, q, n).orderBy("place").collect()]
+    assert seen == [4] and {k: v for k, v in found.items()} == {k: one(q, n) for k, q, n in ((1, "alp*", 2), (2, "alp*", 4), (3, "alpha AND beta", 9), (4, "alpha AND beta", 1))}
+
+
+def test_patterns_meet_texts_by_one_piece(spark):
+    """A piece a pattern, not all its trigrams with all texts."""
+    df = nodes(spark, [{"id": f"n{i:02d}", "content": f"some common words {i:02d}xyzzy{i % 3}"} for i in range(30)])
+    asked = spark.createDataFrame([(i, q, 30) for i, q in enumerate(["common words 07xyzzy", "zzy1", "mmo%zy2", "mmo%zy2", "some_common"])], "query_id int, query string, limit int")
+    found = search.like_many(df, asked)
+    assert {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 10, 2: 10, 3: 10, 4: 30}
+    assert "BroadcastHashJoin" in plan_of(found) and "count(distinct" not in plan_of(found)
