@@ -583,3 +583,11 @@ def test_profile(spark):
     assert text == "## User Profile\n\n**Preferences**:\n- likes tea\n\n**Known facts**:\n- " + "f" * 147 + "...\n"
     assert profile.generate_profile(nodes(spark, rows), max_chars=40) == "## User Profile\n\n**Preferences**:\n- likes tea\n"
     assert profile.generate_summary_line(nodes(spark, rows)) == "[Profile: 1 preferences, 1 facts | Top: likes tea ]"
+
+
+def test_only_prefixes_of_word_sets_are_kept(spark):
+    from recollect.operators import consolidation
+
+    rows = spark.createDataFrame([("a", ["x", "y", "common", "often"]), ("b", ["z", "common", "often"])], "id string, words array<string>")
+    ranked = consolidation._ranked(rows.selectExpr("*", "size(words) AS size"), 0.8).collect()
+    assert sorted((r["id"], r["w"], r["r"]) for r in ranked) == [("a", "x", 1), ("b", "z", 1)]
