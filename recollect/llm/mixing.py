@@ -3,7 +3,9 @@
 Every document gets a 30-bit hash of its id and text. For each source, words are summed by
 hash bucket; a budget is a threshold on the hash, and budgets are nested because the hash is
 fixed. Only the bucket in which the budget ends is opened again (three levels of 1,024
-buckets), so documents are filtered by one comparison and never sorted. The few documents of
+buckets), so documents are filtered by one comparison and never sorted. Targets and the bucket
+of each level are stored (a row a source): each level is read twice by the next one, so as one
+plan the levels would be planned and compiled many times over. The few documents of
 the one hash at which a budget ends are taken in order of id, and of rows that repeat both
 id and text as many as the budget has room for: copies are numbered file by file.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, stored, table, text_or_empty
+from .common import WORD, drop_stored, free_name, stored, table, text_or_empty
 
 MAX_EPOCHS = 3
 _BITS = 10
@@ -78,9 +80,11 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     goals = goals.withColumn("epochs", epochs.cast("long")).withColumn(
         "rest", F.when(F.col("epochs") < MAX_EPOCHS, F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)
     )
-    part, at = sizes.where("size > 0"), goals
+    goals = stored(goals, "mix-goals")
+    part, at, held = sizes.where("size > 0"), goals, [goals]
     for shift in (2 * _BITS, _BITS, 0):
-        at = _boundary(part, at, shift)
+        at = stored(_boundary(part, at, shift), "mix-bucket")
+        held.append(at)
         edge = at.select(F.col("source").alias("s"), F.col("bucket").alias("b"))
         part = part.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("b"))).drop("s", "b")
     ends = at.select(F.col("source").alias("s"), F.col("bucket").alias("below"), F.col("rest").alias("left"))
@@ -91,7 +95,10 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     kinds = kinds.withColumn("more", more).groupBy(F.col("source").alias("e")).agg(F.collect_list(F.struct("doc_id", "size", "n", "more")).alias("edge"))
     rows = goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").join(kinds, F.col("source").eqNullSafe(F.col("e")) & F.col("below").isNotNull(), "left")
     below = F.coalesce("below", F.when(F.col("rest") > 0, 1 << (3 * _BITS)).otherwise(0))
-    return rows.select("source", "source_size", "target", "epochs", below.alias("below"), "edge")
+    plan = stored(rows.select("source", "source_size", "target", "epochs", below.alias("below"), "edge"), "mix-plan")
+    for small in held:
+        drop_stored(small)
+    return plan
 
 
 def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     no rows; other columns are ignored.
     """
     sizes = stored(sized(docs), "mix-sizes")
-    plan = stored(thresholds(sizes, source_targets(sizes, weights)), "mix-plan")
+    plan = thresholds(sizes, source_targets(sizes, weights))
     return _decided(sizes, plan).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"), F.col("_times").alias("times"))
 
 
@@ -135,7 +142,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     already, the new one is called ``times_`` or ``taken_``.
     """
     sizes = stored(sized(docs), "mix-sizes")
-    plan = stored(thresholds(sizes, source_targets(sizes, weights)), "mix-plan")
+    plan = thresholds(sizes, source_targets(sizes, weights))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", _size().alias("size"), _hash().alias("h"))
     times, words = (free_name(docs.columns, n) for n in ("times", "taken"))
     return _decided(rows, plan).select("row.*", F.col("_times").alias(times), (F.col("size") * F.col("_times")).alias(words))

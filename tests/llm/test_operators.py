@@ -210,6 +210,19 @@ def test_mixing(corpus):
     assert rows_of(mixing.taken(corpus), "doc_id", "taken") == Counter((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mixing_plans_a_level_at_a_time(corpus, monkeypatch):
+    sizes = []
+    real = mixing.stored
+
+    def planned(df, name):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return real(df, name)
+
+    monkeypatch.setattr(mixing, "stored", planned)
+    mixing.taken(corpus)
+    assert max(sizes) < 60  # nodes of a plan; as one plan the levels make some hundreds
+
+
 def test_mixing_of_rows_that_ids_do_not_tell_apart(spark):
     kinds = "doc_id long, source string, text string, times string, taken string"
     unlike = [(None, "ab"[i % 2], " ".join(f"w{i}_{k}" for k in range(3)), "t", "u") for i in range(1000)]
