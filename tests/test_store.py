@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import GraphState, Memory
-from recollect.sources import layout
+from recollect.operators import search
+from recollect.sources import layout, store
 from recollect.sources.layout import Stored, changed_rows, read, write
 
 from test_graph import NOW, link, links, nodes
@@ -107,3 +108,23 @@ def test_whole_tables_and_comparisons_through_the_store(spark, tmp_path):
     assert GraphState.load(spark, path, 2).nodes.where("strength = 0.7").count() == 1  # older versions read as they were
     bare = layout.Stored("./nodes", 5)
     assert bare == Stored(**vars(bare)) and pytest
+
+
+def test_a_change_compares_texts_once_and_only_what_it_made_anew(spark, tmp_path, monkeypatch):
+    compared = []
+    real = layout.differences
+
+    def noted(old, new):
+        compared.append("nodes" if "content" in old.columns else "other")
+        return real(old, new)
+
+    for module in (layout, store):
+        monkeypatch.setattr(module, "differences", noted)
+    memory = Memory.open(spark, str(tmp_path))
+    memory.commit(GraphState.of(nodes(spark, [{"id": f"n{i}", "content": f"word{i}"} for i in range(5)]), links(spark, [])))
+    memory.change(lambda s: s.with_(nodes=s.nodes.withColumn("content", F.when(F.col("id") == "n1", "anew").otherwise(F.col("content")))))
+    assert compared == ["nodes"]
+    memory.change(lambda s: s.with_(links=s.links))
+    assert compared == ["nodes"]
+    assert [r["node_id"] for r in search.bm25(memory.index(), "anew OR word1").collect()] == ["n1"]
+    assert search.bm25(memory.index(), "word1").isEmpty()
