@@ -591,3 +591,9 @@ def test_only_prefixes_of_word_sets_are_kept(spark):
     rows = spark.createDataFrame([("a", ["x", "y", "common", "often"]), ("b", ["z", "common", "often"])], "id string, words array<string>")
     ranked = consolidation._ranked(rows.selectExpr("*", "size(words) AS size"), 0.8).collect()
     assert sorted((r["id"], r["w"], r["r"]) for r in ranked) == [("a", "x", 1), ("b", "z", 1)]
+
+
+def test_classes_of_duplicates_cut_texts_once(spark):
+    found = consolidation.members(nodes(spark, [{"id": f"n{i}", "content": f"alpha beta {'gamma' if i % 2 else 'delta'}"} for i in range(4)]))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()  # both sides of the join read a table
+    assert {(r["id"], r["rep"]) for r in found.collect()} == {("n0", "n0"), ("n1", "n1"), ("n2", "n0"), ("n3", "n1")}
