@@ -223,3 +223,27 @@ def test_patterns_meet_texts_by_one_piece(spark):
     found = search.like_many(df, asked)
     assert {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 10, 2: 10, 3: 10, 4: 30}
     assert "BroadcastHashJoin" in plan_of(found) and "count(distinct" not in plan_of(found)
+
+
+def test_a_search_without_an_index_reads_texts_once_and_holds_asked_words_only(spark):
+    texts = ["redis caches data", "plain data", None, "", "Café data, redis", "rediscovered plans"] * 3
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    plain = nodes(spark, [{"id": f"n{i:02}", "content": t or ""} for i, t in enumerate(texts)])
+    counted = plain.withColumn("content", told.asNondeterministic()("content"))
+    index = search.build_index(plain)
+    asked = spark.createDataFrame([(i, q, 20) for i, q in enumerate(("redis data", "cafe OR plans", '"plain data"', "none of it"))], "query_id int, query string, limit int")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, read.value = rows(search.search_many(plain, asked, index)), 0
+    assert want and rows(search.search_many(counted, asked)) == want and read.value == len(texts)
+    for q in ("redis data", "redis*", '"plain data" OR cafe', "data NOT redis"):
+        want, read.value = rows(search.search(plain, q, index=index).select("id", "score", "place")), 0
+        assert want and rows(search.search(counted, q).select("id", "score", "place")) == want and read.value == len(texts)
+    assert rows(search.search_many(plain, asked.withColumn("query", F.lit("re*")))) == rows(search.search_many(plain, asked.withColumn("query", F.lit("re*")), index))
+    part = search.index_for(plain, spark.createDataFrame([("data",), ("no",)], "term string"))
+    assert rows(part.postings) == rows(index.postings.where("term = 'data'")) and rows(part.totals) == rows(index.totals)
