@@ -158,6 +158,24 @@ def test_frames_of_open_pages_go(spark):
     assert page_text.main_text(pages.where("false")).count() == 0
 
 
+def test_differencing_judges_pages_that_declare_articles(spark, monkeypatch):
+    article = lambda *ps: "<article>" + "".join(f"<p>{p}</p>" for p in ps) + "</article>"
+    body = [f"what page {i} has to say, long enough to be told from all of the others" for i in range(12)]
+    teasers, licence = article("See also", "Ten more things"), "This text is free for all"
+    rows = [(i, f"http://a.org/{i:02d}", teasers + article("By us", body[i], licence)) for i in range(10)]
+    rows += [(10, "http://b.org/alone", teasers + article(body[10])), (11, "http://c.org/1", article("one", "two") + article("three")), (12, "http://c.org/2", article("one", "two") + article("three"))]
+    rows += [(13, "http://a.org/05/open", "<p>See also</p><p>Ten more things</p><p>open</p>"), (14, "http://a.org/03", article("See also", "Ten more things", "By us", body[3], licence))]
+    want = {i: f"By us\n{body[i]}\n{licence}" for i in range(10)}  # shared lines of an article with its own ones stay
+    want |= {10: f"See also\nTen more things\n{body[10]}", 11: "one\ntwo\nthree", 12: "one\ntwo\nthree", 13: "See also\nTen more things\nopen", 14: f"See also\nTen more things\nBy us\n{body[3]}\n{licence}"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = page_text.main_text(pages).collect()
+    assert len(found) == len(rows) and {r["page_id"]: r["text"] for r in found} == want
+    seen, compare = [], page_text.frame_lines
+    monkeypatch.setattr(page_text, "frame_lines", lambda compared: seen.append(compared.count()) or compare(compared))
+    page_text.main_text(pages)
+    assert seen == [len(rows)]  # every page with text is compared
+
+
 # ---- 13: centroids
 
 
