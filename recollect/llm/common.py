@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <=
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW = np.ones(1, np.uint64)
 #: Texts are handled in runs of about this many bytes, which bounds the arrays' memory.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:
@@ -244,6 +245,20 @@ def runs(texts: list, lower: bool = False, fold: bool = False, limit: int = RUN_
         yield low, low + len(held), Words(held, lower, fold)
 
 
+def pieces(batches, text: str = "text", limit: int = RUN_BYTES):
+    """The rows of Arrow ``batches`` in slices of at most about ``limit`` bytes of text.
+
+    What a worker makes of a slice takes several times its text, so it is held for a slice
+    and not for the 10,000 rows of a batch. A longer text is a slice of its own or ends one.
+    """
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // limit
+        edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(b)]
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            yield b.slice(low, high - low)
+
+
 def windows_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive entries of ``h``, by doubling."""
     if len(h) < n:

@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, Words, drop_stored, new_path, qualified, runs, stored, table
+from .common import RUN_BYTES, Words, drop_stored, new_path, pieces, qualified, runs, stored, table
 
 PASSAGE, HALF, TILE = 64, 32, 32
 SHORT, TINY = 8, 4
@@ -48,7 +48,7 @@ BLOCK_PASSAGES = 240  # at most RANK
 MAX_SHARE, KEY_TERMS, SHORT_TERMS, ANSWER_TERMS = 0.001, 12, 3, 5
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
 #: Blocks that a worker keeps loaded; with more of them it holds HELD_RUNS runs of texts for each round of blocks.
-LOADED, HELD_RUNS = 4, 8
+LOADED, HELD_RUNS = 4, 16
 
 
 class _Lookup:
@@ -117,8 +117,8 @@ def tile_counts(docs: DataFrame, lookup: _Lookup) -> tuple[np.ndarray, int]:
     def run(batches):
         known = shared.value
         total, tiles = np.zeros(len(known.words), np.int64), 0
-        for b in batches:
-            for _, _, w in runs(b.column(0).to_pylist(), fold=True):
+        for b in pieces(batches):
+            for _, _, w in runs(b.column("text").to_pylist(), fold=True):
                 count = np.diff(w.first)
                 per = -(-count // TILE)
                 at, term = known.find(w.hash)
@@ -130,7 +130,7 @@ def tile_counts(docs: DataFrame, lookup: _Lookup) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[tiles], total[some]]))], ["term", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()
     out, n = np.zeros(len(lookup.words), np.int64), 0
     for term, c in rows:  # one row a benchmark term
         if term < 0:
@@ -358,7 +358,7 @@ def _searched(batches, paths: list[str]):
             yield b, [(*key, *more) for key, more in found.items()]
 
     held, size, most = [], 0, RUN_BYTES * (1 if len(paths) <= LOADED else HELD_RUNS)
-    for b in batches:
+    for b in pieces(batches):
         held.append(b)
         size += b.nbytes
         if size >= most:

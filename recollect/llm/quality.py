@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stored, mix64, runs, stored, table, windows_hash
+from .common import Words, drop_stored, mix64, pieces, runs, stored, table, windows_hash
 
 # fixed values: frequent function words by language
 COMMON = {
@@ -222,7 +222,7 @@ def measured(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *_FIELDS, "foreign", "lang", "hist"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             f = features(b.column("text").to_pylist(), b.column("lang").to_pylist())
             flat = pa.ListArray.from_arrays(np.arange(0, f["hist"].size + 1, f["hist"].shape[1], dtype=np.int32), pa.array(f["hist"].ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[k]) for k in (*_FIELDS, "foreign")), pa.array(f["lang"], pa.string()), flat], names)
@@ -279,7 +279,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     drop_stored(found)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             f = features(b.column("text").to_pylist(), b.column("lang").to_pylist())
             yield b.filter(pa.array(passes(f, reference)[0]))
 

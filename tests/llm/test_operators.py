@@ -5,11 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -304,6 +307,25 @@ def test_short_passages_of_a_large_benchmark_are_all_found(spark):
     assert planted <= near <= found
 
 
+def test_a_batch_is_searched_in_bounded_memory(tmp_path):
+    item = " ".join(f"term{i}" for i in range(40))
+    texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(400)) for i in range(5000)]
+    texts[3], texts[4], texts[4990] = None, "", f"{texts[0]} {item}"
+    block = decontaminate.passages([(1, item, None)])
+    every = decontaminate._Lookup(block[0][2])
+    (tmp_path / "index").write_bytes(pickle.dumps(decontaminate.Index(block, every, np.ones(len(every.words), np.int64), 1000)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows, hits = [], []
+    for b, found in decontaminate._searched(iter([batch]), [f"file://{tmp_path}/index"]):
+        rows += b.column("doc_id").to_pylist()
+        hits += [b.column("doc_id")[k].as_py() for k, *_ in found]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == list(range(5000)) and hits == [4990]
+    assert peak < 6 * batch.nbytes, (peak, batch.nbytes)
+
+
 @pytest.mark.parametrize("block", [7, decontaminate.BLOCK_PASSAGES])  # 7: more blocks than a worker keeps loaded
 def test_paraphrases_against_exhaustive_search(spark, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_PASSAGES", block)
