@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import drop_stored, stored, table
+from .common import drop_stored, pieces, stored, table
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -54,17 +54,17 @@ def fingerprints(texts: list, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, fp): a 64-bit hash of the text, and the fingerprint as a signed long."""
+def _prints(batches):
+    for b in pieces(batches):
+        fp = fingerprints(b.column("text").to_pylist()).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(fp)], ["doc_id", "content", "fp"])
 
-    def run(batches):
-        for b in batches:
-            fp = fingerprints(b.column("text").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(fp)], ["doc_id", "content", "fp"])
 
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, fp): a 64-bit hash of the text, and the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("content"))
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, fp long")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("content"))
+    return rows.mapInArrow(_prints, f"doc_id {kind}, content long, fp long")
 
 
 def _signed(m: int) -> int:

@@ -307,6 +307,21 @@ def test_short_passages_of_a_large_benchmark_are_all_found(spark):
     assert planted <= near <= found
 
 
+def test_a_batch_is_fingerprinted_in_bounded_memory():
+    texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(400)) for i in range(5000)]
+    texts[3], texts[4] = None, ""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([0] * 5000), pa.array(texts)], ["doc_id", "content", "text"])
+    tracemalloc.start()
+    parts = list(simhash._prints(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum((b.column("doc_id").to_pylist() for b in parts), []) == list(range(5000))
+    some = [0, 3, 4, 4999]
+    fps = np.concatenate([b.column("fp").to_numpy() for b in parts]).view(np.uint64)
+    assert fps[some].tolist() == simhash.fingerprints([texts[i] for i in some]).tolist()
+    assert peak < batch.nbytes / 2, (peak, batch.nbytes)
+
+
 def test_a_batch_is_searched_in_bounded_memory(tmp_path):
     item = " ".join(f"term{i}" for i in range(40))
     texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(400)) for i in range(5000)]
