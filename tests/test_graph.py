@@ -597,3 +597,26 @@ def test_classes_of_duplicates_cut_texts_once(spark):
     found = consolidation.members(nodes(spark, [{"id": f"n{i}", "content": f"alpha beta {'gamma' if i % 2 else 'delta'}"} for i in range(4)]))
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()  # both sides of the join read a table
     assert {(r["id"], r["rep"]) for r in found.collect()} == {("n0", "n0"), ("n1", "n1"), ("n2", "n0"), ("n3", "n1")}
+
+
+def test_similar_pairs_meet_in_chunks_whatever_their_codes(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"word{i:02}" for i in range(30)]
+    sets = [rng.sample(words, rng.randrange(1, 14)) for _ in range(70)]
+    sets += [[w for w in s if rng.random() > 0.1] or s for s in sets]
+    df = nodes(spark, [{"id": f"n{i:03}", "content": " ".join(s), "strength": rng.choice([0.2, 0.8])} for i, s in enumerate(sets)])
+    reps = {r["rep"] for r in consolidation.members(df).collect()}
+    of = {f"n{i:03}": set(s) for i, s in enumerate(sets)}
+    brute = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a in reps for b in reps if a < b}
+    brute = {k: round(v, 9) for k, v in brute.items() if v >= 0.6}
+    for most, known in ((1 << 14, 1000), (16, 1000), (16, 3)):  # many chunks; few words that have a code of their own
+        monkeypatch.setattr(consolidation, "CHUNK_SETS", most)
+        monkeypatch.setattr(consolidation, "VOCABULARY", known)
+        found = consolidation.similar_pairs(df).collect()
+        assert {(*sorted((r["a"], r["b"])),): round(r["similarity"], 9) for r in found} == brute and len(found) == len(brute)
+
+
+def test_similar_pairs_shuffle_sets_and_no_prefixes(spark):
+    plan = consolidation._near(*[spark.createDataFrame([("a", "fact", (0.0, "a"), ["x", "y"], [], 2)], "id string, node_type string, place struct<s: double, i: string>, words array<string>, ents array<string>, size int")] * 2, 0.6)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "MapInArrow" in text  # candidates are made within tasks
