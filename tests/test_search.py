@@ -247,3 +247,31 @@ def test_a_search_without_an_index_reads_texts_once_and_holds_asked_words_only(s
     assert rows(search.search_many(plain, asked.withColumn("query", F.lit("re*")))) == rows(search.search_many(plain, asked.withColumn("query", F.lit("re*")), index))
     part = search.index_for(plain, spark.createDataFrame([("data",), ("no",)], "term string"))
     assert rows(part.postings) == rows(index.postings.where("term = 'data'")) and rows(part.totals) == rows(index.totals)
+
+
+def test_patterns_pass_texts_without_their_pieces_being_rows(spark, monkeypatch):
+    from recollect.operators import patterns
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["lorem", "Ipsum", "dölor", "sit_amet", "99%", "x"]) for _ in range(rng.randrange(0, 30))) for _ in range(90)]
+    df = nodes(spark, [{"id": f"n{i}", "content": t, "entities": [texts[-i][:9]] if i % 2 else None} for i, t in enumerate(texts)]).repartition(3)
+    asked_for = ["lorem%dölor x", "m ipsum", "d_lor%_it", "sit_amet x lorem", "x x x", "99% lorem", "x", "", "none of it", "lorem lorem lorem"]
+    asked = spark.createDataFrame([(i, q, 1 + 2 * i) for i, q in enumerate(asked_for)], "query_id int, query string, limit int")
+    order = sorted(range(90), key=lambda i: f"n{i}")
+    want = []
+    for k, q in enumerate(asked_for):
+        hits = [f"n{i}" for i in order if _like(texts[i], q) or (i % 2 and _like(texts[-i][:9], q))]
+        want += [(k, place + 1, h) for place, h in enumerate(hits[: 1 + 2 * k])]
+    for head, many in ((4096, 50_000), (7, 50_000), (7, 3)):  # one phase; two; several passes
+        monkeypatch.setattr(search, "HEAD", head)
+        monkeypatch.setattr(search, "PATTERNS", many)
+        found = search.like_many(df, asked)
+        assert sorted(map(tuple, found.select("query_id", "place", "id").collect())) == sorted(want)
+        assert "regexp_extract_all" not in plan_of(found)  # a row for each piece of each text before
+    data = [t.encode() for t in texts]
+    monkeypatch.setattr(patterns, "LOOKED", 50)  # windows are looked at in parts that overlap
+    state = patterns.Matcher([("lorem%x", 100)])
+    import numpy as np
+
+    state.take([f"n{i}" for i in range(90)], np.arange(90), np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(t) for t in data]))
+    assert state.patterns[0].ids == sorted(f"n{i}" for i, t in enumerate(texts) if _like(t, "lorem%x"))
