@@ -275,3 +275,13 @@ def test_patterns_pass_texts_without_their_pieces_being_rows(spark, monkeypatch)
 
     state.take([f"n{i}" for i in range(90)], np.arange(90), np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(t) for t in data]))
     assert state.patterns[0].ids == sorted(f"n{i}" for i, t in enumerate(texts) if _like(t, "lorem%x"))
+
+
+def test_texts_meet_no_labels_where_outcomes_are_not_asked_for(spark):
+    from recollect.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    with_, without = fixtures.nodes(spark, sf), fixtures.nodes(spark, sf, outcome=False)
+    assert "Join" not in plan_of(without) and without.schema == with_.schema
+    rows = lambda df: sorted(map(str, df.drop("outcome").collect()))
+    assert rows(without) == rows(with_)
