@@ -285,3 +285,20 @@ def test_texts_meet_no_labels_where_outcomes_are_not_asked_for(spark):
     assert "Join" not in plan_of(without) and without.schema == with_.schema
     rows = lambda df: sorted(map(str, df.drop("outcome").collect()))
     assert rows(without) == rows(with_)
+
+
+def test_prefixes_make_no_row_of_each_node_that_has_them(spark, monkeypatch):
+    rng = random.Random(6)
+    words = "alpha alps alone beta better bet gamma".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(60)] + ["alpha beta"] * 30  # many tie
+    df = nodes(spark, [{"id": f"n{i:02}", "content": t} for i, t in enumerate(texts)]).repartition(2)
+    asked = spark.createDataFrame([(i, q, n) for i, (q, n) in enumerate([("al*", 5), ("alp*", 3), ("b*", 7), ("be *", 2), ("alpha*", 90), ("z*", 4), ("gamma", 4)])], "query_id int, query string, limit int")
+    index = search.build_index(df)
+    want = sorted((r["query_id"], k + 1, h["node_id"], round(h["score"], 9)) for r in asked.collect() for k, h in enumerate(search.top_hits(index, r["query"], r["limit"]).collect()))
+    for held, many, given in ((500, 50_000, None), (7, 2, None), (7, 50_000, index)):
+        monkeypatch.setattr(search, "HELD_NODES", held)
+        monkeypatch.setattr(search, "PATTERNS", many)
+        found = search.search_many(df, asked, given).select("query_id", "place", "id", F.round("score", 9).alias("s")).collect()
+        assert sorted(map(tuple, found)) == want
+    task = next(iter(spark.createDataFrame([("n%03d" % i, "alpha beta", "", 2) for i in range(400)], "node_id string, content string, content_zh string, dl long").coalesce(1).mapInArrow(search.begun([("al*", "al", ["content"], 3)], 2.0), "query string, id string, dl long, tf double").groupBy().count().collect()))
+    assert task["count"] == 4  # three nodes and how many there are, of 400
